@@ -1,0 +1,39 @@
+"""Tables that cut lineage: Parquet in the shared folder named by ``spark.checkpoint.dir``.
+
+A written table survives lost executors, unlike cached blocks. The folder is
+read from the session; only where it is unset (tests, a local session) is a
+local folder chosen.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+LOCAL_DEFAULT = "/tmp/checkpoints"
+
+
+def root(spark: SparkSession) -> str:
+    """The shared folder; sets a local one where the session names none."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT).rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{root(spark)}/cuesheet/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write df once and read it back: later plans start from the files."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table made by keep(), once nothing reads it any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        if "/cuesheet/" in folder.toString():
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
