@@ -18,6 +18,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LETTER = np.zeros(256, dtype=np.uint8)
+_LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = 1
 _powers = np.ones(1, dtype=U)
 _inverse = np.ones(1, dtype=U)
 
@@ -90,6 +92,14 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hash_runs(data, starts, ends), np.searchsorted(starts, offsets)
 
 
+def letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Like words(), for runs of letters and digits; all non-ASCII bytes count as letters."""
+    data, offsets = text_bytes(column)
+    data = _LOWER[data]
+    starts, ends = runs(data, offsets, _LETTER[data])
+    return hash_runs(data, starts, ends), np.searchsorted(starts, offsets)
+
+
 def shingles(hashes: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word windows, and row offsets. A row of 1 to k-1 words is one shingle; without words it has none."""
     n, counts = len(hashes), np.diff(offsets)
