@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing
+from . import licenses, mixing, warc
 from .license_texts import KNOWN
 
 
@@ -101,8 +101,21 @@ select doc_id, cast(len(s) as bigint) as n_shingles, c as component_id, doc_id =
 """
 
 
+def warc_sql() -> str:
+    letters = " || ".join(f"substr('{warc.ALPHABET}', cast((cast('0x' || substr(h, {1 + 5 * i}, 5) as bigint) >> {s}) & 31 as integer) + 1, 1)" for i in range(8) for s in (15, 10, 5, 0))
+    return f"""
+with hashed as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(encode(coalesce(html, ''))) as h from pages),
+firsts as (select h, min(page_id) as first_id from hashed group by h)
+select page_id, cast(n as bigint) as payload_bytes, {letters} as payload_digest,
+       case when page_id > first_id then 'revisit' else 'response' end as record_type,
+       case when page_id > first_id then first_id end as refers_to
+from hashed join firsts using (h)
+"""
+
+
 ORACLES = {
     "op1_minhash_near_dedup": minhash_sql(),
+    "op3_warc": warc_sql(),
     "op6_mixing": mixing_sql(),
     "op7_license_scan": licenses_sql(),
     "op9_chat_formatting": chat_sql(),
