@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, minhash, mixing, quality, toxicity, warc
+from . import chat, licenses, minhash, mixing, pieces, quality, toxicity, warc
+
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_components(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive(table(spark, sf_dir, "pages"), min_revisit_bytes=0)
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -60,5 +66,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op3_warc, op5_toxicity, op6_mixing, op7_license_scan, op9_chat_formatting, op10_quality_classifier)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_sentencepiece, op3_warc, op5_toxicity, op6_mixing, op7_license_scan, op9_chat_formatting, op10_quality_classifier)
 }
