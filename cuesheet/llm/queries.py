@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, minhash, mixing, pieces, quality, toxicity, warc
+from . import chat, licenses, minhash, mixing, pieces, quality, spotsigs, toxicity, warc
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -29,6 +29,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edit_test(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", folds=3, held=1, threshold=0.7)
 
@@ -66,5 +70,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_sentencepiece, op3_warc, op5_toxicity, op6_mixing, op7_license_scan, op9_chat_formatting, op10_quality_classifier)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_sentencepiece, op3_warc, op4_spotsigs, op5_toxicity, op6_mixing, op7_license_scan, op9_chat_formatting, op10_quality_classifier)
 }
