@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, licenses, minhash, mixing, pieces, quality, spotsigs, toxicity, warc
+from . import ann, chat, licenses, minhash, mixing, pieces, quality, spotsigs, toxicity, warc
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -45,6 +45,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, target=0.95)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -70,5 +74,5 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_sentencepiece, op3_warc, op4_spotsigs, op5_toxicity, op6_mixing, op7_license_scan, op9_chat_formatting, op10_quality_classifier)
+    f.__name__: f for f in (op1_minhash_near_dedup, op2_sentencepiece, op3_warc, op4_spotsigs, op5_toxicity, op6_mixing, op7_license_scan, op8_ann, op9_chat_formatting, op10_quality_classifier)
 }
