@@ -1,15 +1,71 @@
-"""The corpus pipeline: quality, toxicity, near-duplicates, mixing, tokens."""
+"""The corpus pipeline: quality, toxicity, near-duplicates, mixing to target weights, tokens.
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame. run() writes what a stage
+returns as Parquet in the shared folder and reads it again as the next stage's docs, so
+that a lost executor costs at most one stage. All stages but the last return the columns
+of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cuesheet.llm import minhash, mixing, quality
+from cuesheet.llm import minhash, mixing, pieces, quality, scratch, toxicity
+from cuesheet.llm.queries import PIECE_MODEL
 from cuesheet.shipping import ship
 
-STAGES: list = []
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """docs without those that a classifier rejects; rejected ids are few, so they and not the texts decide the join."""
+    gone = judged.where(F.col("rejected")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = scratch.keep(gone, "rejected")
+    few = gone.limit(1_000_001).count() <= 1_000_000
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("_gone"), "left_anti").select(*COLUMNS)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject (score of at least 0.3)."""
+    ship(spark)
+    judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", threshold=0.3)
+    return _without(docs, judged.select("doc_id", (F.col("predicted") == 0).alias("rejected")))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity models don't reject (score below 0.7)."""
+    ship(spark)
+    judged = toxicity.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", threshold=0.7)
+    return _without(docs, judged.select("doc_id", (F.col("predicted") == 1).alias("rejected")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group linked by five-word shingles at 0.8 or more."""
+    ship(spark)
+    return minhash.dedup(docs, shingle=5, percent=80).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that sources weigh the square roots of their sizes, in a shuffled order."""
+    ship(spark)
+    return mixing.mix(docs, power=0.5, epochs=1.0, seed=17).select(*COLUMNS)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens and round_trip of every row."""
+    ship(spark)
+    return pieces.encode(docs, PIECE_MODEL).select("doc_id", "ids", "n_tokens", "round_trip")
+
+
+STAGES = [("quality", keep_quality), ("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("mixing", mix_sources), ("tokens", tokenize)]
+
+#: Trained classifiers and a tokenizer: SQL can't express these stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return docs
