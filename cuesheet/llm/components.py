@@ -5,8 +5,9 @@ All links between items under a common key count, but only these pairs are forme
 
 1. Under each key every item is paired with the smallest and the largest id there.
 2. Confirmed pairs are joined to components.
-3. Under each key that still holds several components, the items outside its largest
-   component are paired with all items of other components.
+3. Keys that still hold several components are left, and in them the items that may
+   have links at all. Under each such key, the items outside its largest component are
+   paired with all items of other components.
 
 A pair that is never formed has both its items in one component already, so the
 components are those of all links.
@@ -14,14 +15,33 @@ components are those of all links.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import drop, keep
 
 
+class Pairing(Protocol):
+    """What link() asks of a similarity. Pairs (a, b) are distinct, with a < b."""
+
+    def meet(self, ids: DataFrame) -> None:
+        """Told once which ids share a key with others."""
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs without those that cheap bounds rule out."""
+
+    def narrow(self, members: DataFrame) -> DataFrame:
+        """(id, bound) of those members (id, part) that may have a link to a member of another part."""
+
+    def possible(self, one: Column, two: Column) -> Column:
+        """Whether items of different parts with these bounds may be linked."""
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are links."""
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (a, b); component is the smallest id reachable.
 
@@ -49,30 +69,32 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", F.col("b").alias("component")).distinct())
 
 
-def link(keyed: DataFrame, meet: Callable[[DataFrame], None], near: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame], DataFrame], known: DataFrame) -> DataFrame:
-    """(id, component) of all ids of keyed (key, id) that have links; the others have none.
+def _open(rows: DataFrame) -> DataFrame:
+    """rows (key, id, part, ...) of the keys with several parts, with the key's largest part as main."""
+    sizes = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "part")).alias("main")).where("parts > 1")
+    return rows.join(several.select("key", F.col("main.part").alias("main")), "key")
 
-    meet(ids) is told once which ids share a key with others. near(pairs) drops pairs
-    (a, b) cheaply, confirm(pairs) then keeps the true links; both get distinct pairs with
-    a < b. known (a, b) are links in any case.
-    """
+
+def link(keyed: DataFrame, pairing: Pairing, known: DataFrame) -> DataFrame:
+    """(id, component) of all ids of keyed (key, id) that have links; the others have none. known (a, b) are links in any case."""
     ends = keep(keyed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi"), "ends")
     held = keep(keyed.join(ends, "key").select("key", "id", "lo", "hi"), "held")
-    meet(held.select("id").distinct())
+    pairing.meet(held.select("id").distinct())
     first = held.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p"))
-    stars = keep(near(first.select("p.a", "p.b").where("a < b").distinct()), "stars")
-    links = keep(confirm(stars), "links")
+    stars = keep(pairing.near(first.select("p.a", "p.b").where("a < b").distinct()), "stars")
+    links = keep(pairing.confirm(stars), "links")
     parts = keep(connected(links), "parts")
 
     rows = held.select("key", "id").join(parts, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-    sizes = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    several = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "part")).alias("main")).where("parts > 1")
-    rows = keep(rows.join(several.select("key", F.col("main.part").alias("main")), "key"), "several")
-    few = rows.where("part <> main").select("key", F.col("id").alias("x"), F.col("part").alias("part_x"))
-    pairs = few.join(rows.select("key", "id", "part"), "key").where("part <> part_x")
-    pairs = pairs.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    more = keep(confirm(near(pairs.join(stars, ["a", "b"], "left_anti"))), "links")
+    wide = keep(_open(rows), "several")
+    able = keep(pairing.narrow(wide.select("id", "part").distinct()), "able")
+    rows = keep(_open(wide.select("key", "id", "part").join(able, "id")), "several")
+    few = rows.where("part <> main").select("key", F.col("id").alias("x"), F.col("part").alias("part_x"), F.col("bound").alias("bound_x"))
+    both = few.join(rows, (few["key"] == rows["key"]) & (F.col("part") != F.col("part_x")) & pairing.possible(F.col("bound_x"), F.col("bound")))
+    pairs = both.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    more = keep(pairing.confirm(pairing.near(pairs.join(stars, ["a", "b"], "left_anti"))), "links")
     result = keep(connected(links.union(more).union(known)), "parts")
-    for table in (ends, held, stars, links, parts, rows, more):
+    for table in (ends, held, stars, links, parts, wide, able, rows, more):
         drop(table)
     return result

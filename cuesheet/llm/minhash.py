@@ -103,6 +103,44 @@ def index_keys(signature: Column, bound: int) -> Column:
     return F.array(*keys)
 
 
+class ShinglePairing:
+    """Links of shingle sets: nodes (id, n_shingles, signature) with texts (id, text)."""
+
+    def __init__(self, texts: DataFrame, nodes: DataFrame, shingle: int, percent: int, bound: int):
+        self.texts, self.nodes, self.shingle, self.percent, self.bound = texts, nodes, shingle, percent, bound
+
+    def _sided(self, pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+        for end in ("a", "b"):
+            pairs = pairs.join(table.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
+        return pairs
+
+    def meet(self, ids: DataFrame) -> None:
+        wanted = self.texts.join(ids, "id", "left_semi").mapInArrow(_full_sets(self.shingle), "id long, items array<bigint>")
+        self.sets = keep(wanted.where(F.size("items") > 0), "sets")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        rows = self._sided(pairs, self.nodes, ["n_shingles", "signature"])
+        fits = F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * self.percent
+        return rows.where(fits & (distance(F.col("signature_a"), F.col("signature_b")) <= self.bound)).select("a", "b").distinct()
+
+    def narrow(self, members: DataFrame) -> DataFrame:
+        """bound: a set's size, and how many of its shingles occur in other parts at all, at least percent of it."""
+        each = self.sets.join(members, "id").select("id", "part", F.explode("items").alias("item"))
+        mixed = each.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("item")
+        common = each.select("id", "item").join(mixed, "item").groupBy("id").agg(F.count(F.lit(1)).alias("common"))
+        sized = self.nodes.select("id", "n_shingles").join(common, "id")
+        return sized.where(F.col("common") * 100 >= F.col("n_shingles") * self.percent).select("id", F.struct(F.col("n_shingles").alias("size"), "common").alias("bound"))
+
+    def possible(self, one: Column, two: Column) -> Column:
+        both = F.least(one["common"], two["common"])
+        return both * 100 >= (one["size"] + two["size"] - both) * self.percent
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        both = F.size(F.array_intersect("items_a", "items_b"))
+        rows = self._sided(pairs, self.sets, ["items"]).withColumn("both", both)
+        return rows.where(F.col("both") * 100 >= (F.size("items_a") + F.size("items_b") - F.col("both")) * self.percent).select("a", "b").distinct()
+
+
 def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs.
 
@@ -130,33 +168,13 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = nodes.select(F.explode(index_keys(F.col("signature"), bound)).alias("key"), "id")
     shared = members.groupBy("doc_id").agg(F.min("first_id").alias("lo"), F.max("first_id").alias("hi")).where("lo < hi").select("doc_id", "lo")
     twins = members.join(shared, "doc_id").select(F.col("lo").alias("a"), F.col("first_id").alias("b"))
-    tables: dict[str, DataFrame] = {}
-
-    def meet(ids: DataFrame) -> None:
-        wanted = texts.join(ids, "id", "left_semi")
-        tables["sets"] = keep(wanted.mapInArrow(_full_sets(shingle), "id long, items array<bigint>").where(F.size("items") > 0), "sets")
-
-    def sized(pairs: DataFrame, columns: list[str], table: DataFrame) -> DataFrame:
-        for end in ("a", "b"):
-            pairs = pairs.join(table.select(F.col("id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
-        return pairs
-
-    def near(pairs: DataFrame) -> DataFrame:
-        rows = sized(pairs, ["n_shingles", "signature"], nodes)
-        fits = F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent
-        return rows.where(fits & (distance(F.col("signature_a"), F.col("signature_b")) <= bound)).select("a", "b").distinct()
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        both = F.size(F.array_intersect("items_a", "items_b"))
-        rows = sized(pairs, ["items"], tables["sets"]).withColumn("both", both)
-        return rows.where(F.col("both") * 100 >= (F.size("items_a") + F.size("items_b") - F.col("both")) * percent).select("a", "b").distinct()
-
-    parts = link(keyed, meet, near, confirm, twins)
+    pairing = ShinglePairing(texts, nodes, shingle, percent, bound)
+    parts = link(keyed, pairing, twins)
     rooted = parts.select(F.col("id").alias("first_id"), "component")
     placed = members.join(rooted, "first_id", "left").select("doc_id", F.coalesce("component", "first_id").alias("component_id"))
     placed = keep(placed.groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "placed")
     result = signed.select("doc_id", "n_shingles").join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    drop(tables["sets"])
+    drop(pairing.sets)
     drop(groups)
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
