@@ -27,6 +27,8 @@ CALIBRATION = 96
 BRANCH = 8
 LEAF_ROWS = 200
 CELL_VECTORS, CELL_QUERIES = 4096, 2048
+#: From which leaf of a query's way to which, search by search; the last goes on to the calibrated number.
+WIDENINGS = ((0, 1), (1, 8), (8, None))
 
 
 @dataclass
@@ -212,8 +214,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, target: float = 0.
     own id; with fewer than k all are returned. score is the inner product of the original
     vectors in double precision; ties go to the smaller vec_id. Empty tables give no rows.
 
-    target is the recall that visits are widened to on the calibration queries. The nearest
-    leaf is searched first; from the others only scores that could still count are sent on.
+    target is the recall that visits are widened to on the calibration queries. Leaves
+    are searched in the steps of WIDENINGS; from a step only scores that could still count
+    after those before are sent on.
     """
     spark = vectors.sparkSession
     rows = keep(usable(vectors, vec_id, embedding), "vectors")
@@ -250,8 +253,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, target: float = 0.
 
     queries = keep(rows.where(is_query).mapInArrow(visited, "query_id long, embedding array<float>, leaves array<int>"), "queries")
     lowest = F.lit(float("-inf")).cast("double")
-    first = keep(_in_cells(queries.select("query_id", "embedding", lowest.alias("least"), F.col("leaves")[0].alias("leaf")), placed, sizes, k), "first")
-    kth = _nearest(first, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") == k).select("query_id", "kth")
-    rest = queries.join(kth, "query_id", "left").select("query_id", "embedding", F.coalesce("kth", lowest).alias("least"), F.explode(F.slice("leaves", 2, max(1, visits))).alias("leaf"))
-    more = _in_cells(keep(rest, "rest"), placed, sizes, k)
-    return _nearest(first.union(more), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = None
+    for start, stop in WIDENINGS:
+        least = F.lit(float("-inf")).cast("double")
+        asked = queries
+        if found is not None:
+            kth = _nearest(found, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("kth")).where(F.col("n") == k)
+            asked, least = queries.join(kth.select("query_id", "kth"), "query_id", "left"), F.coalesce("kth", least)
+        wider = asked.select("query_id", "embedding", least.alias("least"), F.explode(F.slice("leaves", start + 1, (stop or visits) - start)).alias("leaf")) if visits > start else None
+        if wider is not None:
+            more = keep(_in_cells(keep(wider, "asked"), placed, sizes, k), "found")
+            found = more if found is None else found.union(more)
+    return _nearest(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
