@@ -9,6 +9,7 @@ ranges of that key, each range in one task with a loser tree over its part of al
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -81,8 +82,8 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
 
 def write(made: DataFrame, path: str) -> None:
-    """Write records as archives of at most RECORDS_PER_ARCHIVE each, through Spark's committing text writer."""
-    made.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path)
+    """Write records as gzip-compressed archives of at most RECORDS_PER_ARCHIVE each, through Spark's committing text writer."""
+    made.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path)
 
 
 def url_key(url: str) -> str:
@@ -94,9 +95,9 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (found[2] or "/")
 
 
-def parse(data: memoryview, archive: str) -> Iterator[tuple]:
-    """Captures of an archive's records. A payload that doesn't have its stated digest is an error."""
-    raw, at = bytes(data), 0
+def parse(raw: bytes, archive: str) -> Iterator[tuple]:
+    """Captures of an uncompressed archive's records, with their offsets in it. A payload that doesn't have its stated digest is an error."""
+    at = 0
     while at < len(raw):
         head_end = raw.index(b"\r\n\r\n", at)
         lines = raw[at:head_end].decode().split("\r\n")
@@ -135,7 +136,7 @@ def _runs(batches):
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             archive = unquote(path.rpartition("/")[2])
-            yield _batch(sorted(parse(memoryview(content.as_buffer()), archive), key=_order))
+            yield _batch(sorted(parse(gzip.decompress(content.as_buffer()), archive), key=_order))
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
