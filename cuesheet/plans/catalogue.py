@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions import identity, text
 from cuesheet.operators import clean, group, search, store, timeline
+from cuesheet.plans import oracles
 from cuesheet.sources import landing, sample
 
 # Titles that the order tables don't have: their forms are what the text functions are about.
@@ -258,7 +259,7 @@ def w1_song_count(c):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q1_search_ascii": with_catalogue(lambda c: search.search(c, "red", limit=50)),
-    "q1_search_substring": with_catalogue(lambda c: search.search(c, "d widget /", limit=50)),
+    "q1_search_substring": with_catalogue(lambda c: search.search(c, "widget / l", limit=50)),
     "q1_search_channel": with_catalogue(lambda c: search.search(c, "blue", "nation_2", limit=50)),
     "q1_no_query_ordinal": with_catalogue(lambda c: search.search(c, limit=50)),
     "q3_search_legacy": with_catalogue(lambda c: search.search_legacy(c, "old", limit=25)),
@@ -319,4 +320,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "src4_channel_page": src4_channel_page,
 }
 
-from .oracles import ORACLES  # noqa: E402,F401
+ORACLES = oracles.build(TITLES, CLOCKS, CHANNELS, COMMENTS, QUERY_KEYS)
