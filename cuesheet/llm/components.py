@@ -4,10 +4,15 @@ Items come as (key, id) rows: items under one key are candidates for each other.
 All links between items under a common key count, but only these pairs are formed:
 
 1. Under each key every item is paired with the smallest and the largest id there.
-2. Confirmed pairs are joined to components.
-3. Keys that still hold several components are left, and in them the items that may
-   have links at all. Under each such key, the items outside its largest component are
-   paired with all items of other components.
+   Confirmed pairs are joined to components.
+2. Keys that still hold several components are left, and in them the items that may
+   have links to other components at all. The best linked item of a key's largest
+   component is its pivot. Every item is described by what it adds to its pivot and what
+   it misses of it, which is little where items are much alike, and which tells whether
+   the two are linked.
+3. Under each pivot that still has several components, the items outside the largest one
+   are compared with those of other components by these differences. They give the exact
+   similarity, so only true links come out of the join.
 
 A pair that is never formed has both its items in one component already, so the
 components are those of all links.
@@ -23,6 +28,9 @@ from pyspark.sql import functions as F
 from .scratch import drop, keep
 
 
+SALTS = 8
+
+
 class Pairing(Protocol):
     """What link() asks of a similarity. Pairs (a, b) are distinct, with a < b."""
 
@@ -33,10 +41,16 @@ class Pairing(Protocol):
         """The pairs without those that cheap bounds rule out."""
 
     def narrow(self, members: DataFrame) -> DataFrame:
-        """(id, bound) of those members (id, part) that may have a link to a member of another part."""
+        """(id) of those members (id, part) that may have a link to a member of another part."""
+
+    def deltas(self, rows: DataFrame) -> DataFrame:
+        """rows (pivot, id) with size, pivot_size, added and missing: how the set of id differs from the pivot's."""
 
-    def possible(self, one: Column, two: Column) -> Column:
-        """Whether items of different parts with these bounds may be linked."""
+    def linked_to_pivot(self) -> Column:
+        """Whether the id of a row of deltas() is linked to its pivot."""
+
+    def linked(self, one: str, two: str) -> Column:
+        """Whether the ids of two rows of deltas() with one pivot, in columns with these prefixes, are linked."""
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are links."""
@@ -69,6 +83,10 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", F.col("b").alias("component")).distinct())
 
 
+def _ordered(pairs: DataFrame, one: str, two: str) -> DataFrame:
+    return pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+
+
 def _open(rows: DataFrame) -> DataFrame:
     """rows (key, id, part, ...) of the keys with several parts, with the key's largest part as main."""
     sizes = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -90,11 +108,21 @@ def link(keyed: DataFrame, pairing: Pairing, known: DataFrame) -> DataFrame:
     wide = keep(_open(rows), "several")
     able = keep(pairing.narrow(wide.select("id", "part").distinct()), "able")
     rows = keep(_open(wide.select("key", "id", "part").join(able, "id")), "several")
-    few = rows.where("part <> main").select("key", F.col("id").alias("x"), F.col("part").alias("part_x"), F.col("bound").alias("bound_x"))
-    both = few.join(rows, (few["key"] == rows["key"]) & (F.col("part") != F.col("part_x")) & pairing.possible(F.col("bound_x"), F.col("bound")))
-    pairs = both.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    more = keep(pairing.confirm(pairing.near(pairs.join(stars, ["a", "b"], "left_anti"))), "links")
-    result = keep(connected(links.union(more).union(known)), "parts")
-    for table in (ends, held, stars, links, parts, wide, able, rows, more):
+    degrees = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    hubs = parts.join(degrees, "id").groupBy(F.col("component").alias("main")).agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("hub"))
+    under = rows.select("main", "id").distinct().join(hubs, "main", "left").select(F.coalesce("hub", "main").alias("pivot"), "id")
+    under = under.union(under.select("pivot", F.col("pivot").alias("id"))).distinct()
+    deltas = keep(pairing.deltas(under), "deltas")
+    more = keep(_ordered(deltas.where((F.col("id") != F.col("pivot")) & pairing.linked_to_pivot()), "id", "pivot"), "links")
+    again = keep(connected(links.union(more)), "parts")
+    placed = deltas.join(again, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component").withColumnRenamed("pivot", "key")
+    spread = _open(placed).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    spread = keep(spread, "spread")
+    few = spread.where("part <> main").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    few = few.select([F.col(c).alias(f"x_{c}") for c in few.columns])
+    same = (F.col("x_key") == F.col("key")) & (F.col("x_salt") == F.col("salt")) & (F.col("x_part") != F.col("part"))
+    last = keep(_ordered(few.join(spread, same & pairing.linked("x_", "")), "x_id", "id"), "links")
+    result = keep(connected(links.union(more).union(last).union(known)), "parts")
+    for table in (ends, held, stars, links, parts, wide, able, rows, deltas, more, again, spread, last):
         drop(table)
     return result

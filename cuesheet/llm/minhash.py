@@ -55,25 +55,30 @@ def _signature(unique: np.ndarray) -> np.ndarray:
     return (textkit.mix(best) >> np.uint64(48)).astype(np.uint16).view(np.int16)
 
 
-def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    for start, part in textkit.slices(column):
+def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(start, sets) for pieces of the rows, small enough that a worker needs little memory."""
+    for start, part in textkit.slices(column, 1 << 19):
         made, offsets = textkit.shingles(*textkit.words(part), k)
-        for i in range(len(part)):
-            yield start + i, np.unique(made[offsets[i] : offsets[i + 1]])
+        yield start, [np.unique(made[offsets[i] : offsets[i + 1]]) for i in range(len(part))]
+
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays), kind))
 
 
 def _signed(k: int):
+    def total(values: np.ndarray) -> int:
+        return int(textkit.mix(values).sum(dtype=np.uint64).view(np.int64))
+
     def run(batches):
         for batch in batches:
-            n, one, two, signatures = [], [], [], []
-            for _, unique in _sets(batch.column(1), k):
-                n.append(len(unique))
-                one.append(int(textkit.mix(unique).sum(dtype=np.uint64).view(np.int64)))
-                two.append(int((textkit.mix(unique ^ np.uint64(0x5851F42D4C957F2D))).sum(dtype=np.uint64).view(np.int64)))
-                signatures.append(_signature(unique))
-            flat = np.concatenate(signatures) if signatures else np.zeros(0, np.int16)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * POSITIONS), pa.array(flat, pa.int16()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], ["doc_id", "n_shingles", "d1", "d2", "signature"])
+            for start, sets in _sets(batch.column(1), k):
+                columns = [
+                    batch.column(0).slice(start, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array([total(x) for x in sets], pa.int64()),
+                    pa.array([total(x ^ np.uint64(0x5851F42D4C957F2D)) for x in sets], pa.int64()), _lists([_signature(x) for x in sets], pa.int16()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "d1", "d2", "signature"])
 
     return run
 
@@ -81,10 +86,8 @@ def _signed(k: int):
 def _full_sets(k: int):
     def run(batches):
         for batch in batches:
-            sets = [u.view(np.int64) for _, u in _sets(batch.column(1), k)]
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            values = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "items"])
+            for start, sets in _sets(batch.column(1), k):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), _lists([x.view(np.int64) for x in sets], pa.int64())], ["id", "items"])
 
     return run
 
@@ -124,16 +127,32 @@ class ShinglePairing:
         return rows.where(fits & (distance(F.col("signature_a"), F.col("signature_b")) <= self.bound)).select("a", "b").distinct()
 
     def narrow(self, members: DataFrame) -> DataFrame:
-        """bound: a set's size, and how many of its shingles occur in other parts at all, at least percent of it."""
+        """A set can only have a link to another part if percent of its shingles occur in other parts at all."""
         each = self.sets.join(members, "id").select("id", "part", F.explode("items").alias("item"))
         mixed = each.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("item")
         common = each.select("id", "item").join(mixed, "item").groupBy("id").agg(F.count(F.lit(1)).alias("common"))
         sized = self.nodes.select("id", "n_shingles").join(common, "id")
-        return sized.where(F.col("common") * 100 >= F.col("n_shingles") * self.percent).select("id", F.struct(F.col("n_shingles").alias("size"), "common").alias("bound"))
-
-    def possible(self, one: Column, two: Column) -> Column:
-        both = F.least(one["common"], two["common"])
-        return both * 100 >= (one["size"] + two["size"] - both) * self.percent
+        return sized.where(F.col("common") * 100 >= F.col("n_shingles") * self.percent).select("id")
+
+    def deltas(self, rows: DataFrame) -> DataFrame:
+        both = rows.join(self.sets, "id").join(self.sets.select(F.col("id").alias("pivot"), F.col("items").alias("given")), "pivot")
+        return both.select("pivot", "id", F.size("items").alias("size"), F.size("given").alias("pivot_size"), F.array_except("items", "given").alias("added"), F.array_except("given", "items").alias("missing"))
+
+    def _enough(self, both: Column, one: Column, two: Column) -> Column:
+        return both * 100 >= (one + two - both) * self.percent
+
+    def linked_to_pivot(self) -> Column:
+        return self._enough(F.col("size") - F.size("added"), F.col("size"), F.col("pivot_size"))
+
+    def linked(self, one: str, two: str) -> Column:
+        """What two sets share is what both add to the pivot, and the pivot without what either misses. Bounds from sizes come first."""
+        col = lambda prefix, name: F.col(prefix + name)
+        sizes = [col(p, "size") for p in (one, two)]
+        missing, added = ([F.size(col(p, name)) for p in (one, two)] for name in ("missing", "added"))
+        rest = col(two, "pivot_size") - missing[0] - missing[1]
+        most = rest + F.least(*added) + F.least(*missing)
+        shared = rest + F.size(F.array_intersect(col(one, "added"), col(two, "added"))) + F.size(F.array_intersect(col(one, "missing"), col(two, "missing")))
+        return self._enough(F.least(most, *sizes), *sizes) & self._enough(shared, *sizes)
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         both = F.size(F.array_intersect("items_a", "items_b"))
