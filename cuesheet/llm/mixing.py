@@ -3,6 +3,8 @@
 Every document gets a count drawn from a Poisson distribution whose mean is its
 source's target repetition rate: the distribution is inverted at a uniform number
 hashed from the seed and doc_id, so a run repeats exactly, wherever its tasks run.
+A mean above MAX_RATE is the sum of equal parts of at most MAX_RATE, each drawn at its
+own uniform number: Poisson counts add exactly, so no rate is cut.
 The document is exploded by its count, and all copies are shuffled globally.
 """
 
@@ -14,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HEX52 = 13  # hex digits in the 52 bits of a uniform number
-MAX_RATE = 64.0
+MAX_RATE = 64.0  # of one part; larger rates are drawn in several parts
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -44,7 +46,7 @@ def target_rates(docs: DataFrame, source: str = "source", power: float = 0.5, we
     """(source, n_docs, rate) for every source.
 
     rate = epochs * all documents * weight / sum of weights / documents of the source,
-    at most MAX_RATE. Without given weights a source weighs its size to the given
+    however large. Without given weights a source weighs its size to the given
     power: 1 keeps the mix, 0 makes all sources equal. Given weights hold as they
     are; a source that they don't name gets 0. A null source is a source of its own.
     """
@@ -56,7 +58,12 @@ def target_rates(docs: DataFrame, source: str = "source", power: float = 0.5, we
     sizes = sizes.withColumn("weight", weight)
     all_docs, all_weight = sizes.agg(F.sum("n_docs"), F.sum("weight")).first()
     rate = F.lit(epochs * (all_docs or 0)) * F.col("weight") / F.lit(all_weight or 1.0) / F.col("n_docs")
-    return sizes.select("source", "n_docs", F.least(rate, F.lit(MAX_RATE)).alias("rate"))
+    return sizes.select("source", "n_docs", rate.alias("rate"))
+
+
+def _at_most(cdf: Column, u: Column) -> Column:
+    """The count at the uniform number u: how many of the distribution's values are at most u."""
+    return F.size(F.filter(cdf, lambda c: c <= u))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", power: float = 0.5, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: int = 17, broadcast_sources: int = 10_000) -> DataFrame:
@@ -67,12 +74,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", power:
     repeated doc_ids: equal ids draw equal counts. Empty tables give empty results.
     Columns of docs named mix_copy or mix_key are replaced; texts are not looked at.
     """
-    rates = target_rates(docs, source, power, weights, epochs).select(F.col("source").alias("_mix_source"), poisson_cdf(F.col("rate")).alias("_mix_cdf"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(MAX_RATE)).cast("int"))
+    rates = target_rates(docs, source, power, weights, epochs).withColumn("_mix_parts", parts)
+    rates = rates.select(F.col("source").alias("_mix_source"), "_mix_parts", poisson_cdf(F.col("rate") / F.col("_mix_parts")).alias("_mix_cdf"))
     few = docs.select(source).distinct().limit(broadcast_sources + 1).count() <= broadcast_sources
     kept = docs.drop("mix_copy", "mix_key")
     joined = kept.join(F.broadcast(rates) if few else rates, kept[source].eqNullSafe(F.col("_mix_source")))
     draw = uniform(seed, F.col(doc_id))
-    counted = joined.withColumn("_mix_u", draw).withColumn("_mix_n", F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u"))))
+    others = F.transform(F.sequence(F.lit(2), F.col("_mix_parts")), lambda part: uniform(seed, F.col(doc_id), part))
+    others = F.aggregate(others, F.lit(0), lambda n, u: n + _at_most(F.col("_mix_cdf"), u))
+    others = F.when(F.col("_mix_parts") > 1, others).otherwise(0)
+    counted = joined.withColumn("_mix_u", draw).withColumn("_mix_n", _at_most(F.col("_mix_cdf"), F.col("_mix_u")) + others)
     copies = counted.where("_mix_n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n"))))
     key = F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("mix_copy").cast("string")))
     copies = copies.withColumn("mix_key", F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint"))

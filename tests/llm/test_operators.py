@@ -181,6 +181,16 @@ def test_mixing_rates(spark):
     assert keys == sorted(keys)
 
 
+def test_mixing_large_rates(spark):
+    rows = [(i, f"t{i}", "en", "few" if i < 40 else "many", 2) for i in range(8040)]
+    docs = spark.createDataFrame(rows, DOCS)
+    few = [r["count"] for r in mixing.mix(docs, power=0.0).where("source = 'few'").groupBy("doc_id").count().collect()]
+    assert len(few) == 40 and abs(sum(few) - 4020) < 5 * 4020**0.5 and 40 < np.var(few) < 220
+    one = mixing.mix(docs, weights={"few": 99.0, "many": 1.0}).where("doc_id = 7").select("mix_copy")
+    copies = sorted(r.mix_copy for r in one.collect())
+    assert abs(len(copies) - 199) < 90 and copies == list(range(1, len(copies) + 1))
+
+
 def test_license_forms(spark):
     mit = licenses.KNOWN["MIT#2"].replace("MERCHANTABILITY", "merchantability").replace("\n\n", "\n\nCopyright (c) 2020 Someone\n\n", 1)
     docs = documents(spark, [(1, mit), (2, "x\nReleased under the  MIT licence!\ny"), (3, None), (4, "MIT")])
