@@ -9,7 +9,6 @@ of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cuesheet.llm import minhash, mixing, pieces, quality, scratch, toxicity
 from cuesheet.llm.queries import PIECE_MODEL
@@ -18,30 +17,25 @@ from cuesheet.shipping import ship
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """docs without those that a classifier rejects; rejected ids are few, so they and not the texts decide the join."""
-    gone = judged.where(F.col("rejected")).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = scratch.keep(gone, "rejected")
-    few = gone.limit(1_000_001).count() <= 1_000_000
-    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("_gone"), "left_anti").select(*COLUMNS)
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject (score of at least 0.3)."""
+    """Rows that the quality classifier doesn't reject (score of at least 0.3), each by its own text, whatever its doc_id."""
     ship(spark)
-    judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", threshold=0.3)
-    return _without(docs, judged.select("doc_id", (F.col("predicted") == 0).alias("rejected")))
+    judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "quality", threshold=0.3, carry=COLUMNS[1:])
+    return judged.where("predicted = 1").select(*COLUMNS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models don't reject (score below 0.7)."""
+    """Rows that the toxicity models don't reject (score below 0.7), each by its own text, whatever its doc_id."""
     ship(spark)
-    judged = toxicity.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", threshold=0.7)
-    return _without(docs, judged.select("doc_id", (F.col("predicted") == 1).alias("rejected")))
+    judged = toxicity.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", threshold=0.7, carry=COLUMNS[1:])
+    return judged.where("predicted = 0").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group linked by five-word shingles at 0.8 or more."""
+    """One document, that of the smallest doc_id, of each group linked by five-word shingles at 0.8 or more.
+
+    Rows with a null or repeated doc_id are documents of their own; see minhash.dedup.
+    """
     ship(spark)
     return minhash.dedup(docs, shingle=5, percent=80).select(*COLUMNS)
 

@@ -8,6 +8,8 @@ unit length, so long texts count like short ones. A score is a sparse dot produc
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -106,9 +108,16 @@ def fit(rows: DataFrame, bits: int = BITS) -> np.ndarray:
     return np.frombuffer(found[0][0], dtype=np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+def carried(docs: DataFrame, carry: Sequence[str]) -> str:
+    """Columns of docs as the end of a schema."""
+    return "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+
+
+def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: str = "text", bits: int = BITS, carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, score) of every row: the estimated probability of label 1. Null and empty texts get the bias's score.
 
+    The columns named in carry follow, so that a row's score stays with the row whatever its doc_id.
+
     The weights are broadcast; their size is fixed by bits.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
@@ -121,9 +130,12 @@ def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: st
                 offsets, at, values = features(part, bits)
                 sums = np.concatenate(([0.0], np.cumsum(w[at] * values)))
                 scores.append(_sigmoid(sums[offsets[1:]] - sums[offsets[:-1]] + w[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores))], ["doc_id", "score"])
+            rest = [batch.column(1) if c == text else batch.column(2 + others.index(c)) for c in carry]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores)), *rest], ["doc_id", "score", *carry])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, score double")
+    others = [c for c in carry if c != text]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *others)
+    return rows.mapInArrow(run, f"doc_id long, score double{carried(docs, carry)}")
 
 
 def bucket(doc_id: Column, n: int) -> Column:
@@ -131,14 +143,14 @@ def bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, threshold: float = 0.3, train_limit: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of docs.
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, threshold: float = 0.3, train_limit: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every row of docs, and its columns named in carry.
 
     Learns from labelled rows whose crc32(doc_id) modulo folds is not held, train_limit
     of them at most; scores all rows. Null and empty texts have a score too; a null
     doc_id is not held out. Repeated rows give a row each. Other columns are ignored.
     """
     weights = fit(train_rows(docs, labels, label, bucket(F.col("id"), folds) != held, train_limit, doc_id, text))
-    scored = score(docs, weights, doc_id, text)
+    scored = score(docs, weights, doc_id, text, carry=carry)
     held_out = F.coalesce(bucket(F.col("doc_id"), folds) == held, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carry)
