@@ -21,7 +21,7 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL)
+    return pieces.encode(table(spark, sf_dir, "documents"), PIECE_MODEL, verify=True)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

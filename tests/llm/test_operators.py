@@ -96,6 +96,10 @@ def test_pieces_have_parity(spark):
     assert table.where("not parity").count() == 0
 
 
+def test_the_registered_pieces_are_verified(spark):
+    assert queries.op2_sentencepiece(spark, SF).where("parity is null or not parity").count() == 0
+
+
 def field(number, kind, value):
     if kind == 2:
         return bytes([number << 3 | 2, len(value)]) + value
