@@ -19,6 +19,7 @@ from . import textkit
 
 BITS = 18
 TRAIN_ROWS = 16_000
+SLICE = 1 << 19  # bytes of text that features are made of at a time
 U = np.uint64
 #: Kinds of bytes: 0 white space, 1 letters, digits and all of non-ASCII, 2 other signs.
 _KIND = np.full(256, 2, dtype=np.uint8)
@@ -30,7 +31,7 @@ _REPEAT, _CAPITALS = textkit.mix(np.array([11, 12], dtype=U))
 
 
 def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row offsets, feature numbers, values) of all rows; an empty row has no features."""
+    """(row offsets, feature numbers as int32, values) of all rows; an empty row has no features."""
     data, offsets = textkit.text_bytes(column)
     starts, ends = textkit.runs(data, offsets, _KIND[data])
     hashes = textkit.hash_runs(data, starts, ends)
@@ -48,21 +49,20 @@ def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     rows = (unique >> U(bits)).astype(np.int64)
     values = np.sqrt(counts.astype(np.float64))
     norms = np.sqrt(np.bincount(rows, weights=counts, minlength=len(column)))
-    return np.searchsorted(rows, np.arange(len(column) + 1)), (unique & U((1 << bits) - 1)).astype(np.int64), values / norms[rows]
+    return np.searchsorted(rows, np.arange(len(column) + 1)), (unique & U((1 << bits) - 1)).astype(np.int32), values / norms[rows]
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def ftrl(batches: list[pa.Array], labels: list[np.ndarray], bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, updates: int = 40_000) -> np.ndarray:
+def ftrl(made: list[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: list[np.ndarray], bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, updates: int = 40_000) -> np.ndarray:
     """Weights after FTRL-proximal updates, one row after another; the last weight is the bias.
 
-    All rows are gone through as often as it takes for so many updates, twice at least
+    made are features() of the rows in pieces; values may be single precision. All rows are gone through as often as it takes for so many updates, twice at least
     and forty times at most.
     """
     z, n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
-    made = [features(column, bits) for column in batches]
     rows = sum(map(len, labels))
     for _ in range(min(40, max(2, -(-updates // max(1, rows))))):
         for (offsets, at, values), y in zip(made, labels, strict=True):
@@ -97,12 +97,13 @@ def fit(rows: DataFrame, bits: int = BITS) -> np.ndarray:
     """
 
     def run(batches):
-        texts, labels = [], []
+        made, labels = [], []
         for batch in batches:
-            for start, part in textkit.slices(batch.column(0)):
-                texts.append(part)
-                labels.append(batch.column(1).slice(start, len(part)).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([ftrl(texts, labels, bits).tobytes()], pa.binary())], ["weights"])
+            for start, part in textkit.slices(batch.column(0), SLICE):
+                offsets, at, values = features(part, bits)
+                made.append((offsets, at, values.astype(np.float32)))
+                labels.append(batch.column(1).slice(start, len(part)).to_numpy().copy())
+        yield pa.RecordBatch.from_arrays([pa.array([ftrl(made, labels, bits).tobytes()], pa.binary())], ["weights"])
 
     found = rows.coalesce(1).mapInArrow(run, "weights binary").collect()
     return np.frombuffer(found[0][0], dtype=np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
@@ -117,21 +118,21 @@ def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: st
     """(doc_id, score) of every row: the estimated probability of label 1. Null and empty texts get the bias's score.
 
     The columns named in carry follow, so that a row's score stays with the row whatever its doc_id.
+    A row's sum is made of its own features in order, so equal texts get equal scores.
 
     The weights are broadcast; their size is fixed by bits.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        w = shared.value.astype(np.float64)
+        w = shared.value
         for batch in batches:
-            scores = [np.zeros(0)]
-            for _, part in textkit.slices(batch.column(1)):
+            for start, part in textkit.slices(batch.column(1), SLICE):
                 offsets, at, values = features(part, bits)
-                sums = np.concatenate(([0.0], np.cumsum(w[at] * values)))
-                scores.append(_sigmoid(sums[offsets[1:]] - sums[offsets[:-1]] + w[-1]))
-            rest = [batch.column(1) if c == text else batch.column(2 + others.index(c)) for c in carry]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores)), *rest], ["doc_id", "score", *carry])
+                row = np.repeat(np.arange(len(part)), np.diff(offsets))
+                sums = np.bincount(row, weights=w[at] * values, minlength=len(part))
+                rest = [batch.column(1 if c == text else 2 + others.index(c)).slice(start, len(part)) for c in carry]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.array(_sigmoid(sums + float(w[-1]))), *rest], ["doc_id", "score", *carry])
 
     others = [c for c in carry if c != text]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *others)

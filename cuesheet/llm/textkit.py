@@ -20,6 +20,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LETTER = np.zeros(256, dtype=np.uint8)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = 1
+KEPT = 4 << 20
 _powers = np.ones(1, dtype=U)
 _inverse = np.ones(1, dtype=U)
 
@@ -34,14 +35,18 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, grown when a longer chunk comes."""
+    """Powers of the base and of its inverse, grown when a longer chunk comes; those of very long chunks aren't kept."""
     global _powers, _inverse
-    if len(_powers) < n:
-        for name, base in (("_powers", _BASE), ("_inverse", U(pow(int(_BASE), -1, 1 << 64)))):
-            steps = np.full(n, base, dtype=U)
-            steps[0] = U(1)
-            globals()[name] = np.multiply.accumulate(steps)
-    return _powers, _inverse
+    if len(_powers) >= n:
+        return _powers, _inverse
+    made = []
+    for base in (_BASE, U(pow(int(_BASE), -1, 1 << 64))):
+        steps = np.full(n, base, dtype=U)
+        steps[0] = U(1)
+        made.append(np.multiply.accumulate(steps, out=steps))
+    if n <= KEPT:
+        _powers, _inverse = made
+    return made[0], made[1]
 
 
 def slices(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
