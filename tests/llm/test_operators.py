@@ -227,3 +227,55 @@ def test_chat_round_trip(spark):
     assert [(t.role, t.text) for t in one[-1].t] == [("assistant" if i % 2 else "user", t or "") for i, t in enumerate(nasty)]
     assert [r.loss for r in one] == [t or "" for t in nasty[1::2]]
     assert sorted(str(r.conv_id) for r in got if r.conv_id != 1) == ["2", "None"]
+
+
+def test_equal_texts_score_equally(spark):
+    docs, labels = labelled(spark, lambda t: t.upper().replace(" ", "!! "), False)
+    texts = [" ".join(WORDS[i % 24] for i in range(k, k + 50)) for k in range(7)]
+    again = documents(spark, [(2000 + i, texts[i % 7] if i % 3 else "x " * i) for i in range(210)])
+    for made in (quality.classify(docs.union(again), labels, "label", carry=["text"]), toxicity.classify(docs.union(again), labels, "label", carry=["text"])):
+        assert made.groupBy("text").agg(queries.F.count_distinct("score").alias("n")).where("n > 1").count() == 0
+
+
+def plain_ratios(rows):
+    """(word, context and pair ratios) of class-conditional Kneser-Ney models, counted in plain Python."""
+    seen = [{"pair": {}, "word": {}} for _ in range(2)]
+    for words, label in rows:
+        u = v = ""
+        for w in words:
+            seen[label]["pair"].setdefault((v, w), set()).add(u)
+            seen[label]["word"].setdefault(w, set()).add(v)
+            u, v = v, w
+    count = [{kind: {k: len(s) for k, s in table.items()} for kind, table in one.items()} for one in seen]
+    both = {w: len(seen[0]["word"].get(w, set()) | seen[1]["word"].get(w, set())) for w in {*seen[0]["word"], *seen[1]["word"]}}
+    uniform = sum(both.values()) + toxicity.PRIOR * (len(both) + 1)
+
+    def word(c, w):
+        n, own = sum(count[c]["word"].values()), count[c]["word"]
+        return (max(own.get(w, 0) - 1, 0) + len(own) * (both.get(w, 0) + toxicity.PRIOR) / uniform) / n
+
+    def pair(c, v, w):
+        after = {k: n for k, n in count[c]["pair"].items() if k[0] == v}
+        return (max(after.get((v, w), 0) - 1, 0) + len(after) * word(c, w)) / sum(after.values()) if after else word(c, w)
+
+    return lambda v, w: (np.log(word(1, w) / word(0, w)), np.log(pair(1, v, w) / pair(0, v, w)))
+
+
+def test_toxicity_ratios_are_kneser_ney(spark):
+    rng = np.random.default_rng(11)
+    texts = [(" ".join(rng.choice(WORDS[: 6 + 6 * (i % 3)], 12)), int(i % 5 == 0)) for i in range(60)]
+    rows = spark.createDataFrame([(t, y, i % 3) for i, (t, y) in enumerate(texts)], "text string, label int, fold int")
+    counts = toxicity.count(rows)
+    given = [" ".join(rng.choice([*WORDS, "unseen", "other"], 9)) for _ in range(20)] + ["", None, "alpha", "unseen unseen"]
+    asked = spark.createDataFrame([(i, 0, t) for i, t in enumerate(given)], "id long, label int, text string")
+    for model, left_out in ((0, None), (2, 1)):
+        ratio = plain_ratios([(t.split(), y) for i, (t, y) in enumerate(texts) if i % 3 != left_out])
+        made = toxicity.model_of(counts, model)
+        for limit in (10**6, 0):
+            got = {r.id: [r.f0, r.f1, r.f2] for r in toxicity.featured(asked, made, broadcast_entries=limit).collect()}
+            for i, text in enumerate(given):
+                words = (text or "").split()
+                found = [ratio(v, w) for v, w in zip(["", *words], words)]
+                best = sorted((a for a, _ in found), reverse=True)
+                want = [sum(b for _, b in found) / max(1, len(found)), sum(best[:1]), sum(best[:3]) / 3]
+                assert np.allclose(got[i], want, atol=1e-9), (i, text)
