@@ -238,25 +238,28 @@ def test_equal_texts_score_equally(spark):
 
 
 def plain_ratios(rows):
-    """(word, context and pair ratios) of class-conditional Kneser-Ney models, counted in plain Python."""
-    seen = [{"pair": {}, "word": {}} for _ in range(2)]
-    for words, label in rows:
-        u = v = ""
-        for w in words:
-            seen[label]["pair"].setdefault((v, w), set()).add(u)
-            seen[label]["word"].setdefault(w, set()).add(v)
-            u, v = v, w
-    count = [{kind: {k: len(s) for k, s in table.items()} for kind, table in one.items()} for one in seen]
-    both = {w: len(seen[0]["word"].get(w, set()) | seen[1]["word"].get(w, set())) for w in {*seen[0]["word"], *seen[1]["word"]}}
+    """(word ratio, pair ratio) of class-conditional Kneser-Ney models, counted in plain Python."""
+    texts, before = [{}, {}], [{}, {}]
+    for i, (words, label) in enumerate(rows):
+        for v, w in zip(["", *words], words, strict=False):
+            texts[label].setdefault((v, w), set()).add(i)
+            before[label].setdefault(w, set()).add(v)
+    many = [{k: len(s) for k, s in t.items()} for t in texts]
+    after = [{k: len(s) for k, s in b.items()} for b in before]
+    both = {w: len(before[0].get(w, set()) | before[1].get(w, set())) for w in {*before[0], *before[1]}}
+    vocabulary = [w for w in both if after[1].get(w, 0) >= 2]
+    known = [k for k in many[1] if many[1][k] >= 2 and k[1] in vocabulary]
     uniform = sum(both.values()) + toxicity.PRIOR * (len(both) + 1)
 
     def word(c, w):
-        n, own = sum(count[c]["word"].values()), count[c]["word"]
-        return (max(own.get(w, 0) - 1, 0) + len(own) * (both.get(w, 0) + toxicity.PRIOR) / uniform) / n
+        n = sum(after[c].values())
+        given = {x: max(after[c].get(x, 0) - 1, 0) / n for x in vocabulary}
+        return given.get(w, 0) + (1 - sum(given.values())) * (both.get(w, 0) + toxicity.PRIOR) / uniform
 
     def pair(c, v, w):
-        after = {k: n for k, n in count[c]["pair"].items() if k[0] == v}
-        return (max(after.get((v, w), 0) - 1, 0) + len(after) * word(c, w)) / sum(after.values()) if after else word(c, w)
+        n = sum(k for (x, _), k in many[c].items() if x == v)
+        given = {y: max(many[c].get((x, y), 0) - 1, 0) / max(n, 1) for x, y in known if x == v}
+        return given.get(w, 0) + (1 - sum(given.values())) * word(c, w)
 
     return lambda v, w: (np.log(word(1, w) / word(0, w)), np.log(pair(1, v, w) / pair(0, v, w)))
 
@@ -275,7 +278,7 @@ def test_toxicity_ratios_are_kneser_ney(spark):
             got = {r.id: [r.f0, r.f1, r.f2] for r in toxicity.featured(asked, made, broadcast_entries=limit).collect()}
             for i, text in enumerate(given):
                 words = (text or "").split()
-                found = [ratio(v, w) for v, w in zip(["", *words], words)]
+                found = [ratio(v, w) for v, w in zip(["", *words], words, strict=False)]
                 best = sorted((a for a, _ in found), reverse=True)
                 want = [sum(b for _, b in found) / max(1, len(found)), sum(best[:1]), sum(best[:3]) / 3]
                 assert np.allclose(got[i], want, atol=1e-9), (i, text)
