@@ -13,22 +13,25 @@ def quoted(text: str) -> str:
 def mixing_sql(table: str = "documents", columns: str = "doc_id, text, lang, source, n_chars", power: float = 0.5, epochs: float = 1.0, seed: int = 17) -> str:
     steps = mixing.poisson_steps()
     hexed = lambda text, n: f"cast('0x' || substr(md5({text}), 1, {n}) as bigint)"
-    name = "coalesce(cast(doc_id as varchar), 'null')"
+    uniform = lambda text: f"cast({hexed(text, mixing.HEX52)} as double) / {1 << 52}.0"
     return f"""
 with recursive sizes as (
   select source, count(*) as n_docs, {"sqrt(cast(count(*) as double))" if power == 0.5 else f"pow(cast(count(*) as double), {power})"} as weight from {table} group by source),
 totals as (select cast(sum(n_docs) as double) as all_docs, sum(weight) as all_weight from sizes),
-rates as (select source, least({epochs} * all_docs * weight / all_weight / n_docs, {mixing.MAX_RATE}) as rate from sizes, totals),
+full_rates as (select source, {epochs} * all_docs * weight / all_weight / n_docs as rate from sizes, totals),
+rates as (select source, greatest(1, ceil(rate / {mixing.MAX_RATE})) as parts, rate / greatest(1, ceil(rate / {mixing.MAX_RATE})) as rate from full_rates),
 cdf(source, rate, k, term, total) as (
   select source, rate, 0, exp(-rate), exp(-rate) from rates
   union all
   select source, rate, k + 1, term * rate / (k + 1), total + term * rate / (k + 1) from cdf where k < {steps}),
-steps as (select source, list(total order by k) as totals from cdf group by source),
+steps as (select source, list(distinct total) filter (total < 1) as totals from cdf group by source),
+named as (select d.*, coalesce(cast(doc_id as varchar), 'text:' || md5(coalesce(text, ''))) as name, totals, parts
+  from {table} d join steps s on d.source is not distinct from s.source join rates r on d.source is not distinct from r.source),
 drawn as (
-  select d.*, len(list_filter(s.totals, lambda x: x <= cast({hexed(f"'{seed}:' || {name}", mixing.HEX52)} as double) / {1 << 52}.0)) as n
-  from {table} d join steps s on d.source is not distinct from s.source),
-copies as (select {columns}, cast(unnest(range(1, n + 1)) as integer) as mix_copy from drawn)
-select {columns}, mix_copy, {hexed(f"'{seed}-order:' || {name} || ':' || cast(mix_copy as varchar)", 15)} as mix_key from copies
+  select *, cast(list_sum(list_transform(range(1, cast(parts as bigint) + 1), lambda part: len(list_filter(totals, lambda x: x <= case when part = 1 then {uniform(f"'{seed}:' || name")} else {uniform(f"'{seed}:' || name || ':' || cast(part as varchar)")} end)))) as bigint) as n
+  from named),
+copies as (select name, {columns}, cast(unnest(range(1, n + 1)) as integer) as mix_copy from drawn)
+select {columns}, mix_copy, {hexed("'" + str(seed) + "-order:' || name || ':' || cast(mix_copy as varchar)", 15)} as mix_key from copies
 """
 
 

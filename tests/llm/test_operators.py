@@ -282,3 +282,36 @@ def test_toxicity_ratios_are_kneser_ney(spark):
                 best = sorted((a for a, _ in found), reverse=True)
                 want = [sum(b for _, b in found) / max(1, len(found)), sum(best[:1]), sum(best[:3]) / 3]
                 assert np.allclose(got[i], want, atol=1e-9), (i, text)
+
+
+def test_mixing_meets_weights_far_apart(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "en", "rare" if i < 10 else "common", 2) for i in range(20_000)], DOCS)
+    got = {r.source: r["count"] for r in mixing.mix(docs, weights={"rare": 0.5, "common": 0.5}).groupBy("source").count().collect()}
+    assert all(abs(n - 10_000) < 500 for n in got.values()) and len(got) == 2
+
+
+def test_mixing_odd_rows(spark):
+    rows = [(None, f"t{i}", "en", "s", 1, i, i) for i in range(400)] + [(None, None, None, None, None, 400, 0), (7, "same", "en", "s", 1, 401, 1), (7, "same", "en", "s", 1, 401, 1), (8, "x" * 50_000, "en", "s", 1, 402, 2)]
+    docs = spark.createDataFrame(rows, DOCS + ", cdf long, parts long").withColumnRenamed("cdf", "_mix_source")
+    got = mixing.mix(docs)
+    assert got.columns == [*docs.columns, "mix_copy", "mix_key"]
+    counts = {r._mix_source: r["count"] for r in got.where("doc_id is null and source = 's'").groupBy("_mix_source").count().collect()}
+    assert 200 < len(counts) < 310 and 330 < sum(counts.values()) < 480 and len(set(counts.values())) > 2
+    assert got.where("doc_id = 7").count() % 2 == 0
+    keys = [r.mix_key for r in got.select("mix_key").collect()]
+    assert keys == sorted(keys)
+    again = mixing.mix(got, seed=5)
+    assert again.columns == [*docs.columns, "mix_copy", "mix_key"]
+
+
+def test_mixing_equals_sql_with_large_rates_and_null_ids(spark, tmp_path):
+    import duckdb
+
+    from cuesheet.llm import oracles
+
+    rows = [(None if i % 50 == 0 else i, f"t{i}", "en", "few" if i < 6 else None if i % 3 else "many", 2) for i in range(4000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    docs.coalesce(1).write.parquet(str(tmp_path / "d"))
+    want = duckdb.sql(oracles.mixing_sql(f"read_parquet('{tmp_path}/d/*.parquet')", power=0.0)).fetchall()
+    got = [tuple(r) for r in mixing.mix(docs, power=0.0).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) > 3000
