@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import minhash, mixing, pieces, quality, scratch, toxicity
+from cuesheet import scratch
+from cuesheet.llm import minhash, mixing, pieces, quality, toxicity
 from cuesheet.llm.queries import PIECE_MODEL
 from cuesheet.shipping import ship
 
