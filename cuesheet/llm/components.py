@@ -25,10 +25,12 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import drop, keep
+from cuesheet.operators.links import connected
+from cuesheet.scratch import drop, keep
 
 
-SALTS = 8
+#: Rows of a group that meet one of its few rows in a task.
+ROWS_PER_SALT = 1000
 
 
 class Pairing(Protocol):
@@ -56,33 +58,6 @@ class Pairing(Protocol):
         """The pairs that are links."""
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """(id, component) for every id in edges (a, b); component is the smallest id reachable.
-
-    Alternating large-star and small-star steps, each a few shuffles of the edges; the
-    steps grow with the logarithm of the largest component, and each writes its edges,
-    so that lost executors cost one step. Self links, repeated rows and nulls are dropped.
-    """
-    now = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    while True:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a")
-        small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_least.select("a", F.col("m").alias("b")))
-        after = keep(small.distinct(), "edges")
-        seen = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop(now)
-        now = after
-        if seen == mark:
-            break
-        mark = seen
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", F.col("b").alias("component")).distinct())
-
-
 def _ordered(pairs: DataFrame, one: str, two: str) -> DataFrame:
     return pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
 
@@ -116,9 +91,10 @@ def link(keyed: DataFrame, pairing: Pairing, known: DataFrame) -> DataFrame:
     more = keep(_ordered(deltas.where((F.col("id") != F.col("pivot")) & pairing.linked_to_pivot()), "id", "pivot"), "links")
     again = keep(connected(links.union(more)), "parts")
     placed = deltas.join(again, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component").withColumnRenamed("pivot", "key")
-    spread = _open(placed).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    spread = keep(spread, "spread")
-    few = spread.where("part <> main").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+    spread = _open(placed)
+    sizes = spread.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_SALT).alias("salts"))
+    spread = keep(spread.join(sizes, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))), "spread")
+    few = spread.where("part <> main").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
     few = few.select([F.col(c).alias(f"x_{c}") for c in few.columns])
     same = (F.col("x_key") == F.col("key")) & (F.col("x_salt") == F.col("salt")) & (F.col("x_part") != F.col("part"))
     last = keep(_ordered(few.join(spread, same & pairing.linked("x_", "")), "x_id", "id"), "links")

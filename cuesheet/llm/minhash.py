@@ -3,7 +3,7 @@
 A document's signature is POSITIONS minimum hashes of its word shingles, 16 bits of
 each. Two sets of similarity s differ at a position with probability 1 - s, so the
 distance of a pair at the threshold is binomial; the distance bound is the one that
-such a pair exceeds once in a million. The signature is split into chunks, more than
+such a pair exceeds once in 10**9 times, and a more similar one still more rarely. The signature is split into chunks, more than
 half the bound: by the pigeonhole principle a pair within the bound has a chunk with
 at most one error. A chunk with c positions is therefore indexed c times, each time
 with another position left out (the enumerated error), and every pair within the
@@ -20,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuesheet.scratch import drop, keep
+
 from . import textkit
 from .components import link
-from .scratch import drop, keep
 
 POSITIONS = 64
-MISS = 1e-6
+MISS = 1e-9
 _SEEDS = textkit.mix(np.arange(1, POSITIONS + 1, dtype=np.uint64))
 _FACTORS = textkit.mix(np.arange(1001, 1001 + POSITIONS, dtype=np.uint64)) | np.uint64(1)
 
