@@ -1,9 +1,10 @@
 """WARC archives and their globally ordered capture index.
 
-Pages are written as WARC 1.1 records: of equal payloads the page with the smallest
-id becomes a response, the others revisit records that point to it. Each archive read
-back gives a run of captures sorted by URL key and timestamp; the runs are merged by
-ranges of that key, each range in one task with a loser tree over its part of all runs.
+Pages are written as WARC 1.1 records, each a gzip member of its own, so that the index's
+offsets can be sought in the archives: of equal payloads the page with the smallest id
+becomes a response, the others revisit records that point to it. Each archive read back
+gives a run of captures sorted by URL key and timestamp; the runs are merged by ranges
+of that key, each range in one task with a loser tree over its part of all runs.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import base64
 import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -19,14 +21,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import keep, new_path
+from cuesheet.scratch import delete, drop, keep, new_path
+
 
 # The base32 alphabet, the record separator, the revisit profile.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE = "urn:cuesheet:page:"
-RECORDS_PER_ARCHIVE = 2000
+RECORDS_PER_ARCHIVE, BYTES_PER_ARCHIVE = 2000, 64 << 20
+BROADCAST_REVISITS = 200_000
+CHUNK = 1 << 16
 ROWS_PER_MERGE = 50_000
 CAPTURE = "urlkey string, ts string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, archive string, offset long, length long"
 
@@ -55,13 +60,21 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     smallest page_id are responses and the others revisits; null ids count as larger than
     all, and a payload that only has null ids has responses only. Line ends in URLs
     are percent-encoded; a null URL is left out.
+
+    Which rows revisit is found from digests alone. Payloads stay where they are if a count
+    shows that few rows revisit, and move by page id otherwise, never by digest.
     """
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), sha1_base32(payload).alias("digest"))
-    first = rows.groupBy("digest").agg(F.min("id").alias("first_id"))
     size = F.octet_length("html")
-    revisit = (F.coalesce("id", F.col("first_id") + 1) > F.col("first_id")) & (size >= min_revisit_bytes)
-    joined = rows.join(first, "digest").withColumn("revisit", F.coalesce(revisit, F.lit(False)))
+    rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), sha1_base32(payload).alias("digest"))
+    found = keep(rows.select("id", "digest", size.alias("size")), "digests")
+    first = found.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 and first_id is not null")
+    again = found.join(first, "digest").where("id is null or id > first_id").select(F.col("id").alias("of_id"), F.col("digest").alias("of_digest"), "first_id").distinct()
+    again = keep(again, "revisits")
+    drop(found)
+    few = again.limit(BROADCAST_REVISITS + 1).count() <= BROADCAST_REVISITS
+    joined = rows.join(F.broadcast(again) if few else again, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("digest") == F.col("of_digest")), "left")
+    joined = joined.withColumn("revisit", F.col("first_id").isNotNull())
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n"))
     block = F.when(F.col("revisit"), http).otherwise(F.concat(http, "html"))
     name = lambda c: F.concat(F.lit(f"<{PAGE}"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
@@ -81,9 +94,39 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     return joined.withColumn("block", block).select(F.concat(F.concat_ws("\r\n", *fields), F.lit(END), "block").alias("record"))
 
 
-def write(made: DataFrame, path: str) -> None:
-    """Write records as gzip-compressed archives of at most RECORDS_PER_ARCHIVE each, through Spark's committing text writer."""
-    made.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path)
+def _members(batches):
+    for batch in batches:
+        for record in batch.column(0):
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(record.as_py().encode(), 6, mtime=0)], pa.binary())], ["member"])
+
+
+def write(made: DataFrame, path: str, records_per_archive: int = RECORDS_PER_ARCHIVE) -> None:
+    """Write records as archives of at most records_per_archive each, through Spark's committing text writer.
+
+    Every record is a gzip member, and so is the separator after it. The writer puts out
+    the members' bytes as they are.
+    """
+    members = made.mapInArrow(_members, "member binary").select(F.col("member").cast("string"))
+    separator = gzip.compress(END.encode(), 6, mtime=0).decode("latin-1")
+    members.write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", records_per_archive).text(path)
+
+
+def members(raw: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, content) of each gzip member of an archive, one in memory at a time; separators are left out."""
+    at, view = 0, memoryview(raw)
+    while at < len(raw):
+        reader, content, stop = zlib.decompressobj(wbits=31), [], at
+        while not reader.eof:
+            if stop >= len(raw):
+                raise ValueError(f"the archive ends in a member that begins at {at}")
+            piece = view[stop : stop + CHUNK]
+            content.append(reader.decompress(piece))
+            stop += len(piece)
+        stop -= len(reader.unused_data)
+        whole = b"".join(content)
+        if whole != END.encode():
+            yield at, stop - at, whole
+        at = stop
 
 
 def url_key(url: str) -> str:
@@ -96,30 +139,24 @@ def url_key(url: str) -> str:
 
 
 def parse(raw: bytes, archive: str) -> Iterator[tuple]:
-    """Captures of an uncompressed archive's records, with their offsets in it. A payload that doesn't have its stated digest is an error."""
-    at = 0
-    while at < len(raw):
-        head_end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:head_end].decode().split("\r\n")
+    """Captures of an archive's records, with the offsets and lengths of their members. A payload that doesn't have its stated digest is an error."""
+    number = lambda text: None if text in (None, f"<{PAGE}null>") else int(text.removeprefix(f"<{PAGE}").removesuffix(">"))
+    for at, length, record in members(raw):
+        start = record.index(b"\r\n\r\n") + 4
+        lines = record[: start - 4].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at {archive}:{at}")
         fields = dict(line.split(": ", 1) for line in lines[1:])
-        start = head_end + 4
-        stop = start + int(fields["Content-Length"])
-        http_end = raw.index(b"\r\n\r\n", start) + 4
-        http = dict(line.split(": ", 1) for line in raw[start : http_end - 4].decode().split("\r\n")[1:])
-        digest, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
-        size = int(http["Content-Length"])
+        http_end = record.index(b"\r\n\r\n", start) + 4
+        http = dict(line.split(": ", 1) for line in record[start : http_end - 4].decode().split("\r\n")[1:])
+        digest, kind, size = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], int(http["Content-Length"])
         if kind == "response":
-            payload = raw[http_end:stop]
+            payload = record[http_end : start + int(fields["Content-Length"])]
             size = len(payload)
             if base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                 raise ValueError(f"wrong payload digest at {archive}:{at}")
-        number = lambda text: None if text in (None, f"<{PAGE}null>") else int(text.removeprefix(f"<{PAGE}").removesuffix(">"))
         url = fields.get("WARC-Target-URI")
-        stop += len(END)
-        yield (url_key(url or ""), fields["WARC-Date"], number(fields["WARC-Record-ID"]), url, kind, number(fields.get("WARC-Refers-To")), digest, size, archive, at, stop - at)
-        at = stop
+        yield (url_key(url or ""), fields["WARC-Date"], number(fields["WARC-Record-ID"]), url, kind, number(fields.get("WARC-Refers-To")), digest, size, archive, at, length)
 
 
 def _order(row: tuple) -> tuple:
@@ -136,7 +173,7 @@ def _runs(batches):
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             archive = unquote(path.rpartition("/")[2])
-            yield _batch(sorted(parse(gzip.decompress(content.as_buffer()), archive), key=_order))
+            yield _batch(sorted(parse(content.as_buffer().to_pybytes(), archive), key=_order))
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -192,7 +229,8 @@ def _merge(batches):
         for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
             by_run.setdefault(row[8], []).append(row)
     for run in by_run.values():
-        run.sort(key=_order)  # a run arrives in order, which costs one pass; if its task was repeated it may not
+        if any(_order(a) > _order(b) for a, b in zip(run, run[1:], strict=False)):
+            run.sort(key=_order)  # runs arrive in order, but for one whose blocks were fetched again
     rows: list[tuple] = []
     for row in LoserTree([iter(run) for _, run in sorted(by_run.items())], _order):
         rows.append(row)
@@ -213,13 +251,18 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 
 
 def archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit_bytes: int = 0, path: str | None = None) -> DataFrame:
-    """Write pages as archives under path (default: a new shared folder), read them back, and merge their index.
+    """Write pages as archives under path (default: a shared folder, deleted after it has been read), read them back, and merge their index.
 
-    A row for each row of pages, with the columns of CAPTURE. Empty tables give no
+    An archive holds RECORDS_PER_ARCHIVE records, or fewer so that the mean one has BYTES_PER_ARCHIVE. A row for each row of pages, with the columns of CAPTURE. Empty tables give no
     archives' records and an empty index; repeated rows give repeated records. Other
     columns are ignored.
     """
     spark = pages.sparkSession
-    path = path or new_path(spark, "warc")
-    write(records(pages, page_id, url, html, min_revisit_bytes), path)
-    return merge_runs(keep(read_runs(spark, path), "runs"))
+    place = path or new_path(spark, "warc")
+    rows, n_bytes = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col(html)))).first()
+    largest = max(1, min(RECORDS_PER_ARCHIVE, BYTES_PER_ARCHIVE * rows // max(1, n_bytes or 0)))
+    write(records(pages, page_id, url, html, min_revisit_bytes), place, largest)
+    runs = keep(read_runs(spark, place), "runs")
+    if not path:
+        delete(spark, place)
+    return merge_runs(runs)
