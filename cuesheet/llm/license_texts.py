@@ -85,3 +85,20 @@ KNOWN = {
     "CC-BY-NC-4.0#2": "Licensed under CC BY-NC 4.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
+
+#: Digests of the canonical forms of whole published texts.
+DIGESTS = {
+    "Apache-2.0": "323470f90b09495a69f0c40a7f31a6679d0a151830f653f5115e25e7f06e4631",
+    "Artistic-1.0-Perl": "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93",
+    "CC0-1.0": "e5d51a5ae235adee59a9ad1ae1122f080c0b4573529b78b5f5263702a9d6835c",
+    "GFDL-1.2": "2ac141fb5af3b1d9af299fdcde7bcc13a1c1370c360218eda71411f7e2a881ea",
+    "GFDL-1.3": "527988e8cd438f5f5bdf2b430126287ce638ef41cb9cae52a0cf1430742d4cf1",
+    "GPL-1.0": "a48193c59d5c82f5a3ba1c79919d808a144787c3ffa743b4ff81998ffaa76e39",
+    "GPL-2.0": "c1cc0e90f7cf40ad93784a985ee5d784e30cbaf3aa417577263df37e61d7786a",
+    "GPL-3.0": "fef5e9003dc27196ec8e341d7739e00992e3e936d44ce92b866a8af8850a20a7",
+    "LGPL-2.0": "d061885f75092f5cf0eab2ecab75c4fefee7fab4d77181e37a31c8d1637749e9",
+    "LGPL-2.1": "0c7a900d80c6c5db4509200e1b6bc60bc2f9fc708ffdbd7fd8c00893ff6e8f2c",
+    "LGPL-3.0": "66b14fc34f93c936630900c706c308c8ebf4fca8e604f1c91574d68a7c96cc53",
+    "MPL-1.1": "357148256b1935b113d22eee3c26fec0e452c767700262943ca9b84680771652",
+    "MPL-2.0": "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+}

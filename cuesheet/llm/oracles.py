@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import licenses, mixing, warc
-from .license_texts import KNOWN
+from .license_texts import DIGESTS, KNOWN
 
 
 def quoted(text: str) -> str:
@@ -48,9 +48,11 @@ def canonical_sql(text: str) -> str:
 
 def licenses_sql() -> str:
     values = ", ".join(f"({quoted(k.split('#')[0])}, {quoted(v)})" for k, v in sorted(KNOWN.items()))
+    digests = ", ".join(f"({quoted(v)}, {quoted(k)})" for k, v in sorted(DIGESTS.items()))
     return f"""
 with known(license_id, license_text) as (values {values}),
-registry as (select sha256({canonical_sql("license_text")}) as digest, min(license_id) as license_id from known group by 1),
+registry as (
+  select digest, min(license_id) as license_id from (select sha256({canonical_sql("license_text")}) as digest, license_id from known union all select * from (values {digests})) group by digest),
 lines as (
   select r.n, sha256({canonical_sql("line")}) as digest
   from (select n, unnest(string_split(coalesce(text, ''), chr(10))) as line from (select row_number() over () as n, text from documents)) r),
