@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .scratch import keep
+from cuesheet.scratch import drop, keep
+
 
 SAMPLE = 40_000
 CALIBRATION = 96
@@ -133,11 +134,14 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, embedding) of the vectors that take part.
 
-    Left out: null ids; vectors that are null, zero, or hold null or non-finite components;
-    vectors of another length than most have (of equally frequent lengths, the smallest).
-    Rows of one vec_id are one vector, the smallest of them.
+    Components stay floats where they are floats, and are doubles otherwise. Left out: null
+    ids; vectors that are null, zero, or hold null or non-finite components; vectors of
+    another length than most have, with which there is no inner product (of equally
+    frequent lengths, the smallest is kept). Rows of one vec_id are one vector, the smallest of them.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding")).where("vec_id is not null and embedding is not null")
+    element = vectors.schema[embedding].dataType.elementType.simpleString()
+    kept = F.col(embedding).cast(f"array<{element if element == 'float' else 'double'}>")
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), kept.alias("embedding")).where("vec_id is not null and embedding is not null")
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = rows.where(~F.exists("embedding", odd) & F.exists("embedding", lambda x: x != 0))
     length = rows.groupBy(F.size("embedding").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "n").first()
@@ -235,7 +239,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, target: float = 0.
             leaf = shared.value.assign(lifted(matrix(batch.column(1)), longest)) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leaf.astype(np.int32))], ["vec_id", "embedding", "leaf"])
 
-    placed = keep(rows.mapInArrow(leaves, "vec_id long, embedding array<float>, leaf int"), "placed")
+    kind = rows.schema["embedding"].dataType.simpleString()
+    placed = keep(rows.mapInArrow(leaves, f"vec_id long, embedding {kind}, leaf int"), "placed")
     sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     trial, trial_ids = taken_x[:CALIBRATION], taken_ids[:CALIBRATION]
@@ -251,9 +256,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, target: float = 0.
             lists = pa.array(order, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["query_id", "embedding", "leaves"])
 
-    queries = keep(rows.where(is_query).mapInArrow(visited, "query_id long, embedding array<float>, leaves array<int>"), "queries")
-    lowest = F.lit(float("-inf")).cast("double")
-    found = None
+    queries = keep(rows.where(is_query).mapInArrow(visited, f"query_id long, embedding {kind}, leaves array<int>"), "queries")
+    found, used = None, [rows, placed, queries]
     for start, stop in WIDENINGS:
         least = F.lit(float("-inf")).cast("double")
         asked = queries
@@ -262,6 +266,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, target: float = 0.
             asked, least = queries.join(kth.select("query_id", "kth"), "query_id", "left"), F.coalesce("kth", least)
         wider = asked.select("query_id", "embedding", least.alias("least"), F.explode(F.slice("leaves", start + 1, (stop or visits) - start)).alias("leaf")) if visits > start else None
         if wider is not None:
-            more = keep(_in_cells(keep(wider, "asked"), placed, sizes, k), "found")
+            wider = keep(wider, "asked")
+            more = keep(_in_cells(wider, placed, sizes, k), "found")
+            drop(wider)
             found = more if found is None else found.union(more)
+    for table in used:
+        drop(table)
     return _nearest(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
