@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import re
 import zlib
 
@@ -315,3 +316,99 @@ def test_mixing_equals_sql_with_large_rates_and_null_ids(spark, tmp_path):
     want = duckdb.sql(oracles.mixing_sql(f"read_parquet('{tmp_path}/d/*.parquet')", power=0.0)).fetchall()
     got = [tuple(r) for r in mixing.mix(docs, power=0.0).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and len(got) > 3000
+
+
+def test_one_member_a_record_can_be_sought(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame([(i, f"http://h{i % 7}.org/{i % 3}", "<p>" + "é" * (i % 5) * 50_000 + f"{i % 40}</p>") for i in range(120)] + [(3, "http://h.org", "again"), (3, "http://h.org", "again")], "page_id long, url string, html string")
+    index = [r for r in warc.archive(pages, path=str(tmp_path / "w")).collect()]
+    assert len(index) == 122
+    for r in index:
+        raw = (tmp_path / "w" / r.archive).read_bytes()
+        record = gzip.decompress(raw[r.offset : r.offset + r.length]).decode()
+        assert record.startswith("WARC/1.1\r\n") and f"<{warc.PAGE}{r.page_id}>" in record and r.payload_digest in record
+        assert r.record_type == "revisit" or record.endswith("</p>") or record.endswith("again")
+    whole = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "w").glob("part-*")))
+    assert whole.count(b"WARC/1.1\r\n") == 122
+    order = [(r.urlkey, r.ts, r.page_id) for r in index]
+    assert order == sorted(order)
+
+
+def test_warc_joins_revisits_either_way(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", f"x{i % 9}") for i in range(60)] + [(None, "u", "x1"), (None, "u", "y"), (None, "u", "y")], "page_id long, url string, html string").withColumn("digest", queries.F.lit(1)).withColumn("revisit", queries.F.lit("z"))
+    wide = sorted(warc.archive(pages).select("page_id", "record_type", "refers_to").collect(), key=str)
+    monkeypatch.setattr(warc, "BROADCAST_REVISITS", 0)
+    assert sorted(warc.archive(pages).select("page_id", "record_type", "refers_to").collect(), key=str) == wide
+    assert [(r.record_type, r.refers_to) for r in wide if r.page_id is None] == [("response", None), ("response", None), ("revisit", 1)]
+
+
+def test_quality_features_and_updates_are_plain_ones(spark):
+    texts = ["One two two three", "ALL CAPS!! ALL", "", None, "a b a b a b", "é è, é è"]
+    offsets, at, values = quality.features(pa.array(texts, pa.large_string()))
+    for i, text in enumerate(texts):
+        parts = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+", (text or "").encode())
+        grams = [*parts, *[("again",) if a == b else (a, b) for a, b in zip(parts, parts[1:], strict=False)], *["caps" for p in parts if len(p) > 2 and re.fullmatch(rb"[A-Z]+", p)]]
+        counts = {g: grams.count(g) for g in grams}
+        want = sorted((c / len(grams)) ** 0.5 for c in counts.values())
+        assert np.allclose(sorted(values[offsets[i] : offsets[i + 1]]), want)
+    labels = np.array([1, 0, 1, 0, 1, 0])
+    w = quality.ftrl([(offsets, at, values)], [labels], updates=30, l1=0.02)
+    z, n, bias = {}, {}, 1 << quality.BITS
+    weight = lambda k: 0.0 if abs(z.get(k, 0.0)) <= 0.02 else -(z[k] - np.sign(z[k]) * 0.02) / ((1 + n[k] ** 0.5) / 1.0 + 0.01)
+    for _ in range(5):
+        for i, y in enumerate(labels):
+            x = {int(k): float(v) for k, v in zip(at[offsets[i] : offsets[i + 1]], values[offsets[i] : offsets[i + 1]], strict=True)} | {bias: 1.0}
+            now = {k: weight(k) for k in x}
+            p = 1 / (1 + np.exp(-sum(now[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y) * v
+                z[k] = z.get(k, 0.0) + g - ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) * now[k]
+                n[k] = n.get(k, 0.0) + g * g
+    assert all(abs(w[k] - weight(k)) < 1e-5 for k in z) and np.count_nonzero(w) <= len(z)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in quality.score(rows, w).collect()}
+    for i in range(len(texts)):
+        total = w[bias] + sum(w[k] * v for k, v in zip(at[offsets[i] : offsets[i + 1]], values[offsets[i] : offsets[i + 1]], strict=True))
+        assert abs(got[i] - 1 / (1 + np.exp(-total))) < 1e-6
+
+
+def test_neighbours_of_clusters_doubles_and_ties(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(30, 24)) * 3
+    x = np.repeat(centers, 60, axis=0) + rng.normal(size=(1800, 24)) * 0.4
+    x[40:46] = x[40]
+    x[0] *= 1 + 1e-12
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(vectors, queries.F.col("vec_id") % 60 == 0, k=12).toPandas().sort_values(["query_id", "rank"])
+    hits = 0
+    for i in range(0, 1800, 60):
+        mine = got[got.query_id == i]
+        scores = np.zeros(1800)
+        for k in range(24):
+            scores += x[i, k] * x[:, k]
+        assert np.array_equal(mine.score.to_numpy(), scores[mine.vec_id]) and list(mine["rank"]) == list(range(1, 13)) and i not in set(mine.vec_id)
+        assert [*zip(-mine.score, mine.vec_id)] == sorted(zip(-mine.score, mine.vec_id))
+        scores[i] = -np.inf
+        hits += len(set(mine.vec_id) & set(np.lexsort((np.arange(1800), -scores))[:12].tolist()))
+    assert hits / 360 >= 0.9
+
+
+def test_licenses_odd_rows(spark):
+    known = {"A": "Same words here.", "B#2": "same words, here", "C": "per cent of the copyright holders"}
+    long = "x " * 40_000 + "\nSame words here!\n" + "y " * 40_000
+    rows = [(1, "SAME WORDS HERE"), (1, "SAME WORDS HERE"), (2, long), (None, ""), (3, None), (4, "percent of\nthe copyright owners"), (5, "(c) 2020 me\nSame words\r here\n\nSame words here")]
+    docs = documents(spark, rows).withColumn("digest", queries.F.lit("z")).withColumn("_hits", queries.F.lit(1))
+    got = sorted(licenses.scan(docs, known=known, digests={}).drop("text_digest").collect(), key=str)
+    want = [(1, "A", "A", 1), (1, "A", "A", 1), (2, None, "A", 1), (None, None, "", 0), (3, None, "", 0), (4, "C", "", 0), (5, None, "A", 2)]
+    assert [tuple(r) for r in got] == sorted(want, key=lambda r: f"Row(doc_id={r[0]!r}, text_license={r[1]!r}")
+    assert licenses.scan(docs.limit(0)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists("/usr/share/common-licenses/GPL-2"), reason="no licence files here")
+def test_whole_published_licences(spark):
+    with open("/usr/share/common-licenses/GPL-2") as file:
+        text = file.read()
+    got = licenses.scan(documents(spark, [(1, text), (2, "  " + text.upper() + "\n"), (3, text + "more")])).orderBy("doc_id").collect()
+    assert [r.text_license for r in got] == ["GPL-2.0", "GPL-2.0", None]
