@@ -55,8 +55,7 @@ def rebuild_best(stored: DataFrame, comments: DataFrame) -> DataFrame:
     """
     place = Window.partitionBy("video_id").orderBy("text")
     rows = comments.select("video_id", "text").distinct().withColumn("comment_pos", F.row_number().over(place).cast("bigint"))
-    best = timeline.best_comments(timeline.candidates(rows))
-    new = store.insert_ignore(timeline.entries_of(rows, best)).groupBy("video_id").agg(F.count(F.lit(1)).alias("new"))
+    new = store.insert_ignore(timeline.best_entries(rows)).groupBy("video_id").agg(F.count(F.lit(1)).alias("new"))
     old = stored.groupBy("video_id").agg(F.count(F.lit(1)).alias("old"))
     both = old.join(new, "video_id", "full")
     after = F.coalesce("new", "old")

@@ -6,11 +6,14 @@ comment or one video, so nothing wider than a comment meets in a task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions import text
 from cuesheet.functions.text import CLOCK, SPACE, rx
+from cuesheet.operators.store import insert_ignore
 
 COMMENT = ["video_id", "comment_pos"]
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -37,45 +40,51 @@ def entry_lines(comments: DataFrame) -> DataFrame:
     return lines(comments).where("is_entry").select(*COMMENT, "line_no", "timestamp_text", "seconds", "raw_song_title", "normalized_song_title")
 
 
-def blocks(comments: DataFrame) -> DataFrame:
-    """Blocks of at least two consecutive entries, of comments with at least two clock times.
+def located(comments: DataFrame) -> DataFrame:
+    """lines() of comments with at least two clock times, with has_marker, run (number of lines so far that are no entries), starts (whether a block
+    starts here), and of the entries from here to the end of the run: n_entries, span, artist_lines.
 
-    A comment with marker lines has the first block after each marker, if at most SKIPPED
-    other lines come before it; one without has all its blocks. Columns: run and
-    start_line (where the block's entries are), n_entries, span, artist_lines, has_marker.
+    In a comment with marker lines a block starts at the first entry after each marker, if
+    at most SKIPPED other lines come before it; in one without, after every line that is no entry.
     """
     rows = lines(comments.where(text.clock_count(F.col("text")) >= 2))
     line = Window.partitionBy(*COMMENT).orderBy("line_no")
-    so_far, ahead = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(0, Window.unboundedFollowing)
+    so_far, before = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumns({
         "run": F.sum((~F.col("is_entry")).cast("int")).over(so_far),
         "plain_lines": F.sum(F.col("is_plain").cast("int")).over(so_far),
         "has_marker": F.max("is_marker").over(Window.partitionBy(*COMMENT)),
+        "last_marker": F.max(F.when(F.col("is_marker"), F.col("line_no"))).over(so_far),
+        "last_entry": F.coalesce(F.max(F.when(F.col("is_entry"), F.col("line_no"))).over(before), F.lit(-1)),
     })
-    rows = rows.withColumns({
-        "next_entry": F.min(F.when(F.col("is_entry"), F.col("line_no"))).over(ahead),
-        "plain_before": F.min(F.when(F.col("is_entry"), F.col("plain_lines"))).over(ahead) - F.col("plain_lines"),
-        "follows": F.coalesce(F.lag("is_entry").over(line), F.lit(False)),
-    })
+    rows = rows.withColumn("plain_at_marker", F.max(F.when(F.col("is_marker"), F.col("plain_lines"))).over(so_far))
+    after_marker = (F.col("last_marker") > F.col("last_entry")) & (F.col("plain_lines") - F.col("plain_at_marker") <= SKIPPED)
+    first_of_run = (F.col("last_entry") < 0) | (F.col("last_entry") != F.col("line_no") - 1)
+    starts = F.col("is_entry") & F.coalesce(F.when(F.col("has_marker"), after_marker).otherwise(first_of_run), F.lit(False))
     rest = Window.partitionBy(*COMMENT, "run").orderBy("line_no").rowsBetween(0, Window.unboundedFollowing)
     own = F.when(F.col("is_entry"), F.col("seconds"))
-    rows = rows.withColumns({
+    return rows.withColumns({
+        "starts": starts,
         "n_entries": F.sum(F.col("is_entry").cast("int")).over(rest).cast("bigint"),
         "span": F.max(own).over(rest) - F.min(own).over(rest),
         "artist_lines": F.sum((F.col("is_entry") & text.has_separator(F.coalesce("raw_song_title", F.lit("")))).cast("int")).over(rest).cast("bigint"),
-    })
-    marked = rows.where(F.col("is_marker") & (F.col("plain_before") <= SKIPPED)).select(*COMMENT, F.col("next_entry").alias("line_no")).distinct()
-    heads = rows.where(F.col("is_entry"))
-    after_marker = heads.where("has_marker").join(marked, [*COMMENT, "line_no"], "left_semi")
-    found = after_marker.unionByName(heads.where(~F.col("has_marker") & ~F.col("follows")))
-    return found.where("n_entries >= 2").select(*COMMENT, F.col("line_no").alias("start_line"), "run", "n_entries", "span", "artist_lines", "has_marker")
+    }).drop("plain_lines", "last_marker", "last_entry", "plain_at_marker")
+
+
+def blocks(comments: DataFrame) -> DataFrame:
+    """Blocks of at least two consecutive entries: run and start_line (where the block's entries are), n_entries, span, artist_lines, has_marker."""
+    found = located(comments).where(F.col("starts") & (F.col("n_entries") >= 2))
+    return found.select(*COMMENT, F.col("line_no").alias("start_line"), "run", "n_entries", "span", "artist_lines", "has_marker")
+
+
+def scored() -> Column:
+    return (F.col("has_marker").cast("int") * 1000 + F.col("n_entries") * 20 + F.col("artist_lines") * 3 + F.least(F.floor(F.col("span") / 600), F.lit(20))).cast("bigint")
 
 
 def candidates(comments: DataFrame) -> DataFrame:
     """The best block of each comment that has one, by entries, then span, then place; with its score."""
     best = Window.partitionBy(*COMMENT).orderBy(F.desc("n_entries"), F.desc("span"), "start_line")
-    score = F.col("has_marker").cast("int") * 1000 + F.col("n_entries") * 20 + F.col("artist_lines") * 3 + F.least(F.floor(F.col("span") / 600), F.lit(20))
-    return blocks(comments).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n").withColumn("score", score.cast("bigint"))
+    return blocks(comments).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n").withColumn("score", scored())
 
 
 def best_comments(found: DataFrame) -> DataFrame:
@@ -84,13 +93,16 @@ def best_comments(found: DataFrame) -> DataFrame:
     return found.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def entries_of(comments: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The entries of chosen candidates, one row each, in line order; entry_id is the line's number in its comment."""
-    rows = lines(comments.join(chosen.select(*COMMENT), COMMENT, "left_semi"))
-    so_far = Window.partitionBy(*COMMENT).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("run", F.sum((~F.col("is_entry")).cast("int")).over(so_far)).where("is_entry")
-    own = chosen.select(*COMMENT, "run", "start_line")
-    kept = rows.join(own, [*COMMENT, "run"]).where("line_no >= start_line")
+def best_entries(comments: DataFrame) -> DataFrame:
+    """The entries of best_comments(candidates(comments)), one row each, in one pass over the lines; entry_id is the line's number in its comment."""
+    rows = located(comments)
+    rank = F.struct("n_entries", "span", (-F.col("line_no")).alias("minus_line"), "artist_lines", "run", "has_marker")
+    head = F.when(F.col("starts") & (F.col("n_entries") >= 2), rank)
+    rows = rows.withColumn("block", F.max(head).over(Window.partitionBy(*COMMENT))).where(F.col("block").isNotNull() & F.col("is_entry"))
+    rows = rows.select(*COMMENT, "line_no", "timestamp_text", "seconds", "raw_song_title", "normalized_song_title", F.col("run").alias("own_run"), "block.*")
+    rows = rows.where((F.col("own_run") == F.col("run")) & (F.col("line_no") >= -F.col("minus_line"))).withColumn("score", scored())
+    order = F.struct("has_marker", "score", "n_entries", (-F.col("comment_pos")).alias("minus_pos"))
+    kept = rows.withColumn("order", order).withColumn("best", F.max("order").over(Window.partitionBy("video_id"))).where("order = best")
     return kept.select("video_id", "comment_pos", F.col("line_no").cast("bigint").alias("entry_id"), "timestamp_text", "seconds", "raw_song_title", "normalized_song_title")
 
 
@@ -100,14 +112,30 @@ def index(comments: DataFrame, videos: DataFrame, max_comments: int | None = 100
     Only the first max_comments comments of a video are looked at; without all_videos only
     videos whose title looks like a song stream.
     """
-    from .store import insert_ignore
+    found = best_entries(_looked_at(comments, videos, max_comments, all_videos))
+    return insert_ignore(found).withColumn("jump_url", text.jump_url(F.col("video_id"), F.col("seconds")))
 
+
+def _looked_at(comments: DataFrame, videos: DataFrame, max_comments: int | None, all_videos: bool) -> DataFrame:
     wanted = videos if all_videos else videos.where(text.is_stream_title(F.col("title")))
     rows = comments.join(wanted.select("video_id"), "video_id", "left_semi")
-    if max_comments is not None:
-        rows = capped(rows, ["video_id"], "comment_pos", max_comments)
-    found = entries_of(rows, best_comments(candidates(rows)))
-    return insert_ignore(found).withColumn("jump_url", text.jump_url(F.col("video_id"), F.col("seconds")))
+    return rows if max_comments is None else capped(rows, ["video_id"], "comment_pos", max_comments)
+
+
+def index_stats(comments: DataFrame, videos: DataFrame, max_comments: int | None = 100, all_videos: bool = False) -> DataFrame:
+    """One row of counters of an index() run: videos_seen, _indexed and _skipped, comments_seen, timeline_comments (videos with a timeline), entries_inserted."""
+    streamed = F.lit(True) if all_videos else text.is_stream_title(F.col("title"))
+    parts = [
+        videos.agg(F.count(F.lit(1)).alias("videos_seen"), F.count_if(streamed).alias("videos_indexed"), F.count_if(~streamed).alias("videos_skipped")),
+        _looked_at(comments, videos, max_comments, all_videos).agg(F.count(F.lit(1)).alias("comments_seen")),
+        index(comments, videos, max_comments, all_videos).agg(F.count_distinct("video_id").alias("timeline_comments"), F.count(F.lit(1)).alias("entries_inserted")),
+    ]
+    return merged_stats(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+
+
+def merged_stats(rows: DataFrame) -> DataFrame:
+    """The sums of rows of counters, such as those of several channels' runs."""
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns])
 
 
 def capped(rows: DataFrame, parent: list[str], order: str, n: int) -> DataFrame:

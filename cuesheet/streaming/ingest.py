@@ -13,7 +13,7 @@ def run(spark: SparkSession, landed: str, out: str, state: str, schema: StructTy
     """Read all comment files under landed that weren't read before, and append the entries of each batch to out, by batch."""
 
     def batch(comments: DataFrame, number: int) -> None:
-        found = timeline.entries_of(comments, timeline.best_comments(timeline.candidates(comments)))
+        found = timeline.best_entries(comments)
         found.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{out}/batch={number}/rows")
 
     stream = spark.readStream.schema(schema).parquet(landed)
