@@ -1,20 +1,23 @@
 """Songs grouped by identity: greedily within a channel, then across channels.
 
-The greedy steps depend on the order of rows. Rows of a channel are reduced to runs of
-equal (merge_key, artist_key) in that order, which get one group each; only these runs
-go to Python, a channel at a time.
+The greedy steps depend on the order of rows, but rows only influence each other if they
+have one song key, or one artist and similar song keys. So song keys are joined to
+components over such pairs first. A component's rows go through the greedy step in order,
+as a stream: a task holds the state of one component's groups, not its rows, and rows that
+can't change a group any more aren't sent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions import identity, text
-from cuesheet.operators import search
+from cuesheet.operators import links, search
+from cuesheet.scratch import keep
 from cuesheet.sources.sample import Catalogue
 
 ROW_ORDER = "canonical_song_title, channel_title, normalized_song_title, published_at desc nulls last, seconds, video_id, entry_id"
@@ -57,7 +60,7 @@ def compatible(a: str, b: str) -> bool:
 
 
 class Groups:
-    """Groups of one channel in order of birth, found by song key or by artist key instead of by looking at all."""
+    """Groups of one channel's component in order of birth, found by song key or by artist key instead of by looking at all."""
 
     def __init__(self):
         self.song, self.artist, self.born = [], [], {}  # by group; (song key, artist key at birth) -> group
@@ -89,15 +92,57 @@ class Groups:
         return same if same is not None else next((g for g in sorted(self.of_artist.get(artist, [])) if similar(self.song[g], key)), None)
 
 
-def _place_runs(runs: pd.DataFrame) -> pd.DataFrame:
-    groups = Groups()
-    runs = runs.sort_values("run")
-    placed = [groups.place(k, a) for k, a in zip(runs["merge_key"], runs["artist_key"], strict=True)]
-    return pd.DataFrame({"channel_id": runs["channel_id"], "run": runs["run"], "group_seq": placed})
+def _streamed(state: type, place: Callable, columns: list[str]):
+    """A function for mapInPandas: place(state, row) for rows that come component by component, each with a state of its own."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, own = None, state()
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if row.component != now:
+                    now, own = row.component, state()
+                out.append(place(own, row))
+            yield pd.DataFrame(out, columns=columns)
+
+    return run
+
+
+def _in_components(rows: DataFrame, order: str) -> DataFrame:
+    return rows.repartition("component").sortWithinPartitions("component", order)
+
+
+def _with_component(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows (merge_key, artist_key, ...) with component, a name of all song keys within by that may share a group with theirs, and linked, whether there are several."""
+    name = lambda key: F.concat_ws("\x1f", *by, key)
+    pairs = links.near_pairs(rows.where("artist_key <> ''"), "merge_key", [*by, "artist_key"], 6)
+    pairs = pairs.where(identity.is_similar_key(F.col("one"), F.col("other"))).select(name("one").alias("a"), name("other").alias("b"))
+    found = links.connected(pairs).withColumnRenamed("id", "name")
+    named = rows.withColumn("name", name("merge_key")).join(found, "name", "left")
+    return named.withColumn("linked", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "name")).drop("name")
+
+
+class _Channel(Groups):
+    """Groups that are named by the seq of the row that they were born with."""
+
+    def __init__(self):
+        super().__init__()
+        self.names: list[int] = []
+
+    def placed(self, row) -> tuple:
+        found = self.place(row.merge_key, row.artist_key)
+        if found == len(self.names):
+            self.names.append(row.seq)
+        return row.channel_id, row.seq, row.merge_key, row.artist_key, self.names[found]
 
 
 def grouped_rows(c: Catalogue, channel: str | None = None, artist: str | None = None) -> DataFrame:
-    """Entries with their identity and group (channel_id, group_seq); seq is a row's place in its channel."""
+    """Entries with their identity and group (channel_id, group_seq); seq is a row's place in ROW_ORDER, group_seq that of its group's first row.
+
+    Only in components of several song keys can a later row of a (song key, artist key) join
+    another group than the first one did; of the others just the first goes through the greedy step.
+    The rows are written once, because seq comes from a sort.
+    """
     rows = search.joined(c)
     if channel:
         rows = rows.where(search.channel_filter(channel))
@@ -105,14 +150,18 @@ def grouped_rows(c: Catalogue, channel: str | None = None, artist: str | None =
     rows = rows.join(titles, "raw_song_title")
     if artist and artist.strip():
         rows = rows.where(~F.col("ambiguous") & identity.artist_matches(F.col("artist_keys"), text.compact_key(F.lit(artist.strip()))))
-    rows = rows.withColumn("seq", F.expr(f"row_number() over (partition by channel_id order by {ROW_ORDER})"))
-    place = Window.partitionBy("channel_id").orderBy("seq")
-    pair = F.struct("merge_key", "artist_key")
-    changed = ~pair.eqNullSafe(F.lag(pair).over(place))
-    rows = rows.withColumn("run", F.sum(changed.cast("int")).over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = rows.select("channel_id", "run", "merge_key", "artist_key").distinct()
-    placed = runs.groupBy("channel_id").applyInPandas(_place_runs, "channel_id string, run long, group_seq long")
-    return rows.join(placed, ["channel_id", "run"])
+    rows = keep(rows.orderBy(*[F.expr(o) if " desc" not in o else F.desc_nulls_last(o.split()[0]) for o in ROW_ORDER.split(", ")]).withColumn("seq", F.monotonically_increasing_id()), "grouped")
+    pair = ["channel_id", "merge_key", "artist_key"]
+    firsts = rows.groupBy(*pair).agg(F.min("seq").alias("seq"))
+    firsts = keep(_with_component(firsts, ["channel_id"]), "components")
+    wide = rows.select("channel_id", "seq", "merge_key", "artist_key").join(firsts.where("linked").select(*pair, "component"), pair)
+    walked = firsts.where("not linked").select("channel_id", "seq", "merge_key", "artist_key", "component").unionByName(wide)
+    schema = "channel_id string, seq long, merge_key string, artist_key string, group_seq long"
+    placed = keep(_in_components(walked, "seq").mapInPandas(_streamed(_Channel, _Channel.placed, ["channel_id", "seq", *pair[1:], "group_seq"]), schema), "placed")
+    alone = placed.join(firsts.where("not linked").select(*pair), pair, "left_semi").select(*pair, F.col("group_seq").alias("_alone"))
+    linked = placed.join(firsts.where("linked").select(*pair), pair, "left_semi").select("channel_id", "seq", F.col("group_seq").alias("_linked"))
+    both = rows.join(alone, pair, "left").join(linked, ["channel_id", "seq"], "left")
+    return both.withColumn("group_seq", F.coalesce("_alone", "_linked")).drop("_alone", "_linked")
 
 
 GROUP = ["channel_id", "group_seq"]
@@ -139,56 +188,55 @@ def display_artists(rows: DataFrame) -> DataFrame:
 def groups(rows: DataFrame) -> DataFrame:
     """A row for each group with its keys, display names and number of entries; place orders groups by their first row."""
     first = lambda c: F.min_by(c, "seq")
-    place = F.struct(first("canonical_song_title"), F.first("channel_title"), first("normalized_song_title"), F.min("seq"))
     made = rows.groupBy(*GROUP).agg(
-        F.first("channel_title").alias("channel_title"), place.alias("place"), first("merge_key").alias("song_key"),
+        F.first("channel_title").alias("channel_title"), F.min("seq").alias("place"), first("merge_key").alias("song_key"),
         F.coalesce(F.min_by("artist_key", F.when(F.col("artist_key") != "", F.col("seq"))), F.lit("")).alias("artist_key"),
         F.array_sort(F.collect_set("merge_key")).alias("title_keys"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("artist_keys")))).alias("artist_keys"),
         F.count(F.lit(1)).alias("n_entries"),
     )
     made = made.join(display_titles(rows), GROUP).join(display_artists(rows), GROUP, "left")
-    return made.withColumn("display_artist", F.coalesce("display_artist", F.lit("")))
+    return keep(made.withColumn("display_artist", F.coalesce("display_artist", F.lit(""))), "groups")
+
 
+class _Combined:
+    """Cross-channel groups of one component, in order of birth."""
 
-def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat([*batches, pd.DataFrame(columns=["channel_id", "group_seq", "place", "song_key", "artist_key", "display_artist"])])
-    by_song, by_artist, artist_of, song_of, shown, out = {}, {}, [], [], [], []
-    for row in rows.sort_values("at").itertuples():
-        target = next((t for t in by_song.get(row.song_key, []) if compatible(artist_of[t], row.artist_key)), None)
-        if row.artist_key:
-            other = next((t for t in sorted(by_artist.get(row.artist_key, [])) if song_of[t] != row.song_key and similar(song_of[t], row.song_key)), None)
+    def __init__(self):
+        self.by_song, self.by_artist, self.artist, self.song, self.shown, self.names = {}, {}, [], [], [], []
+
+    def placed(self, row) -> tuple:
+        key, artist = row.merge_key, row.artist_key
+        target = next((t for t in self.by_song.get(key, []) if compatible(self.artist[t], artist)), None)
+        if artist:
+            other = next((t for t in sorted(self.by_artist.get(artist, [])) if self.song[t] != key and similar(self.song[t], key)), None)
             target = other if target is None or (other is not None and other < target) else target
         if target is None:
-            target = len(song_of)
-            song_of.append(row.song_key)
-            artist_of.append(row.artist_key)
-            shown.append(row.display_artist)
-            by_song.setdefault(row.song_key, []).append(target)
-            by_artist.setdefault(row.artist_key, []).append(target)
-        elif not shown[target] and row.display_artist:
-            by_artist.get(artist_of[target], []).remove(target)
-            shown[target], artist_of[target] = row.display_artist, row.artist_key
-            by_artist.setdefault(row.artist_key, []).append(target)
-        out.append((row.channel_id, row.group_seq, target))
-    yield pd.DataFrame(out, columns=["channel_id", "group_seq", "combined"])
+            target = len(self.song)
+            self.names.append(row.at)
+            self.song.append(key)
+            self.artist.append(artist)
+            self.shown.append(row.display_artist)
+            self.by_song.setdefault(key, []).append(target)
+            self.by_artist.setdefault(artist, []).append(target)
+        elif not self.shown[target] and row.display_artist:
+            self.by_artist.get(self.artist[target], []).remove(target)
+            self.shown[target], self.artist[target] = row.display_artist, artist
+            self.by_artist.setdefault(artist, []).append(target)
+        return row.channel_id, row.group_seq, self.names[target]
 
 
 def combine(made: DataFrame) -> DataFrame:
-    """Groups of all channels with combined, the number of the cross-channel group that each joins.
-
-    Only the keys of groups, not their entries, meet in one task: which group a song joins
-    depends on all that were placed before it.
-    """
-    at = made.select(*GROUP, "place", "song_key", "artist_key", "display_artist").orderBy("place").withColumn("at", F.monotonically_increasing_id()).drop("place")
-    placed = at.coalesce(1).mapInPandas(_combine, "channel_id string, group_seq long, combined long")
+    """Groups of all channels with combined, which names the cross-channel group that each joins by its first one's place."""
+    at = made.select(*GROUP, F.col("place").alias("at"), F.col("song_key").alias("merge_key"), "artist_key", "display_artist")
+    placed = _in_components(_with_component(at, []), "at").mapInPandas(_streamed(_Combined, _Combined.placed, [*GROUP, "combined"]), "channel_id string, group_seq long, combined long")
     return made.join(placed, GROUP)
 
 
-def combined_groups(made: DataFrame) -> DataFrame:
-    """A row for each cross-channel group: keys of all, shortest title, first artist, numbers of entries and channels."""
-    rows = combine(made)
+def combined_groups(rows: DataFrame) -> DataFrame:
+    """A row for each cross-channel group of rows from combine(): keys of all, shortest title, first artist, numbers of entries and channels."""
     return rows.groupBy("combined").agg(
+        F.min("place").alias("place"),
         F.min_by("channel_id", "place").alias("channel_id"), F.min_by("channel_title", "place").alias("channel_title"),
         F.min_by("song_key", "place").alias("song_key"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("title_keys")))).alias("title_keys"),
@@ -201,11 +249,36 @@ def combined_groups(made: DataFrame) -> DataFrame:
 
 def search_grouped(c: Catalogue, song: str | None = None, channel: str | None = None, artist: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
     """A page of song groups. Songs are filtered after grouping, because groups depend on all rows of a channel."""
-    made = groups(grouped_rows(c, channel, artist))
+    return _page(c, song, channel, artist, limit, offset)[0].drop("combined")
+
+
+def search_grouped_entries(c: Catalogue, song: str | None = None, channel: str | None = None, artist: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """The entries of search_grouped's page: rank, pos (in the group, newest first), channel_pos and in_channel (the same by channel, largest first, from 0), channel_id, entry_id."""
+    page, placed = _page(c, song, channel, artist, limit, offset)
+    rows = placed.join(page.select("rank", "combined"), "combined")
+    newest = [F.desc(F.coalesce("published_at", F.lit(""))), F.desc(F.coalesce("seconds", F.lit(0))), F.col("place"), F.col("seq")]
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("rank").orderBy(*newest)))
+    rows = rows.withColumn("in_channel", F.row_number().over(Window.partitionBy("rank", "channel_id").orderBy("pos")))
+    by_channel = rows.groupBy("rank", "channel_id").agg(F.count(F.lit(1)).alias("n"), F.first("channel_title").alias("channel_title"), F.min("pos").alias("first_pos"))
+    largest = Window.partitionBy("rank").orderBy(F.desc("n"), text.fold(F.col("channel_title")), "first_pos")
+    by_channel = by_channel.select("rank", "channel_id", (F.row_number().over(largest) - 1).alias("channel_pos"))
+    found = rows.join(by_channel, ["rank", "channel_id"])
+    return found.select("rank", "entry_id", "channel_id", *[F.col(n).cast("bigint").alias(n) for n in ("pos", "channel_pos", "in_channel")])
+
+
+def _page(c: Catalogue, song: str | None, channel: str | None, artist: str | None, limit: int, offset: int) -> tuple[DataFrame, DataFrame]:
+    """(page of groups, with combined; entries with combined and their group's place)."""
+    rows = grouped_rows(c, channel, artist)
+    made = groups(rows)
     query, query_key = text.normalize_title(F.lit(song or "")), text.compact_key(F.lit(song or ""))
     if song:
         made = made.where((query == "") | identity.group_matches(F.col("title_keys"), F.col("song_key"), query, query_key))
-    shown = made.withColumn("channel_count", F.lit(1).cast("bigint")) if channel else combined_groups(made)
+    if channel:
+        placed = made.withColumn("combined", F.col("place"))
+        shown = placed.withColumn("channel_count", F.lit(1).cast("bigint"))
+    else:
+        placed = keep(combine(made), "combined")
+        shown = combined_groups(placed)
     names = {n: text.fold(F.col(n)) for n in ("channel_title", "display_title", "display_artist")}
     relevance = identity.group_relevance(F.col("title_keys"), F.col("song_key"), query, query_key)
     if song:
@@ -214,8 +287,9 @@ def search_grouped(c: Catalogue, song: str | None = None, channel: str | None =
         order = [names["display_title"], names["display_artist"], names["channel_title"], F.desc("n_entries")]
     else:
         order = [F.desc("n_entries"), names["channel_title"], names["display_title"], names["display_artist"]]
-    page = search.limited(shown, [*order, F.col("song_key"), F.col("channel_id")], limit, offset)
-    return page.select("rank", F.col("display_title").alias("song_title"), F.col("display_artist").alias("artist"), "channel_id", "channel_title", "song_key", F.array_join("title_keys", ",").alias("title_keys"), F.array_join("artist_keys", "|").alias("artist_keys"), "n_entries", "channel_count")
+    page = search.limited(shown, [*order, F.col("place")], limit, offset)
+    page = page.select("rank", F.col("display_title").alias("song_title"), F.col("display_artist").alias("artist"), "channel_id", "channel_title", "song_key", F.array_join("title_keys", ",").alias("title_keys"), F.array_join("artist_keys", "|").alias("artist_keys"), "n_entries", "channel_count", "combined")
+    return page, rows.join(placed.select(*GROUP, "combined", "place"), GROUP)
 
 
 def entries_in_order(rows: DataFrame) -> DataFrame:
