@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 from . import words
 from .text import SPACE, clean_title, compact_key, filled, is_short_ascii, let, rx, settled, strip
 
-ARTIST_SPLIT = (
-    rf"{SPACE}*(?:×|[&＆]|・|＋|\+|{SPACE}+[xX]{SPACE}+|\bw{SPACE}*[/／]{SPACE}*|\bfeat\.?\b|\bft\.?\b|\bwith\b|\band\b"
-    rf"|\bcovered{SPACE}+by\b|\bcover{SPACE}+by\b|[/／]){SPACE}*"
-)
 DISTANCE = 2
 
 
@@ -36,17 +32,21 @@ def is_likely_artist(value: Column) -> Column:
 
 def artist_tokens(artist: Column) -> Column:
     """The likely artists in an artist text, in order."""
-    cleaned = F.transform(F.split(artist, rx(ARTIST_SPLIT, "idU")), clean_title)
+    cleaned = F.transform(F.split(artist, rx(filled(words.ARTIST_SPLIT), "idU")), clean_title)
     return F.filter(cleaned, lambda t: (t != "") & is_likely_artist(t))
 
 
-def merge_title(title: Column, rounds: int = 4) -> Column:
-    """The title without version notes at its end; itself if nothing would remain."""
+def merge_title(title: Column) -> Column:
+    """The title without version notes at its end, however many; itself if nothing would remain."""
+    cut = lambda x: strip(F.regexp_replace(x, rx(filled(words.VERSION_TAIL) + r"\z", "idU"), ""))
+
+    def again(acc: Column, _: Column) -> Column:
+        return F.when(acc["done"], acc).otherwise(let(cut(acc["title"]), lambda x: F.struct(x.alias("title"), (x == acc["title"]).alias("done"))))
 
     def shortened(cleaned: Column) -> Column:
-        out = cleaned
-        for _ in range(rounds):
-            out = strip(F.regexp_replace(out, rx(filled(words.VERSION_TAIL) + r"\z", "idU"), ""))
+        start = F.struct(cleaned.alias("title"), F.lit(False).alias("done"))
+        rounds = F.sequence(F.lit(0), F.char_length(cleaned))
+        out = F.aggregate(rounds, start, again, lambda acc: acc["title"])
         return F.coalesce(F.nullif(clean_title(out), F.lit("")), cleaned)
 
     return let(clean_title(title), shortened)

@@ -32,6 +32,10 @@ DECORATION = r"\-*:|/\\~>#‐-―：｜／"
 KANA_TO_HAN = "぀-ヿ㐀-鿿"
 LETTER_OR_CJK = r"[\p{L}぀-ヿ㐀-䶿一-鿿가-힯]"
 MARKER = r"タイム{s}*スタンプ|time{s}*stamps?|セット{s}*リスト|set{s}*lists?|セトリ|曲{s}*リスト|songs?{s}*lists?"
+ARTIST_SPLIT = (
+    r"{s}*(?:×|[&＆]|・|＋|\+|{s}+[xX]{s}+|\bw{s}*[/／]{s}*|\bfeat\.?\b|\bft\.?\b|\bwith\b|\band\b"
+    r"|\bcovered{s}+by\b|\bcover{s}+by\b|[/／]){s}*"
+)
 NUMBERED = r"\[{s}*{d}+{s}*\]|\({s}*{d}+{s}*\)|（{s}*{d}+{s}*）|{d}+[.)、]|{d}{{1,3}}{s}+|{d}{{1,3}}曲目{s}*"
 SEPARATOR = r"{s}(?:-|/|\||–|—|／|｜){s}|[/／]"
 VERSION_KINDS = r"(?:piano|acoustic|guitar|live|karaoke|instrumental|remix|arrange|off{s}*vocal)"

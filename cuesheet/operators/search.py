@@ -80,7 +80,7 @@ def list_songs(c: Catalogue, channel: str | None = None, limit: int | None = 100
     channels = c.channels.where(channel_filter(channel)) if channel else c.channels
     used = c.entries.join(c.videos.select("video_id", "published_at"), "video_id", "left").groupBy("song_id")
     used = used.agg(F.count("entry_id").alias("entry_count"), F.count_distinct("video_id").alias("video_count"), F.max("published_at").alias("latest_published_at"))
-    rows = c.songs.join(F.broadcast(channels) if channel is None else channels, "channel_id").join(used, "song_id", "left")
+    rows = c.songs.join(channels, "channel_id").join(used, "song_id", "left")
     counts = [F.coalesce(n, F.lit(0)).alias(n) for n in ("entry_count", "video_count")]
     rows = rows.select("song_id", "channel_id", "channel_title", "canonical_song_title", "normalized_song_title", *counts, "latest_published_at")
     return limited(rows, [F.col("channel_title"), F.col("normalized_song_title"), F.col("channel_id")], limit)

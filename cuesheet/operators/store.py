@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cuesheet.scratch import exists
+
 ENTRY_KEY = ["video_id", "seconds", "normalized_song_title"]
 SONG_KEY = ["channel_id", "normalized_song_title"]
 
@@ -95,12 +97,30 @@ def needs_backfill(songs: DataFrame, entries: DataFrame) -> DataFrame:
     return rows.agg((n["entries"] & (~n["songs"] | n["unlinked"])).alias("needs_backfill"))
 
 
+#: The catalogue's tables, in the order of its fields.
+TABLES = {
+    "channels": "channel_id string, channel_title string",
+    "videos": "video_id string, channel_id string, title string, published_at string, url string, indexed_at timestamp",
+    "songs": "song_id bigint, channel_id string, canonical_song_title string, normalized_song_title string",
+    "song_entries": "entry_id bigint, song_id bigint, video_id string, timestamp_text string, seconds bigint, raw_song_title string, normalized_song_title string, source_comment string, jump_url string",
+}
+
+
 def create_tables(spark: SparkSession, database: str = "default") -> None:
     """The catalogue's tables, as Parquet, where they don't exist."""
-    for name, columns in {
-        "channels": "channel_id string, channel_title string",
-        "videos": "video_id string, channel_id string, title string, published_at string, url string, indexed_at timestamp",
-        "songs": "song_id bigint, channel_id string, canonical_song_title string, normalized_song_title string",
-        "song_entries": "entry_id bigint, song_id bigint, video_id string, timestamp_text string, seconds bigint, raw_song_title string, normalized_song_title string, source_comment string, jump_url string",
-    }.items():
+    for name, columns in TABLES.items():
         spark.sql(f"create table if not exists {database}.{name} ({columns}) using parquet")
+
+
+def write(catalogue, path: str) -> None:
+    """The catalogue's tables as Parquet under path."""
+    for name, rows in zip(TABLES, (catalogue.channels, catalogue.videos, catalogue.songs, catalogue.entries), strict=True):
+        rows.write.parquet(f"{path}/{name}")
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    return all(exists(spark, f"{path}/{name}/_SUCCESS") for name in TABLES)
+
+
+def read(spark: SparkSession, path: str) -> list[DataFrame]:
+    return [spark.read.parquet(f"{path}/{name}") for name in TABLES]

@@ -140,7 +140,7 @@ fx_videos as (
     concat('https://www.youtube.com/watch?v=v', cast(o_orderkey as varchar)) as url
   from orders join customer on c_custkey = o_custkey),
 fx_raw as (
-  select cast(row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) as bigint) as entry_id,
+  select cast(l_orderkey * 1000 + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_shipdate) as bigint) as entry_id,
     concat('v', cast(l_orderkey as varchar)) as video_id, cast(l_linenumber * 300 as bigint) as seconds, concat(cast(l_linenumber * 5 as varchar), ':00') as timestamp_text,
     concat(p_name, case when p_size % 5 = 0 then ' -piano ver.' else '' end, case when p_size % 3 = 0 then '' else concat(' / ', p_type) end) as raw_song_title
   from lineitem join part on p_partkey = l_partkey),
@@ -211,8 +211,7 @@ def build(titles: tuple, clocks: tuple, channels: tuple, comments: tuple, query_
           and len(list_filter(regexp_split_to_array({x}, {q(W + "+")}), lambda w: w <> '')) <= 5)"""
 
     def merged_steps(x: str) -> list:
-        cut = lambda c: strip(sub(c, "(?i)" + version_tail + "$"))
-        return [*cleaned(x, "m0"), *[(f"m{i}", cut(f"m{i - 1}")) for i in (1, 2, 3, 4)], *cleaned("m4", "m5"), ("merged", "case when m5 <> '' then m5 else m0 end")]
+        return [*cleaned(x, "m0"), ("m1", strip(sub("m0", f"(?i)(?:{version_tail})+$"))), *cleaned("m1", "m2"), ("merged", "case when m2 <> '' then m2 else m0 end")]
 
     def halves(name: str, pattern: str) -> list[tuple[str, str]]:
         """Steps to {name}_l and {name}_r, what is before and after the first match in c, cleaned, and {name}_ok, whether both are there."""
@@ -225,9 +224,7 @@ def build(titles: tuple, clocks: tuple, channels: tuple, comments: tuple, query_
         ]
 
     bracket = rf"^{W}*[\[【『「［](.{{1,50}})[\]】』」］]{W}*(.+)$"
-    split = (
-        rf"(?i){W}*(?:×|[&＆]|・|＋|\+|{W}+[xX]{W}+|\bw{W}*[/／]{W}*|\bfeat\.?\b|\bft\.?\b|\bwith\b|\band\b|\bcovered{W}+by\b|\bcover{W}+by\b|[/／]){W}*"
-    )
+    split = "(?i)" + filled(words.ARTIST_SPLIT)
     known = ", ".join(map(q, words.KNOWN_ARTISTS))
     parts = layered("raw_titles", ("o", strip("replace(title, '　', ' ')")), cleaned("o", "c"), cleaned(f"regexp_extract(o, {q(bracket)}, 1)", "b_artist"), cleaned(f"regexp_extract(o, {q(bracket)}, 2)", "b_song"),
                     halves("s", f"{W}*[/／]{W}*"), halves("p", f"{W}*[|｜]{W}*"), halves("d", f"{W}+(?:-|–|—){W}+"))
@@ -312,6 +309,11 @@ tl_kept as (
 stays as (select * from fx_placed where video_id not in (select video_id from again)),
 mixed as (select video_id, seconds, raw_song_title, normalized_song_title, song_id, jump_url from stays
   union all select video_id, seconds + 30, raw_song_title, normalized_song_title, song_id, concat('https://www.youtube.com/watch?v=', video_id, '&t=', cast(seconds + 30 as varchar), 's') from again)"""
+    odd = f"""odd0 as (
+  select entry_id + 500 + which as entry_id, video_id, title as raw_song_title, case which when 0 then 'extra' else lower(title) end as normalized_song_title, which
+  from (select entry_id, video_id, unnest(range(5)) as which, unnest(['[Clash] extra', 'Clash', 'MC', 'goods ' || video_id, 'bgm']) as title from fx_placed where ends_with(video_id, '3') and entry_id % 1000 = 1)),
+odd as (select o.*, channel_id, {SONG_ID} as song_id, which = 1 or (which = 4 and count(*) over (partition by channel_id, which) > 1) as kept from odd0 o join fx_videos using (video_id)),
+stored as (select entry_id, song_id, raw_song_title, normalized_song_title from fx_placed union all select entry_id, song_id, raw_song_title, normalized_song_title from odd)"""
     counted = """counts as (select (select count(*) from fx_placed) as b, (select count(distinct video_id) from tl_kept) as v,
   (select count(*) from fx_placed where video_id not in (select video_id from tl_kept)) + (select count(*) from tl_kept) as a)"""
     bare = strip("channel")
@@ -342,7 +344,7 @@ from fx_channels left join (select channel_id, count(*) as n from fx_videos grou
         "snk8_rebuild": song_counts("seconds >= 600"),
         "snk9_needs_backfill": "select true as needs_backfill",
         "w1_song_count": over("select entry_id, song_id, count(*) over (partition by song_id) as entry_count from fx_placed"),
-        "a5_low_confidence": over(f"select entry_id, raw_song_title, entry_count from (select *, count(*) over (partition by song_id) as entry_count from fx_placed) where entry_count <= 1 and {doubtful('raw_song_title', 'normalized_song_title')}"),
+        "a5_low_confidence": over(f"select entry_id, raw_song_title, entry_count from (select *, count(*) over (partition by song_id) as entry_count from stored) where entry_count <= 1 and {doubtful('raw_song_title', 'normalized_song_title')}", odd),
         "p2_urls": over("select video_id, url, url || '&t=' || cast(length(title) as varchar) || 's' as jump_url from fx_videos"),
         "p3_date": over("select video_id, substr(coalesce(nullif(case when ends_with(video_id, '5') then '' else published_at end, ''), 'unknown'), 1, 10) as shown from fx_videos"),
         "f6_title_filter": over(f"select video_id, title from fx_videos where {any_of(fold('title'), words.STREAM_PARTS)}"),
@@ -382,7 +384,17 @@ from (select array_to_string(string_split(canonical_song_title, ' ')[1:2], ' ')
         "s1_key_union": identified("""select g.merge_key, coalesce(string_agg(distinct k, '|' order by k), '') as artist_keys from (select distinct merge_key from identities) g
   left join (select merge_key, unnest(artist_keys) as k from identities) i using (merge_key) group by g.merge_key"""),
         "s2_key_overlap": identified("""select a.merge_key, a.artist_key as left_keys, b.artist_key as right_keys from pairs a join pairs b on a.merge_key = b.merge_key and list_has_any(a.artist_keys, b.artist_keys)""", "pairs as (select distinct merge_key, artist_key, artist_keys from identities where len(artist_keys) > 0)"),
-        "q7_prune": over("select song_id, count(*) as entry_count, min(raw_song_title) as least_title from fx_placed group by song_id"),
+        "q7_prune": over("select song_id, count(*) as entry_count, min(raw_song_title) as least_title from (select song_id, raw_song_title from fx_placed union all select song_id, raw_song_title from odd where kept) group by song_id", odd),
+        "q7_pruned_entries": over("select entry_id from odd where not kept", odd),
+        "a14_index_stats": lined(f"""select (select count(*) from fx_videos) as videos_seen, (select count(*) from fx_videos where {any_of(fold('title'), words.STREAM_PARTS)}) as videos_indexed,
+  (select count(*) from fx_videos where not {any_of(fold('title'), words.STREAM_PARTS)}) as videos_skipped, (select count(*) from tl_comments) as comments_seen, (select count(distinct video_id) from tl_kept) as timeline_comments,
+  (select count(*) from tl_kept) as entries_inserted""", f"(select * exclude (n) from (select c.*, row_number() over (partition by video_id order by comment_pos) as n from fx_comments c join fx_videos v using (video_id) where {any_of(fold('v.title'), words.STREAM_PARTS)}) where n = 1)"),
+        "src1_videos": over("""select video_id, case when o % 5 > 0 then title else '' end as title, channel_id, case when o % 7 > 0 then channel_title else '' end as channel_title, published_at
+  from (select v.*, cast(substr(video_id, 2) as bigint) as o, channel_title from fx_videos v join fx_channels using (channel_id))"""),
+        "src2_comments": over("""select video_id, cast(2000 + row_number() over (partition by video_id order by comment_pos) - 1 as bigint) as comment_pos, video_id || '-' || cast(comment_pos as varchar) as comment_id,
+  case when length(text) % 9 > 0 then text else '' end as text, case when length(text) % 2 > 0 then 'someone' else '' end as author, case when length(text) % 3 > 0 then '2024-03-03' end as published_at from fx_comments"""),
+        "src4_channels": over("""select channel_id, case when cast(substr(channel_id, 3) as int) % 3 > 0 then channel_title else '' end as channel_title, 'UU' || substr(channel_id, 3) as uploads_playlist_id
+  from fx_channels where cast(substr(channel_id, 3) as int) % 4 > 0"""),
         "js1_json_extract": "select event_id, json_extract_string(props, '$.k') as k from events",
         "src3_uploads": """select 'c' || cast(c_custkey as varchar) as video_id, c_name as title, case when c_custkey % 3 = 1 then 'UC' || cast(c_nationkey as varchar) else c_mktsegment end as channel_id,
   'shared' as channel_title, case when c_custkey % 5 > 0 then '2024-02-02' else '2024-01-01' end as published_at from customer where c_custkey % 7 > 0""",

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sample
 from .sample import read
 
 SNIPPET = "title string, channelId string, channelTitle string, publishedAt string, videoOwnerChannelId string, videoOwnerChannelTitle string"
 UPLOADS = f"struct<items: array<struct<snippet: struct<{SNIPPET.replace(' string', ': string')}>, contentDetails: struct<videoId: string, videoPublishedAt: string>>>>"
 VIDEOS = f"struct<items: array<struct<id: string, snippet: struct<{SNIPPET.replace(' string', ': string')}>>>>"
-COMMENTS = "struct<items: array<struct<id: string, snippet: struct<topLevelComment: struct<id: string, snippet: struct<textDisplay: string, textOriginal: string, authorDisplayName: string, publishedAt: string>>>>>>"
+COMMENTS = "struct<items: array<struct<id: string, snippet: struct<topLevelComment: struct<id: string, snippet: struct<textDisplay: string, authorDisplayName: string, publishedAt: string>>>>>>"
 CHANNELS = "struct<items: array<struct<id: string, snippet: struct<title: string>, contentDetails: struct<relatedPlaylists: struct<uploads: string>>>>>"
 
 
@@ -47,8 +48,8 @@ def videos(payloads: DataFrame) -> DataFrame:
 def comments(payloads: DataFrame) -> DataFrame:
     """Top-level comments of payloads (video_id, page_no, payload); comment_pos is their place over all pages of a video."""
     c = F.col("item.snippet.topLevelComment")
-    rows = items(payloads, COMMENTS).withColumn("comment_pos", F.col("page_no") * 1000 + F.col("item_no"))
-    return rows.select("video_id", "comment_pos", c["id"].alias("comment_id"), F.coalesce(c["snippet"]["textOriginal"], c["snippet"]["textDisplay"], F.lit("")).alias("text"), F.coalesce(c["snippet"]["authorDisplayName"], F.lit("")).alias("author"), c["snippet"]["publishedAt"].alias("published_at"))
+    rows = items(payloads, COMMENTS).withColumn("comment_pos", (F.col("page_no") * 1000 + F.col("item_no")).cast("bigint"))
+    return rows.select("video_id", "comment_pos", c["id"].alias("comment_id"), F.coalesce(c["snippet"]["textDisplay"], F.lit("")).alias("text"), F.coalesce(c["snippet"]["authorDisplayName"], F.lit("")).alias("author"), c["snippet"]["publishedAt"].alias("published_at"))
 
 
 def channels(payloads: DataFrame) -> DataFrame:
@@ -68,3 +69,29 @@ def sample_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "customer").select((key / 50).cast("bigint").alias("page_no"), key, F.struct(snippet.alias("snippet"), details.alias("contentDetails")).alias("item"))
     pages = rows.groupBy("page_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", "item"))), lambda x: x["item"]).alias("items"))
     return pages.select("page_no", F.to_json(F.struct("items")).alias("payload"))
+
+
+def sample_video_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response for each of the sample's videos, some fields missing."""
+    n = F.regexp_extract("video_id", "[0-9]+", 0).cast("bigint")
+    snippet = F.struct(F.when(n % 5 > 0, F.col("title")).alias("title"), F.col("channel_id").alias("channelId"), F.when(n % 7 > 0, F.col("channel_title")).alias("channelTitle"), F.col("published_at").alias("publishedAt"))
+    rows = sample.videos(spark, sf_dir).join(sample.channels(spark, sf_dir), "channel_id")
+    return rows.select(F.lit(0).alias("page_no"), F.to_json(F.struct(F.array(F.struct(F.col("video_id").alias("id"), snippet.alias("snippet"))).alias("items"))).alias("payload"))
+
+
+def sample_comment_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of comments for each of the sample's videos, some texts and dates missing."""
+    name = F.concat_ws("-", "video_id", F.col("comment_pos").cast("string"))
+    n = F.char_length("text")
+    snippet = F.struct(F.when(n % 9 > 0, F.col("text")).alias("textDisplay"), F.when(n % 2 > 0, F.lit("someone")).alias("authorDisplayName"), F.when(n % 3 > 0, F.lit("2024-03-03")).alias("publishedAt"))
+    item = F.struct(F.lit("thread").alias("id"), F.struct(F.struct(name.alias("id"), snippet.alias("snippet")).alias("topLevelComment")).alias("snippet"))
+    pages = sample.comments(spark, sf_dir).groupBy("video_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("comment_pos", item.alias("item")))), lambda x: x["item"]).alias("items"))
+    return pages.select("video_id", F.lit(2).alias("page_no"), F.to_json(F.struct("items")).alias("payload"))
+
+
+def sample_channel_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response for each of the sample's channels; every fourth has no uploads."""
+    n = F.substring("channel_id", 3, 3).cast("int")
+    details = F.struct(F.struct(F.when(n % 4 > 0, F.concat(F.lit("UU"), F.substring("channel_id", 3, 3))).alias("uploads")).alias("relatedPlaylists"))
+    item = F.struct(F.col("channel_id").alias("id"), F.struct(F.when(n % 3 > 0, F.col("channel_title")).alias("title")).alias("snippet"), details.alias("contentDetails"))
+    return sample.channels(spark, sf_dir).select(F.lit(0).alias("page_no"), F.to_json(F.struct(F.array(item).alias("items"))).alias("payload"))

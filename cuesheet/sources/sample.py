@@ -7,7 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cuesheet import scratch
 from cuesheet.functions import text
+from cuesheet.operators import store
+
+
+LINES_PER_VIDEO = 1000
 
 
 @dataclass
@@ -49,13 +54,13 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entry_id, video_id, seconds, timestamp_text, raw_song_title. The number over all rows is a property of the sample only."""
+    """entry_id (in order of videos and lines), video_id, seconds, timestamp_text, raw_song_title."""
     rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    order = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     version = F.when(F.col("p_size") % 5 == 0, " -piano ver.").otherwise("")
     artist = F.when(F.col("p_size") % 3 == 0, "").otherwise(F.concat(F.lit(" / "), "p_type"))
     return rows.select(
-        F.row_number().over(order).cast("bigint").alias("entry_id"),
+        (F.col("l_orderkey") * LINES_PER_VIDEO + F.row_number().over(order)).alias("entry_id"),
         F.concat(F.lit("v"), F.col("l_orderkey").cast("string")).alias("video_id"),
         (F.col("l_linenumber") * 300).cast("bigint").alias("seconds"),
         F.concat((F.col("l_linenumber") * 5).cast("string"), F.lit(":00")).alias("timestamp_text"),
@@ -71,12 +76,23 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("video_id", "comment_pos").agg(F.concat(heading, lines).alias("text"))
 
 
-def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
+def built(spark: SparkSession, sf_dir: str) -> Catalogue:
     """All raw entries as stored ones: first of equal (video, seconds, normal title) wins, songs by channel and normal title."""
-    from cuesheet.operators import store
-
     videos_ = videos(spark, sf_dir)
     raw = raw_entries(spark, sf_dir).withColumn("normalized_song_title", text.normalize_title(F.col("raw_song_title")))
+    raw = text.settled(raw, ["normalized_song_title"])
     kept = store.insert_ignore(raw).withColumn("source_comment", F.lit("")).withColumn("jump_url", text.jump_url(F.col("video_id"), F.col("seconds")))
     songs = store.numbered(store.songs_of(kept, videos_))
     return Catalogue(channels(spark, sf_dir), videos_, songs, store.with_song_ids(kept, videos_, songs))
+
+
+_stored: dict[tuple[str, str], str] = {}
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> Catalogue:
+    """The built catalogue as written tables, which an application's queries share as those of an index do; made anew if they are gone."""
+    app = (spark.sparkContext.applicationId, sf_dir)
+    if app not in _stored or not store.is_written(spark, _stored[app]):
+        _stored[app] = scratch.new_path(spark, "catalogue")
+        store.write(built(spark, sf_dir), _stored[app])
+    return Catalogue(*store.read(spark, _stored[app]))

@@ -4,12 +4,13 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cuesheet.functions import identity, text
-from cuesheet.operators import clean, group, search, store, timeline
+from cuesheet.operators import clean, group, links, search, store, timeline
 from cuesheet.plans import catalogue
 from cuesheet.sources import sample
 from cuesheet.streaming import ingest
@@ -56,6 +57,7 @@ def test_identity(spark, raw, song, artist, source):
 
 def test_merge_titles(spark):
     assert values(spark, identity.merge_title, "Forever", "Long Live", "君の知らない物語 -piano ver.") == ["Fore", "Long Live", "君の知らない物語"]
+    assert values(spark, identity.merge_title, "歌" + " ピアノ" * 5, "曲" + " (live ver.)" * 9, None) == ["歌", "曲", None]
     row = identity.identify(spark.createDataFrame([("回る空うさぎ / Orangestar w/ もかん",)], "raw_song_title string")).first()
     assert row.artists[0] == "Orangestar" and row.artist_key == "orangestar|もかん"
 
@@ -80,6 +82,168 @@ def test_greedy_groups():
     assert [g.place(*p) for p in (("song", ""), ("song", "a"), ("song", "b"), ("other", "a"), ("others", "a"), ("longkey", "z"), ("longkex", "z"))] == [0, 0, 0, 1, 2, 3, 3]
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def alike(a, b):
+    short, d = min(len(a), len(b)), distance(a, b)
+    return a == b or (short >= 6 and d <= 1) or (short >= 9 and d <= 2)
+
+
+def one_artist(a, b):
+    left, right = {t for t in a.split("|") if t}, {t for t in b.split("|") if t}
+    if a == b or not left or not right or left & right:
+        return True
+    if len(left) != len(right):
+        return False
+    for token in sorted(left):
+        match = next((t for t in sorted(right) if min(len(token), len(t)) >= 4 and distance(token, t) <= 2), None)
+        if match is None:
+            return False
+        right.remove(match)
+    return True
+
+
+def walked(rows, across):
+    """Groups (lists of rows) of the greedy walk, by looking at all groups for every row."""
+    groups = []
+    for r in rows:
+        own = [g for g in groups if g["channel"] == r.channel_id]
+        born = {(g["song"], g["born"]): g for g in own}
+        found = born.get((r.merge_key, r.artist_key))
+        if found is None and not r.artist_key:
+            found = next((g for g in own if g["song"] == r.merge_key), None)
+        elif found is None:
+            found = born.get((r.merge_key, ""))
+            found = found or next((g for g in own if g["song"] == r.merge_key and one_artist(g["artist"], r.artist_key)), None)
+            found = found or next((g for g in own if g["artist"] == r.artist_key and alike(g["song"], r.merge_key)), None)
+        if found is None:
+            found = {"channel": r.channel_id, "song": r.merge_key, "born": r.artist_key, "artist": r.artist_key, "rows": []}
+            groups.append(found)
+        found["artist"] = found["artist"] or r.artist_key
+        found["rows"].append(r)
+    newest = lambda rs: sorted(rs, key=lambda r: (r.published_at or "", r.seconds or 0), reverse=True)
+    for g in groups:
+        g["rows"] = newest(g["rows"])
+    if not across:
+        return groups
+    joined = []
+    for g in groups:
+        target = next((t for t in joined if (one_artist(t["artist"], g["artist"]) if t["song"] == g["song"] else g["artist"] and t["artist"] == g["artist"] and alike(t["song"], g["song"]))), None)
+        if target is None:
+            joined.append(dict(g))
+            continue
+        target["rows"] = newest(target["rows"] + g["rows"])
+        target["artist"] = target["artist"] or g["artist"]
+    return joined
+
+
+@pytest.fixture(scope="session")
+def tangled(spark):
+    """A few hundred entries whose titles and artists are near each other, in no order."""
+    rng = np.random.default_rng(8)
+    songs = ["orange road", "orange roads", "orage road", "orange rode", "blue", "blues", "longer title here", "longer titel here", "long title here", "歌", "歌詞"]
+    artists = ["", "", "aimer", "aimers", "aimee", "ado", "ado & aimer", "lisa x ado", "yoasobi", "yoasoby", "YOASOBI feat. ado"]
+    entries = []
+    for i in range(500):
+        song, artist = rng.choice(songs), rng.choice(artists)
+        entries.append((i, f"v{rng.integers(40)}", f"{i % 50}:00", int(i % 50) * 60, song + (f" / {artist}" if artist else ""), "", ""))
+    entries = spark.createDataFrame(entries, "entry_id long, video_id string, timestamp_text string, seconds long, raw_song_title string, source_comment string, jump_url string")
+    entries = entries.withColumn("normalized_song_title", text.normalize_title(F.col("raw_song_title")))
+    videos = spark.createDataFrame([(f"v{i}", f"UC{i % 4}", "t", None if i % 9 == 0 else f"2024-01-{1 + i % 7:02d}", "u") for i in range(40)], "video_id string, channel_id string, title string, published_at string, url string")
+    channels = spark.createDataFrame([(f"UC{i}", f"Channel {'ba'[i % 2]}{i}") for i in range(4)], "channel_id string, channel_title string")
+    made, linked = store.rebuilt(store.insert_ignore(entries), videos)
+    return sample.Catalogue(channels, videos, made, linked)
+
+
+@pytest.mark.parametrize("asked", [{}, {"channel": "Channel"}, {"artist": "aimer"}, {"song": "orange road"}, {"song": "歌", "channel": "UC1"}])
+def test_grouped_search_equals_a_plain_walk(spark, tangled, asked):
+    rows = search.joined(tangled)
+    rows = rows.where(search.channel_filter(asked["channel"])) if "channel" in asked else rows
+    rows = identity.identify(rows)
+    if "artist" in asked:
+        rows = rows.where(~F.col("ambiguous") & identity.artist_matches(F.col("artist_keys"), text.compact_key(F.lit(asked["artist"]))))
+    rows = rows.orderBy(*[F.expr(o) if " desc" not in o else F.desc_nulls_last(o.split()[0]) for o in group.ROW_ORDER.split(", ")]).collect()
+    want = walked(rows, "channel" not in asked)
+    page = group.search_grouped(tangled, **asked, limit=10_000).orderBy("rank").collect()
+    found = group.search_grouped_entries(tangled, **asked, limit=10_000).orderBy("rank", "pos").collect()
+    got = {}
+    for r in found:
+        got.setdefault(r.rank, []).append(r)
+    entries = {rank: [r.entry_id for r in rs] for rank, rs in got.items()}
+    assert [p.n_entries for p in page] == [len(entries[p.rank]) for p in page]
+    if "song" in asked:
+        want = [g for g in want if [r.entry_id for r in g["rows"]] in entries.values()]
+        assert len(want) == len(entries) and asked["song"].replace(" ", "") in {p.song_key for p in page}
+    assert sorted(entries.values()) == sorted([r.entry_id for r in g["rows"]] for g in want)
+    keys = {tuple(r.entry_id for r in g["rows"]): g["song"] for g in want}
+    for p in page:
+        assert keys[tuple(entries[p.rank])] == p.song_key
+        by_channel = {}
+        for r in got[p.rank]:
+            by_channel.setdefault(r.channel_id, []).append(r)
+        titles = {f"UC{i}": f"channel {'ba'[i % 2]}{i}" for i in range(4)}
+        order = sorted(by_channel, key=lambda c: (-len(by_channel[c]), titles[c]))
+        assert all(r.channel_pos == order.index(r.channel_id) for r in got[p.rank])
+        assert all([r.in_channel for r in rs] == list(range(1, len(rs) + 1)) for rs in by_channel.values())
+        assert p.channel_count == (1 if "channel" in asked else len(by_channel))
+    fold = lambda p: (p.channel_title.casefold(), p.song_title.casefold(), p.artist.casefold())
+    if not asked or "channel" in asked and "song" not in asked:
+        assert [(-p.n_entries, *fold(p)) for p in page] == sorted((-p.n_entries, *fold(p)) for p in page)
+
+
+def test_cross_channel_filters_come_first(spark, tangled):
+    """A song query filters groups before they are joined across channels."""
+    page = group.search_grouped(tangled, song="blue", limit=100).collect()
+    assert page and all(any(k.startswith("blue") for k in p.title_keys.split(",")) for p in page)
+
+
+def test_near_pairs_are_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    keys = sorted({"".join(rng.choice(list("abc"), int(n))) for n in rng.integers(3, 12, 250)})
+    rows = spark.createDataFrame([(k, i % 2) for i, k in enumerate(keys)], "key string, side int")
+    got = {(r.one, r.other) for r in links.near_pairs(rows, "key", [], 4).collect()}
+    assert got == {(a, b) for a in keys for b in keys if a < b and min(len(a), len(b)) >= 4 and distance(a, b) <= 2}
+    by_side = {(r.side, r.one, r.other) for r in links.near_pairs(rows, "key", ["side"], 6).collect()}
+    side = {k: i % 2 for i, k in enumerate(keys)}
+    assert by_side == {(side[a], a, b) for a, b in got if min(len(a), len(b)) >= 6 and side[a] == side[b]}
+
+
+def test_compatible_artists():
+    keys = ["", "ado", "aimer", "aimers", "ado|aimer", "adoo|aimerz", "yoasobi", "yoasoby|x", "orangestar", "0rangestaz", "a|b", "b|c"]
+    assert all(group.compatible(a, b) == one_artist(a, b) for a in keys for b in keys)
+    assert group.compatible("orangestar", "0rangestaz") and not group.compatible("ado", "adoo") and not group.compatible("a|b", "c")
+
+
+def test_tables_are_created_once(spark):
+    spark.sql("create database if not exists made")
+    store.create_tables(spark, "made")
+    store.create_tables(spark, "made")
+    assert {r.tableName for r in spark.sql("show tables in made").collect()} == set(store.TABLES)
+    assert spark.table("made.song_entries").columns == ["entry_id", "song_id", "video_id", "timestamp_text", "seconds", "raw_song_title", "normalized_song_title", "source_comment", "jump_url"]
+    spark.sql("drop database made cascade")
+
+
+def test_index_counters_add_up(spark):
+    comments, videos = sample.comments(spark, SF), sample.videos(spark, SF)
+    one = timeline.index_stats(comments, videos, all_videos=True)
+    both = timeline.merged_stats(one.union(one)).first().asDict()
+    assert both == {k: 2 * v for k, v in one.first().asDict().items()} and both["videos_skipped"] == 0
+
+
+def test_pruning_settles_clashes(spark):
+    c = catalogue.with_odd_entries(sample.catalogue(spark, SF))
+    bad = clean.prune(c)[0].join(c.entries, "entry_id").groupBy("raw_song_title").count().collect()
+    found = {r.raw_song_title.split()[0] for r in bad}
+    assert {"[Clash]", "MC", "goods"} <= found and "Clash" not in found
+
+
 def test_store_is_idempotent(spark):
     c = sample.catalogue(spark, SF)
     keys = c.entries.select(*store.ENTRY_KEY)
