@@ -25,6 +25,7 @@ from .components import link
 from .minhash import ShinglePairing
 
 CHAIN = 2
+ROWS_PER_RANGE = 20_000
 # Common words of English, German, French and Spanish.
 ANCHORS = """
 a an the and or of to in on at by for from with is are was were be been it this that as but not have has had he she they we you his her its their
@@ -91,78 +92,91 @@ def _cuts(rows: DataFrame, parts: int) -> list[float]:
     return sorted(set(found or []))
 
 
-def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(part, guard, id, text): docs dealt by ranges of the id and ordered in them; each range ends with a guard row, the first row of the next.
+def in_order(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(part, guard, id, class, text): docs dealt by ranges of the id and ordered in them; each range ends with a guard row, the first row of the next.
 
-    The last range's guard is the first row of all. Ids ascend, nulls first, equal ids by text.
+    The last range's guard is the first row of all. Ids ascend, nulls first, equal ids by
+    text. A row of classes (id, class) comes before the docs of its id; docs have a null class.
+    There are as many ranges as it takes for ROWS_PER_RANGE docs in each, and every range is a partition.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_RANGE))
     cuts = _cuts(rows.select("id"), parts)
-    below = F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= F.col("id").cast("double")) if cuts else F.array()
-    rows = rows.withColumn("part", F.coalesce(F.size(below), F.lit(0)) if cuts else F.lit(0)).withColumn("part", F.when(F.col("id").isNull(), 0).otherwise(F.col("part")))
+    below = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= F.col("id").cast("double"))) if cuts else F.lit(0)
+    dealt = lambda df: df.withColumn("part", F.coalesce(F.when(F.col("id").isNotNull(), below), F.lit(0)))
+    rows = dealt(rows)
     firsts = rows.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("first")).orderBy("part").collect()
     used = [r["part"] for r in firsts]
     guards = [(r["first"]["id"], used[i - 1]) for i, r in enumerate(firsts)]
     where = F.broadcast(spark.createDataFrame(guards, "first_id long, before int"))
     first = rows.join(where, F.col("id").eqNullSafe(F.col("first_id"))).groupBy("before", "id").agg(F.min("text").alias("text"))
-    rows = rows.withColumn("guard", F.lit(0)).select("part", "guard", "id", "text").union(first.select("before", F.lit(1), "id", "text"))
-    return rows.repartition(parts, "part").sortWithinPartitions("part", "guard", F.col("id").asc_nulls_first(), "text")
+    none = F.lit(None).cast("long")
+    rows = rows.select("part", F.lit(0).alias("guard"), "id", none.alias("class"), "text").union(first.select("before", F.lit(1), "id", none, "text"))
+    rows = rows.union(dealt(classes).select("part", F.lit(0), "id", "class", F.lit("")))
+    return rows.repartitionById(parts, "part").sortWithinPartitions("part", "guard", F.col("id").asc_nulls_first(), F.col("class").asc_nulls_last(), "text")
 
 
 def _edited(batches) -> Iterator[pa.RecordBatch]:
-    held = None  # part, id, text and fingerprint of the row whose next one comes
+    held = None  # part, id, class, text and fingerprint of the row whose next one comes
+    named = (None, None)  # the id that the last class row was for, and its class
     for batch in batches:
-        for start, texts in textkit.slices(batch.column(3)):
-            part, guard, ids = (batch.column(k).slice(start, len(texts)).to_pylist() for k in range(3))
-            rows = list(zip(part, ids, texts.to_pylist(), fingerprints(texts), strict=True))
-            pairs = []
-            for row, last in zip(rows, guard, strict=True):
+        for start, texts in textkit.slices(batch.column(4), 1 << 20):
+            part, guard, ids, classes = (batch.column(k).slice(start, len(texts)).to_pylist() for k in range(4))
+            own = []
+            for i, c in zip(ids, classes, strict=True):
+                named = (i, c) if c is not None else named
+                own.append(named[1] if named[0] == i else None)
+            docs = [k for k, c in enumerate(classes) if c is None]
+            pairs, texts = [], texts.take(pa.array(docs, pa.int64()))
+            for k, text, found in zip(docs, texts.to_pylist(), fingerprints(texts), strict=True):
+                row = (part[k], ids[k], own[k], text, found)
                 if held and held[0] == row[0]:
                     pairs.append((held, row))
-                held = None if last else row
-            halves = [len(a[2]) // 2 for a, _ in pairs]
-            edits = [a[2][: len(a[2]) - h] + b[2][:h] for (a, b), h in zip(pairs, halves, strict=True)]
+                held = None if guard[k] else row
+            halves = [len(a[3]) // 2 for a, _ in pairs]
+            edits = [a[3][: len(a[3]) - h] + b[3][:h] for (a, b), h in zip(pairs, halves, strict=True)]
             after = fingerprints(pa.array(edits, pa.large_string())) if edits else []
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([a[1] for a, _ in pairs], pa.int64()),
-                    pa.array([len(a[2]) for a, _ in pairs], pa.int64()),
+                    pa.array([len(a[3]) for a, _ in pairs], pa.int64()),
                     pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edits], pa.string()),
-                    pa.array([packed(a[3]) for a, _ in pairs], pa.string()),
+                    pa.array([packed(a[4]) for a, _ in pairs], pa.string()),
                     pa.array([packed(e) for e in after], pa.string()),
-                    pa.array([likeness(a[3], e) for (a, _), e in zip(pairs, after, strict=True)], pa.float64()),
-                    pa.array([likeness(a[3], b[3]) for a, b in pairs], pa.float64()),
+                    pa.array([likeness(a[4], e) for (a, _), e in zip(pairs, after, strict=True)], pa.float64()),
+                    pa.array([likeness(a[4], b[4]) for a, b in pairs], pa.float64()),
+                    pa.array([a[1] if a[2] is None else a[2] for a, _ in pairs], pa.int64()),
                 ],
-                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"],
             )
 
 
-def edit_test(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of every text and of its edited text, with their likeness, for every row of docs.
+def edit_test(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """Fingerprints of every text and of its edited text, with their likeness, for every row of docs; and its class of near_duplicates().
 
     The edited text has the last floor(n / 2) code points replaced by the first as many
     (or all) of the next document's, in order of doc_id; the last document is followed by
     the first, and so a single one by itself. Null texts are empty. Null ids come first and
     equal ids are ordered by text. Texts are used whole; other columns are ignored.
     """
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_order(docs, doc_id, text).mapInArrow(_edited, schema)
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
+    classes = near_classes(docs, percent, doc_id, text)
+    return in_order(docs, classes.select("id", F.col("component_id").alias("class")), doc_id, text).mapInArrow(_edited, schema)
 
 
 def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, items): the signatures of every row of docs; null and empty texts have none."""
+    """(id, items): the signatures of every row of docs, as 32-bit numbers; null and empty texts have none."""
 
     def run(batches):
         for batch in batches:
-            for start, texts in textkit.slices(batch.column(1)):
+            for start, texts in textkit.slices(batch.column(1), 1 << 20):
                 found = fingerprints(texts)
                 offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32))
-                values = pa.array(np.concatenate(found).astype(np.int64), pa.int64())
+                values = pa.array(np.concatenate(found).view(np.int32), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.ListArray.from_arrays(offsets, values)], ["id", "items"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, items array<bigint>")
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, items array<int>")
 
 
 class SpotPairing(ShinglePairing):
@@ -185,19 +199,17 @@ def length_part(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent)) + 1e-9).cast("int")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) for every row of docs: classes of documents linked by Jaccard similarity of fingerprints.
+def near_classes(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, component_id), a kept table: the class of every id that has a fingerprint; see near_duplicates().
 
-    component_id is the smallest doc_id reachable. Documents of one id count as one;
-    empty fingerprints and null ids are linked with nothing (null ids get null).
-
-    Sets are partitioned by length; a set is indexed in its partition and the next one
-    by its rarest signatures, so many that sets alike enough share one of them.
+    Equal sets are first reduced to one. Sets are partitioned by length; a set is indexed
+    in its partition and the next one by its rarest signatures, so many that sets alike
+    enough share one of them.
     """
-    made = keep(fingerprint(docs, doc_id, text), "prints")
-    full = made.where(F.col("id").isNotNull() & (F.size("items") > 0))
-    groups = keep(full.groupBy("items").agg(F.min("id").alias("first_id")), "groups")
-    members = keep(full.join(groups, "items").select("id", "first_id").distinct(), "members")
+    made = keep(fingerprint(docs, doc_id, text).where(F.col("id").isNotNull() & (F.size("items") > 0)), "prints")
+    groups = keep(made.groupBy("items").agg(F.min("id").alias("first_id")), "groups")
+    members = keep(made.join(groups, "items").select("id", "first_id").distinct(), "members")
+    drop(made)
     sets = groups.select(F.col("first_id").alias("id"), "items")
     each = sets.select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
     rare = each.join(each.groupBy("item").agg(F.count(F.lit(1)).alias("df")), "item").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("rare"))
@@ -211,4 +223,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id",
     placed = members.join(parts, "first_id", "left").groupBy("id").agg(F.min(F.coalesce("component", "first_id")).alias("component_id"))
     placed = keep(placed, "placed")
     drop(groups)
-    return made.select("id").join(placed, "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("component_id", "id").alias("component_id"))
+    drop(members)
+    return placed
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every row of docs: classes of documents linked by Jaccard similarity of fingerprints.
+
+    component_id is the smallest doc_id reachable. Documents of one id count as one;
+    empty fingerprints and null ids are linked with nothing (null ids get null).
+    """
+    ids = docs.select(F.col(doc_id).cast("long").alias("id"))
+    return ids.join(near_classes(docs, percent, doc_id, text), "id", "left").select(F.col("id").alias("doc_id"), F.coalesce("component_id", "id").alias("component_id"))

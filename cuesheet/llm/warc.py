@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from cuesheet.scratch import delete, drop, keep, new_path
 
-
 # The base32 alphabet, the record separator, the revisit profile.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"

@@ -148,8 +148,11 @@ def test_spotsigs_edits_and_classes(spark):
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
         assert (got[i].fingerprint == got[i].edited_fingerprint) <= (got[i].near_edited == 1.0)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    prints = {r.doc_id: set(np.frombuffer(base64.b64decode(r.fingerprint), ">u4").tolist()) for r in spotsigs.edit_test(docs).collect()}
-    assert {r.doc_id: r.component_id for r in spotsigs.near_duplicates(docs).collect()} == components(prints, 80)
+    made = spotsigs.edit_test(docs).collect()
+    prints = {r.doc_id: set(np.frombuffer(base64.b64decode(r.fingerprint), ">u4").tolist()) for r in made}
+    classes = components(prints, 80)
+    assert {r.doc_id: r.component_id for r in made} == classes
+    assert {r.doc_id: r.component_id for r in spotsigs.near_duplicates(docs).collect()} == classes
 
 
 def labelled(spark, bad, kind):
@@ -412,3 +415,42 @@ def test_whole_published_licences(spark):
         text = file.read()
     got = licenses.scan(documents(spark, [(1, text), (2, "  " + text.upper() + "\n"), (3, text + "more")])).orderBy("doc_id").collect()
     assert [r.text_license for r in got] == ["GPL-2.0", "GPL-2.0", None]
+
+
+def plain_fingerprint(text):
+    """Signatures as tuples: an anchor and the next two content words of the text."""
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode())
+    anchors = {a.encode() for a in spotsigs.ANCHORS}
+    made = set()
+    for i, w in enumerate(words):
+        rest = [x for x in words[i + 1 :] if x not in anchors][:2]
+        if w in anchors and len(rest) == 2:
+            made.add((w, *rest))
+    return made or ({("all", *words)} if words else {("text", text)} if text else set())
+
+
+def test_spotsigs_are_plain_ones(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [r.text for r in docs.orderBy("doc_id").collect()]
+    got = spotsigs.edit_test(docs).orderBy("doc_id").collect()
+    read = lambda x: np.frombuffer(base64.b64decode(x), ">u4").tolist()
+    hashed = {}
+    for n, (t, r) in enumerate(zip(texts, got, strict=True)):
+        after = texts[(n + 1) % len(texts)] or ""
+        edited = (t or "")[: len(t or "") - len(t or "") // 2] + after[: len(t or "") // 2]
+        own, other, cut = plain_fingerprint(t), plain_fingerprint(after), plain_fingerprint(edited)
+        for want, printed in ((own, read(r.fingerprint)), (cut, read(r.edited_fingerprint))):
+            assert len(printed) == len(want) and printed == sorted(set(printed))
+            hashed.setdefault(frozenset(want), tuple(printed))
+            assert hashed[frozenset(want)] == tuple(printed)
+        jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        assert abs(r.near_next - jaccard(own, other)) < 1e-12 and abs(r.near_edited - jaccard(own, cut)) < 1e-12
+    assert len(set(hashed.values())) == len(hashed)
+
+
+def test_spotsigs_odd_rows(spark):
+    rows = [(None, "the old house stood"), (3, "the old house stood"), (3, "the old house stood"), (1, None), (2, ""), (9, "x" * 60_000 + " the old house")]
+    docs = documents(spark, rows).withColumn("class", queries.F.lit(1)).withColumn("part", queries.F.lit("z"))
+    got = sorted(spotsigs.edit_test(docs).select("doc_id", "n_chars", "component_id").collect(), key=str)
+    assert [tuple(r) for r in got] == [(1, 0, 1), (2, 0, 2), (3, 19, 3), (3, 19, 3), (9, 60_014, 3), (None, 19, None)]
+    assert spotsigs.edit_test(docs.limit(0)).count() == 0
