@@ -9,12 +9,21 @@ from pyspark.sql.types import StructType
 from cuesheet.operators import timeline
 
 
-def run(spark: SparkSession, landed: str, out: str, state: str, schema: StructType) -> None:
-    """Read all comment files under landed that weren't read before, and append the entries of each batch to out, by batch."""
+def run(spark: SparkSession, landed: str, out: str, state: str, schema: StructType, videos: DataFrame, max_comments: int | None = 100, all_videos: bool = False) -> None:
+    """Read all comment files under landed that weren't read before, and index each batch's videos by all their comments so far.
+
+    A batch's comments and entries go to folders of out named by its number, so that a
+    repeated batch overwrites its own. A video's best comment is chosen among all of its
+    comments, whichever batch they came in.
+    """
 
     def batch(comments: DataFrame, number: int) -> None:
-        found = timeline.best_entries(comments)
-        found.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{out}/batch={number}/rows")
+        comments.write.mode("overwrite").parquet(f"{out}/comments/batch={number}")
+        landed_now = spark.read.schema(schema).parquet(f"{out}/comments/batch={number}")
+        so_far = spark.read.schema(schema).parquet(*[f"{out}/comments/batch={n}" for n in range(number + 1)])
+        again = so_far.join(landed_now.select("video_id").distinct(), "video_id", "left_semi")
+        found = timeline.index(again, videos, max_comments, all_videos)
+        found.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{out}/entries/batch={number}/rows")
 
     stream = spark.readStream.schema(schema).parquet(landed)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
@@ -22,5 +31,5 @@ def run(spark: SparkSession, landed: str, out: str, state: str, schema: StructTy
 
 def latest(spark: SparkSession, out: str) -> DataFrame:
     """The entries of each video's latest batch."""
-    rows = spark.read.parquet(f"{out}/*/rows")
-    return rows.withColumn("_last", F.max("batch").over(Window.partitionBy("video_id"))).where("batch = _last").drop("_last")
+    rows = spark.read.parquet(f"{out}/entries/*/rows")
+    return rows.withColumn("_last", F.max("batch").over(Window.partitionBy("video_id"))).where("batch = _last").drop("_last", "batch")
