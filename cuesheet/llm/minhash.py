@@ -205,25 +205,28 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     Rows whose doc_id is null or occurs again are documents of their own: a hash of doc_id
     and text stands in for their doc_id, and of rows equal in both one stays. Null ids
     come after all others. Blank texts have no group, so they go only as such repeats.
+    All columns of docs are kept, whatever their names; an empty table stays empty.
     """
-    own = F.col(doc_id).cast("long")
-    odd = keep(docs.groupBy(own.alias("_odd_id")).agg(F.count(F.lit(1)).alias("n")).where("_odd_id is null or n > 1").select("_odd_id"), "odd")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    own, body = F.col("doc")[doc_id].cast("long"), F.col("doc")[text]
+    odd = keep(rows.groupBy(own.alias("odd_id")).agg(F.count(F.lit(1)).alias("n")).where("odd_id is null or n > 1").select("odd_id"), "odd")
     n_odd = odd.limit(1_000_001).count()
-    again = odd.where("_odd_id is not null")
-    marked = docs.join(F.broadcast(again) if n_odd <= 1_000_000 else again, own == F.col("_odd_id"), "left")
-    marked = marked.withColumn("_odd", own.isNull() | F.col("_odd_id").isNotNull())
-    keyed = marked.withColumn("_row", F.when(F.col("_odd"), F.xxhash64(own, text)).otherwise(own)).drop("_odd_id")
+    again = odd.where("odd_id is not null")
+    marked = rows.join(F.broadcast(again) if n_odd <= 1_000_000 else again, own == F.col("odd_id"), "left")
+    marked = marked.withColumn("own", own).withColumn("odd", F.col("own").isNull() | F.col("odd_id").isNotNull())
+    keyed = marked.select("doc", "own", "odd", F.when(F.col("odd"), F.xxhash64("own", body)).otherwise(F.col("own")).alias("row"))
 
-    parts = near_components(keyed, "_row", text, shingle, percent)
+    parts = near_components(keyed.select("row", body.alias("text")), "row", "text", shingle, percent)
     if not n_odd:
-        gone = keep(parts.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-        return docs.join(gone, own == F.col("_gone"), "left_anti")
-    named = keyed.where("_odd").select("_row", own.alias("own"), F.lit(True).alias("named")).distinct()
-    placed = parts.select(F.col("doc_id").alias("_row"), "component_id").distinct().join(named, "_row", "left")
-    first = F.when(F.col("named"), F.col("own")).otherwise(F.col("_row"))
-    placed = keep(placed.select("_row", "component_id", F.struct(first.isNull().alias("none"), first.alias("own"), "_row").alias("rank")), "placed")
-    heads = placed.groupBy("component_id").agg(F.min("rank").alias("head")).select(F.col("head._row").alias("_row"))
-    gone = keep(placed.join(heads, "_row", "left_anti").select("_row"), "gone")
-    rest = keyed.join(gone, "_row", "left_anti")
-    once = rest.where("_odd").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return rest.where("not _odd").select(*docs.columns).union(once)
+        gone = keep(parts.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+        return rows.join(gone, own == F.col("gone"), "left_anti").select("doc.*")
+    named = keyed.where("odd").select("row", "own", F.lit(True).alias("named")).distinct()
+    placed = parts.select(F.col("doc_id").alias("row"), "component_id").distinct().join(named, "row", "left")
+    first = F.when(F.col("named"), F.col("own")).otherwise(F.col("row"))
+    placed = keep(placed.select("row", "component_id", F.struct(first.isNull().alias("none"), first.alias("own"), "row").alias("rank")), "placed")
+    heads = placed.groupBy("component_id").agg(F.min("rank").alias("head")).select(F.col("head.row").alias("row"))
+    gone = keep(placed.join(heads, "row", "left_anti").select("row"), "gone")
+    drop(placed)
+    rest = keyed.join(gone, "row", "left_anti")
+    once = rest.where("odd").groupBy("row").agg(F.min("doc").alias("doc"))
+    return rest.where("not odd").select("doc.*").union(once.select("doc.*"))
