@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cuesheet.llm import ann, chat, licenses, minhash, mixing, pieces, quality, queries, spotsigs, textkit, toxicity, warc
+from cuesheet.llm import ann, chat, licenses, minhash, mixing, oracles, pieces, quality, queries, spotsigs, textkit, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -454,3 +454,73 @@ def test_spotsigs_odd_rows(spark):
     got = sorted(spotsigs.edit_test(docs).select("doc_id", "n_chars", "component_id").collect(), key=str)
     assert [tuple(r) for r in got] == [(1, 0, 1), (2, 0, 2), (3, 19, 3), (3, 19, 3), (9, 60_014, 3), (None, 19, None)]
     assert spotsigs.edit_test(docs.limit(0)).count() == 0
+
+
+CLASH = {"id": 1, "label": 2, "text_digest": 3, "score": 4, "ids": 5, "row": 6, "bits": 7, "loss": 8, "marked": 9, "turns": 10, "doc": 11, "key": 12}
+
+
+def with_clashes(df):
+    for name, value in CLASH.items():
+        df = df if name in df.columns else df.withColumn(name, queries.F.lit(value))
+    return df
+
+
+def test_text_operators_on_odd_tables(spark):
+    """Nulls anywhere, empty and very long texts, repeated rows, clashing columns, and no rows at all: one row out for each row in."""
+    long = "word " * 60_000
+    docs = with_clashes(documents(spark, [(1, "some words here"), (1, "some words here"), (None, "some words here"), (2, None), (3, ""), (4, long), (5, long + "end")]))
+    labels = spark.read.parquet(f"{SF}/labels.parquet").union(spark.createDataFrame([(1, None, None), (None, 1, 1), (4, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int"))
+    operators = {
+        "pieces": lambda d: pieces.encode(d, queries.PIECE_MODEL, verify=True),
+        "quality": lambda d: quality.classify(d, with_clashes(labels)),
+        "toxicity": lambda d: toxicity.classify(d, with_clashes(labels)),
+        "licenses": licenses.scan,
+        "spotsigs": spotsigs.edit_test,
+        "minhash": minhash.near_components,
+    }
+    for name, operator in operators.items():
+        got = operator(docs).collect()
+        assert sorted(str(r.doc_id) for r in got) == sorted(["1", "1", "None", "2", "3", "4", "5"]), name
+        same = [r.fingerprint if name == "spotsigs" else tuple(r)[1:] for r in got if r.doc_id == 1]
+        assert len({str(r) for r in same}) == 1, name
+        assert operator(docs.limit(0)).count() == 0, name
+    encoded = {r.doc_id: r for r in operators["pieces"](docs).collect()}
+    assert all(r.parity and r.round_trip for r in encoded.values()) and encoded[4].n_tokens > 50_000 and encoded[2].n_tokens == encoded[3].n_tokens == 0
+    assert pieces.decode(pieces.encode(docs.limit(0), queries.PIECE_MODEL), queries.PIECE_MODEL).count() == 0
+    scores = [r.score for name in ("quality", "toxicity") for r in operators[name](docs).collect()]
+    assert all(0 <= x <= 1 for x in scores)
+
+
+def test_chat_on_odd_tables(spark):
+    turns = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "x" * 200_000), (1, 2, "assistant", None), (2, None, None, None), (None, 1, "assistant", "a"), (None, 0, "user", "</s>")]
+    rows = with_clashes(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    made = chat.examples(rows)
+    got = sorted(((r.conv_id or -1, r.example, r.loss_chars) for r in made.collect()))
+    assert got == [(-1, 1, 1), (1, 1, 200_000), (1, 2, 0), (2, 1, 0)]
+    whole = {r.conv_id: r.t for r in made.where("conv_id is null or example = (case when conv_id = 1 then 2 else 1 end)").select("conv_id", chat.read_turns(queries.F.col("formatted")).alias("t")).collect()}
+    assert [(t.role, t.text) for t in whole[1]] == [("user", "hi"), ("user", "hi"), ("assistant", "x" * 200_000), ("assistant", "")]
+    assert [t.text for t in whole[None]] == ["</s>", "a"] and chat.examples(rows.limit(0)).count() == 0
+
+
+def test_neighbours_of_odd_tables(spark):
+    rows = [(i, [1.0, 0.0, float(i % 3)]) for i in range(40)] + [(3, [1.0, 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (50, None), (51, [0.0, 0.0, 0.0]), (52, [1.0, None, 2.0]), (53, [float("inf"), 1.0, 1.0]), (54, [1.0])]
+    vectors = with_clashes(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = ann.search(vectors, queries.F.col("vec_id") % 20 == 0, k=5).collect()
+    best = [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == 20]
+    assert best == [(2, 5.0), (5, 5.0), (8, 5.0), (11, 5.0), (14, 5.0)]
+    assert {r.query_id for r in got} == {0, 20}
+
+
+@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "pages", "conversations"):
+        con.sql(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    want = con.sql(oracles.ORACLES[name])
+    columns = sorted(want.columns)
+    rows = lambda found: sorted(str(tuple(r)) for r in found)
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == columns
+    assert rows(got.select(columns).collect()) == rows(want.select(*columns).fetchall())

@@ -52,3 +52,25 @@ def test_one_row_of_each_group_is_kept(spark):
     ids = [i for i, t in got if t and t.startswith("c0")]
     rest = sorted((x for x in got if not (x[1] or "").startswith("c0")), key=str)
     assert ids == [None] and rest == sorted([(3, a), (3, b), (8, None), (9, "x"), (None, None)], key=str)
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, id long, label int, score double, part string, doc string, row long, mix_key long, _gone long, cdf string"
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls anywhere, empty and very long texts, repeated rows, clashing columns, and no rows at all."""
+    good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 300").orderBy("doc_id").limit(6).collect()]
+    texts = [*good, good[0], None, "", "  ", "x", (good[1] + " ") * 150]
+    rows = [(i if i % 5 else None, t, None if i % 3 else "en", None if i % 4 == 0 else "s", None, i, i, 0.5, "p", "d", i, i, i, "c") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[1], rows[1]], ODD)
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, SF)
+        want = ["doc_id", "ids", "n_tokens", "round_trip"] if name == "tokens" else corpus_pipeline.COLUMNS
+        assert after.columns == want, name
+        kept = after.count()
+        assert kept == 14 if name == "tokens" else kept > 0, name
+        if name not in ("tokens", "mixing"):
+            assert after.join(docs.select("text").distinct(), after.text.eqNullSafe(docs.text), "left_anti").count() == 0
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert left.where(left.text == good[1]).count() == 1 and left.where("text is null").count() == 1
