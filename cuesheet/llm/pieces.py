@@ -98,36 +98,65 @@ def merges(model: PieceModel) -> list[tuple[str, str]]:
     return [(left, right) for *_, left, right in sorted(found)]
 
 
-def build(model: PieceModel):
-    """A tokenizers.Tokenizer that encodes and decodes as the model does."""
-    from tokenizers import Regex, Tokenizer, decoders, models, normalizers
-
-    if model.kind == UNIGRAM:
-        core = models.Unigram([(text, score) for text, score, _ in model.pieces], unk_id=model.unknown, byte_fallback=model.byte_fallback)
-    else:
-        vocab = {text: i for i, (text, _, _) in enumerate(model.pieces)}
-        core = models.BPE(vocab, merges(model), unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback)
-    out = Tokenizer(core)
-    steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
-    if model.squeeze:
-        steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
-    steps += [normalizers.Prepend(SPACE)] if model.dummy_prefix else []
-    out.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", SPACE)])
-    ends = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
-    out.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *ends])
-    return out
+class Built:
+    """A model as a tokenizers pipeline: encode() and decode() of batches.
+
+    A BPE model is one tokenizer. In a unigram model all pieces would be looked for in texts,
+    so for encoding those that texts can't have as such (controls, bytes, unused ones) get
+    names that don't occur; what no piece covers comes back as text, and becomes byte pieces here.
+    """
+
+    def __init__(self, model: PieceModel):
+        from tokenizers import Tokenizer, models
+
+        self.unigram, self.byte_ids, self.unknown = model.kind == UNIGRAM, {}, model.unknown
+        if self.unigram:
+            scored = [(text, score) for text, score, _ in model.pieces]
+            hidden = [(f"\U000f0000{i}\U000f0000" if kind not in (NORMAL, USER_DEFINED) else text, score) for i, (text, score, kind) in enumerate(model.pieces)]
+            self.encoder, self.decoder = (Tokenizer(models.Unigram(x, unk_id=model.unknown, byte_fallback=False)) for x in (hidden, scored))
+            if model.byte_fallback:
+                self.byte_ids = {int(text[3:5], 16): i for i, (text, _, kind) in enumerate(model.pieces) if kind == BYTE}
+        else:
+            vocab = {text: i for i, (text, _, _) in enumerate(model.pieces)}
+            core = models.BPE(vocab, merges(model), unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback)
+            self.encoder = self.decoder = Tokenizer(core)
+        self._steps(model)
+
+    def _steps(self, model: PieceModel) -> None:
+        from tokenizers import Regex, decoders, normalizers
+
+        steps = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
+        if model.squeeze:
+            steps += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Prepend(SPACE)] if model.dummy_prefix else []
+        self.encoder.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", SPACE)])
+        ends = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
+        self.decoder.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *ends])
+
+    def _spelled(self, found) -> list[int]:
+        ids = found.ids
+        if not self.byte_ids or self.unknown not in ids:
+            return ids
+        return [k for i, token in zip(ids, found.tokens, strict=True) for k in ([self.byte_ids[b] for b in token.encode()] if i == self.unknown else [i])]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        many = self.encoder.encode_batch if self.byte_ids else self.encoder.encode_batch_fast  # the fast one doesn't tell the pieces' texts
+        return [self._spelled(e) for e in many(texts, add_special_tokens=False)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.decoder.decode_batch(ids, skip_special_tokens=False)
 
 
 _built: dict[str, object] = {}
 
 
-def built(data: bytes, threads: int):
+def built(data: bytes, threads: int) -> Built:
     """The tokenizer of a model file, built once in each Python worker."""
     key = hashlib.sha256(data).hexdigest()
     if key not in _built:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        _built[key] = build(parse(data))
+        _built[key] = Built(parse(data))
     return _built[key]
 
 
@@ -153,7 +182,8 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
 
     round_trip: whether the ids decode to the text again (a model whose normaliser
     changes texts gives false for these). parity: whether the sentencepiece library
-    gives the same ids; null unless verify. Null and empty texts have no ids. Control
+    gives the same ids; null unless verify. It sums unigram scores in single precision, so
+    between cuts of nearly equal scores it may choose another one. Null and empty texts have no ids. Control
     pieces' strings in a text are ordinary text. Texts are encoded whole; repeated rows
     and null ids give a row each; other columns are ignored. The model file is broadcast.
     """
@@ -164,9 +194,9 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
         for batch in batches:
             for start, part in textkit.slices(batch.column(1), 1 << 20):
                 texts = part.fill_null("").to_pylist()
-                ids = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                ids = tokenizer.encode(texts)
                 parity = [a == b for a, b in zip(ids, _reference(shared.value).encode(texts, num_threads=1), strict=True)] if verify else [None] * len(ids)
-                same = [a == b for a, b in zip(tokenizer.decode_batch(ids, skip_special_tokens=False), texts, strict=True)]
+                same = [a == b for a, b in zip(tokenizer.decode(ids), texts, strict=True)]
                 sizes = np.array([len(x) for x in ids], dtype=np.int64)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
                 values = pa.array(np.concatenate([np.asarray(x, dtype=np.int32) for x in ids]), pa.int32())
@@ -182,6 +212,6 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", threads: int =
 
     @F.pandas_udf("string")
     def decoded(column):
-        return column.map(lambda x: [] if x is None else [int(i) for i in x]).pipe(lambda s: s.__class__(built(shared.value, threads).decode_batch(s.tolist(), skip_special_tokens=False), index=s.index, dtype=object))
+        return column.map(lambda x: [] if x is None else [int(i) for i in x]).pipe(lambda s: s.__class__(built(shared.value, threads).decode(s.tolist()), index=s.index, dtype=object))
 
     return encoded.withColumn("text", decoded(F.col(ids)))
