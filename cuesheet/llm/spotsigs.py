@@ -92,7 +92,7 @@ def _cuts(rows: DataFrame, parts: int) -> list[float]:
     return sorted(set(found or []))
 
 
-def in_order(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def in_order(docs: DataFrame, classes: DataFrame | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(part, guard, id, class, text): docs dealt by ranges of the id and ordered in them; each range ends with a guard row, the first row of the next.
 
     The last range's guard is the first row of all. Ids ascend, nulls first, equal ids by
@@ -113,7 +113,8 @@ def in_order(docs: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text:
     first = rows.join(where, F.col("id").eqNullSafe(F.col("first_id"))).groupBy("before", "id").agg(F.min("text").alias("text"))
     none = F.lit(None).cast("long")
     rows = rows.select("part", F.lit(0).alias("guard"), "id", none.alias("class"), "text").union(first.select("before", F.lit(1), "id", none, "text"))
-    rows = rows.union(dealt(classes).select("part", F.lit(0), "id", "class", F.lit("")))
+    if classes is not None:
+        rows = rows.union(dealt(classes).select("part", F.lit(0), "id", "class", F.lit("")))
     return rows.repartitionById(parts, "part").sortWithinPartitions("part", "guard", F.col("id").asc_nulls_first(), F.col("class").asc_nulls_last(), "text")
 
 
@@ -152,8 +153,8 @@ def _edited(batches) -> Iterator[pa.RecordBatch]:
             )
 
 
-def edit_test(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
-    """Fingerprints of every text and of its edited text, with their likeness, for every row of docs; and its class of near_duplicates().
+def edit_test(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", classes: bool = False, percent: int = 80) -> DataFrame:
+    """Fingerprints of every text and of its edited text, with their likeness, for every row of docs; with classes also component_id, as near_duplicates() has it.
 
     The edited text has the last floor(n / 2) code points replaced by the first as many
     (or all) of the next document's, in order of doc_id; the last document is followed by
@@ -161,8 +162,9 @@ def edit_test(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
     equal ids are ordered by text. Texts are used whole; other columns are ignored.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
-    classes = near_classes(docs, percent, doc_id, text)
-    return in_order(docs, classes.select("id", F.col("component_id").alias("class")), doc_id, text).mapInArrow(_edited, schema)
+    found = near_classes(docs, percent, doc_id, text).select("id", F.col("component_id").alias("class")) if classes else None
+    made = in_order(docs, found, doc_id, text).mapInArrow(_edited, schema)
+    return made if classes else made.drop("component_id")
 
 
 def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -216,14 +218,14 @@ def near_classes(docs: DataFrame, percent: int = 80, doc_id: str = "doc_id", tex
     prefix = F.slice("rare", F.lit(1), F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100).cast("int") + 1)
     part = length_part(F.col("n"), percent)
     keyed = rare.select("id", F.explode(F.array(part, part + 1)).alias("part"), prefix.alias("prefix")).select("id", "part", F.explode("prefix").alias("p"))
-    keyed = keyed.select(F.xxhash64("part", "p.item").alias("key"), "id")
+    keyed = keep(keyed.select(F.xxhash64("part", "p.item").alias("key"), "id"), "keyed")
     shared = members.groupBy("id").agg(F.min("first_id").alias("a"), F.max("first_id").alias("hi")).where("a < hi").select("id", "a")
     twins = members.join(shared, "id").select("a", F.col("first_id").alias("b"))
     parts = link(keyed, SpotPairing(sets, percent), twins).select(F.col("id").alias("first_id"), "component")
     placed = members.join(parts, "first_id", "left").groupBy("id").agg(F.min(F.coalesce("component", "first_id")).alias("component_id"))
     placed = keep(placed, "placed")
-    drop(groups)
-    drop(members)
+    for table in (groups, members, keyed):
+        drop(table)
     return placed
 
 
