@@ -23,7 +23,7 @@ from pyspark.sql import Window
 from cuesheet.scratch import drop, keep
 
 
-SAMPLE = 40_000
+SAMPLE = 160_000
 CALIBRATION = 96
 BRANCH = 8
 LEAF_ROWS = 200
