@@ -119,7 +119,7 @@ class ShinglePairing:
         return pairs
 
     def meet(self, ids: DataFrame) -> None:
-        wanted = self.texts.join(ids, "id", "left_semi").mapInArrow(_full_sets(self.shingle), "id long, items array<bigint>")
+        wanted = self.texts.join(ids, "id", "left_semi").mapInArrow(textkit.tidy(_full_sets(self.shingle)), "id long, items array<bigint>")
         self.sets = keep(wanted.where(F.size("items") > 0), "sets")
 
     def near(self, pairs: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     bound = distance_bound(percent / 100)
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    signed = keep(texts.mapInArrow(_signed(shingle), "doc_id long, n_shingles long, d1 long, d2 long, signature array<smallint>"), "signed")
+    signed = keep(texts.mapInArrow(textkit.tidy(_signed(shingle)), "doc_id long, n_shingles long, d1 long, d2 long, signature array<smallint>"), "signed")
     same = ["n_shingles", "d1", "d2"]
     full = signed.where("n_shingles > 0 and doc_id is not null")
     groups = full.groupBy(*same).agg(F.min("doc_id").alias("first_id"), F.any_value("signature").alias("signature"))

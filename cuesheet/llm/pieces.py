@@ -203,7 +203,7 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.ListArray.from_arrays(offsets, values), pa.array(sizes), pa.array(same), pa.array(parity, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip", "parity"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, round_trip boolean, parity boolean")
+    return rows.mapInArrow(textkit.tidy(run), "doc_id long, ids array<int>, n_tokens long, round_trip boolean, parity boolean")
 
 
 def decode(encoded: DataFrame, model_path: str, ids: str = "ids", threads: int = 2) -> DataFrame:

@@ -105,7 +105,7 @@ def fit(rows: DataFrame, bits: int = BITS) -> np.ndarray:
                 labels.append(batch.column(1).slice(start, len(part)).to_numpy().copy())
         yield pa.RecordBatch.from_arrays([pa.array([ftrl(made, labels, bits).tobytes()], pa.binary())], ["weights"])
 
-    found = rows.coalesce(1).mapInArrow(run, "weights binary").collect()
+    found = rows.coalesce(1).mapInArrow(textkit.tidy(run), "weights binary").collect()
     return np.frombuffer(found[0][0], dtype=np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
 
 
@@ -136,7 +136,7 @@ def score(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: st
 
     others = [c for c in carry if c != text]
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *others)
-    return rows.mapInArrow(run, f"doc_id long, score double{carried(docs, carry)}")
+    return rows.mapInArrow(textkit.tidy(run), f"doc_id long, score double{carried(docs, carry)}")
 
 
 def bucket(doc_id: Column, n: int) -> Column:
