@@ -252,7 +252,7 @@ def plain_ratios(rows):
     after = [{k: len(s) for k, s in b.items()} for b in before]
     both = {w: len(before[0].get(w, set()) | before[1].get(w, set())) for w in {*before[0], *before[1]}}
     vocabulary = [w for w in both if after[1].get(w, 0) >= 2]
-    known = [k for k in many[1] if many[1][k] >= 2 and k[1] in vocabulary]
+    known = [k for k in many[1] if many[1][k] >= 2]
     uniform = sum(both.values()) + toxicity.PRIOR * (len(both) + 1)
 
     def word(c, w):
