@@ -14,6 +14,7 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,8 @@ class Built:
             vocab = {text: i for i, (text, _, _) in enumerate(model.pieces)}
             core = models.BPE(vocab, merges(model), unk_token=model.pieces[model.unknown][0], fuse_unk=True, byte_fallback=model.byte_fallback)
             self.encoder = self.decoder = Tokenizer(core)
+        self.spelled = [bytes([int(text[3:5], 16)]) if kind == BYTE else text.replace(SPACE, " ").encode() for text, _, kind in model.pieces]
+        self.prefixed = model.dummy_prefix
         self._steps(model)
 
     def _steps(self, model: PieceModel) -> None:
@@ -143,6 +146,11 @@ class Built:
         many = self.encoder.encode_batch if self.byte_ids else self.encoder.encode_batch_fast  # the fast one doesn't tell the pieces' texts
         return [self._spelled(e) for e in many(texts, add_special_tokens=False)]
 
+    def gives(self, ids: list[int], text: bytes) -> bool:
+        """Whether ids decode to the text: the pieces' bytes are compared, which costs less than decoding them."""
+        found = b"".join(map(self.spelled.__getitem__, ids))
+        return found == text if not (self.prefixed and found[:1] == b" ") else found[1:] == text
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.decoder.decode_batch(ids, skip_special_tokens=False)
 
@@ -196,10 +204,10 @@ def encode(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str =
                 texts = part.fill_null("").to_pylist()
                 ids = tokenizer.encode(texts)
                 parity = [a == b for a, b in zip(ids, _reference(shared.value).encode(texts, num_threads=1), strict=True)] if verify else [None] * len(ids)
-                same = [a == b for a, b in zip(tokenizer.decode(ids), texts, strict=True)]
+                same = [tokenizer.gives(a, b.encode()) for a, b in zip(ids, texts, strict=True)]
                 sizes = np.array([len(x) for x in ids], dtype=np.int64)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-                values = pa.array(np.concatenate([np.asarray(x, dtype=np.int32) for x in ids]), pa.int32())
+                values = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, count=int(sizes.sum())))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(part)), pa.ListArray.from_arrays(offsets, values), pa.array(sizes), pa.array(same), pa.array(parity, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip", "parity"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
