@@ -95,6 +95,8 @@ def test_pieces_have_parity(spark):
     assert {r.doc_id: r.text for r in pieces.decode(found, queries.PIECE_MODEL).select("doc_id", "text").collect()} == {i: t or "" for i, t in rows}
     table = pieces.encode(spark.read.parquet(f"{SF}/documents.parquet"), queries.PIECE_MODEL, verify=True)
     assert table.where("not parity").count() == 0
+    back = pieces.decode(table, queries.PIECE_MODEL).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", queries.F.coalesce("text", queries.F.lit("")).alias("given")), "doc_id")
+    assert back.where("round_trip <> (text = given)").count() == 0
 
 
 def test_the_registered_pieces_are_verified(spark):
@@ -560,6 +562,8 @@ def test_unigram_models_of_real_size_have_parity(spark, tmp_path, rule):
         ids = other.encode(texts[r.doc_id])
         mine, its = (sum(read.pieces[i][1] for i in x) for x in (r.ids, ids))
         assert r.parity is False and other.decode(ids) == other.decode(list(r.ids)) and abs(mine - its) <= 2 * np.spacing(np.float32(abs(its)))
+    decoded = {r.doc_id: (r.text, r.round_trip) for r in pieces.decode(found, str(tmp_path / "u.model")).collect()}
+    assert all(same == (text == texts[i]) for i, (text, same) in decoded.items())
     if rule == "identity":
         lost = {r.doc_id for r in found.where("not round_trip").collect()}
         assert lost <= {r.doc_id for r in docs.collect() if r.text and re.search(r"^ | $|  ", r.text)}
