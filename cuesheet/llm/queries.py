@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, licenses, minhash, mixing, pieces, quality, spotsigs, toxicity, warc
+from . import alignment, ann, bytepairs, chat, licenses, minhash, mixing, pieces, quality, repeats, spotsigs, toxicity, warc
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+BYTE_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +75,30 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", folds=5, held=0, threshold=0.3)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bytepairs.encode(table(spark, sf_dir, "documents"), BYTE_RANKS, decoded=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.collapse(repeats.with_periodic_tails(table(spark, sf_dir, "documents")))
+    rows = rows.withColumn("best", repeats.most_repeated(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = [F.col(f"best.{n}").alias(n) for n in ("start", "length", "period")]
+    exponent = F.expr("1000 * best.length div best.period").alias("exponent_milli")
+    return rows.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), *best, exponent, F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.align(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_MODEL)
+    return rows.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_minhash_near_dedup, op2_sentencepiece, op3_warc, op4_spotsigs, op5_toxicity, op6_mixing, op7_license_scan, op8_ann, op9_chat_formatting, op10_quality_classifier)
-}
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup, op2_sentencepiece, op3_warc, op4_spotsigs, op5_toxicity, op6_mixing, op7_license_scan, op8_ann, op9_chat_formatting,
+        op10_quality_classifier, op11_byte_bpe, op12_periodic_runs, op13_token_alignment,
+    )
+}
