@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from itertools import chain
 
 import numpy as np
@@ -39,9 +40,10 @@ LATER = regex.compile(
     "\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
     "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f]"
 )
+FROM_LATER = re.compile("[\u0558-\U0010ffff]")  # a quick look for any candidate
 OTHER_SIGN = "\ufffd"
 KEPT_PAIRS = 1 << 20
-KEPT_PIECES = 1 << 18
+KEPT_PIECES = 1 << 20
 KEPT_CHARS = 64
 
 
@@ -51,7 +53,8 @@ def parse(data: bytes) -> dict[bytes, int]:
 
 
 class BytePairs:
-    """A vocabulary of ranks, which are the ids. Raises ValueError if a byte is no token, or a token is made by a later one."""
+    """A vocabulary of ranks, which are the ids. Raises ValueError if a byte is no token, or a token is made by a later one.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         import ahocorasick
@@ -78,7 +81,7 @@ class BytePairs:
         """Find the two tokens whose merge makes this one; without any, merging never makes it, and only a whole piece can be it."""
         for cut in range(len(token) - 1, 0, -1):
             a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
-            if a is not None and b is not None and self._is_made(a) and self._is_made(b) and self._fit(a, b):
+            if a is not None and b is not None and self.is_made(a) and self.is_made(b) and self._fit(a, b):
                 self.left[rank], self.right[rank], self.made[rank] = a, b, rank
                 self.merged[a * self.top + b] = rank
                 return True
@@ -95,7 +98,8 @@ class BytePairs:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return True
 
-    def _is_made(self, rank: int) -> bool:
+    def is_made(self, rank: int) -> bool:
+        """Whether merging can make the token."""
         return self.size[rank] == 1 or self.made[rank] >= 0
 
     def _fit(self, a: int, b: int) -> bool:
@@ -146,23 +150,29 @@ class BytePairs:
 
     def parts(self, text: str) -> list[str]:
         """The pieces of a text."""
-        if text.isascii() or not LATER.search(text):
+        if text.isascii() or not FROM_LATER.search(text) or not LATER.search(text):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(LATER.sub(OTHER_SIGN, text))]
 
     def encode(self, text: str) -> list[int]:
-        found, out = self.found, []
-        for part in self.parts(text):
-            ids = found.get(part)
-            if ids is None:
-                ids = self.piece(part.encode())
-                if len(part) <= KEPT_CHARS:
-                    if len(found) >= KEPT_PIECES:
-                        found.clear()
-                    found[part] = ids
-            out.append(ids)
+        parts = self.parts(text)
+        out = list(map(self.found.get, parts))
+        at = -1
+        for _ in range(out.count(None)):
+            at = out.index(None, at + 1)
+            out[at] = self._remembered(parts[at])
         return list(chain.from_iterable(out))
 
+    def _remembered(self, part: str) -> tuple[int, ...]:
+        ids = self.found.get(part)
+        if ids is None:
+            ids = self.piece(part.encode())
+            if len(part) <= KEPT_CHARS:
+                if len(self.found) >= KEPT_PIECES:
+                    self.found.clear()
+                self.found[part] = ids
+        return ids
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.spelled.__getitem__, ids))
 

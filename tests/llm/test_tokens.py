@@ -115,6 +115,7 @@ def test_every_code_point_is_cut_as_tiktoken_cuts():
         ranks = plain | {p.encode(): 256 + k for k, p in enumerate(p for p in pairs if p.encode() not in plain)}
         library = tiktoken.Encoding("own", pat_str=bytepairs.PATTERN, mergeable_ranks=ranks, special_tokens={})
         assert [p for p in pairs if (len(vocabulary.parts(p)) == 1) != (len(library.encode_ordinary(p)) == 1)] == []
+        assert all("".join(vocabulary.parts(c + "x1 ")) == c + "x1 " for c in some[::50])
 
 
 def test_byte_bpe_query_equals_tiktoken(spark, odd):
