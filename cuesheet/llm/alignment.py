@@ -19,12 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from dataclasses import dataclass
 from functools import reduce
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from cuesheet.scratch import drop, keep
 
 from . import textkit
+from .bytepairs import PATTERN, BytePairs
 from .pieces import BYTE, SPACE, load, parse
 
 PAIRS = 6_000_000
 SALTS = 8
-LINKS = 1 << 21
+TOKENS = 1 << 17  # of a piece of a batch
+SUMMED = 1 << 20  # pairs that a task sums before it hands them on
 
 
 def byte_signs() -> dict[str, int]:
@@ -59,29 +61,35 @@ def spelled_by_pieces(data: bytes) -> list[bytes]:
     return [bytes([int(text[3:5], 16)]) if kind == BYTE else text.replace(SPACE, " ").encode() for text, _, kind in parse(data).pieces]
 
 
+def ranks(data: bytes) -> dict[bytes, int]:
+    """The ids of a byte-level tokenizer file's tokens, without special ones. Raises ValueError unless ids follow the order of merges."""
+    said, signs = json.loads(data), byte_signs()
+    if said["normalizer"] or said["pre_tokenizer"]["type"] != "ByteLevel" or said["pre_tokenizer"]["add_prefix_space"] or said["model"]["type"] != "BPE":
+        raise ValueError("only byte-level BPE without normaliser is supported")
+    vocabulary, special = said["model"]["vocab"], {t["content"] for t in said.get("added_tokens", [])}
+    made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in said["model"]["merges"]]
+    if made != sorted(made):
+        raise ValueError("ids have to follow the order of merges")
+    return {bytes(signs[c] for c in token): i for token, i in vocabulary.items() if token not in special}
+
+
 class Both:
     """Both tokenizers, and what their ids spell."""
 
-    def __init__(self, a: bytes, b: bytes, threads: int = 1):
-        os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    def __init__(self, a: bytes, b: bytes):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
+        from tiktoken import Encoding
 
-        self.a, self.b, self.threads = Tokenizer.from_buffer(a), SentencePieceProcessor(model_proto=b), threads
-        self.a.encode_special_tokens = True
-        self.spelled = spelled_by_signs(a), spelled_by_pieces(b)
+        known = BytePairs(ranks(a))  # tells which tokens merging makes: the library takes a piece that is a token for that token
+        self.a = Encoding("a", pat_str=PATTERN, mergeable_ranks={t: i for t, i in known.ranks.items() if known.is_made(i)}, special_tokens={})
+        self.b, self.spelled = SentencePieceProcessor(model_proto=b), spelled_by_pieces(b)
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of both sides; none where a text is empty, or either side doesn't spell it."""
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=self.threads)
-        spell = [table.__getitem__ for table in self.spelled]
-        for i, text in enumerate(texts):
-            wanted = b" " + text.encode()
-            if not text or any(b"".join(map(f, ids)) != wanted for f, ids in zip(spell, (a[i], b[i]), strict=True)):
-                a[i] = b[i] = []
-        return a, b
+        """Ids of both sides; none where a text is empty, or B's don't spell a space and the text. A's always do."""
+        b = self.b.encode(texts, num_threads=1)
+        spelled = [bool(t) and b"".join(map(self.spelled.__getitem__, ids)) == b" " + t.encode() for t, ids in zip(texts, b, strict=True)]
+        a = [self.a.encode_ordinary(" " + t) if fine else [] for t, fine in zip(texts, spelled, strict=True)]
+        return a, [ids if fine else [] for ids, fine in zip(b, spelled, strict=True)]
 
 
 @dataclass
@@ -120,12 +128,12 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pieces(batch: pa.RecordBatch, sizes: tuple[np.ndarray, np.ndarray], first: int):
-    """(start, number of rows, Aligned) of pieces of a batch of about LINKS tokens, whose ids are the columns first and first + 1."""
+    """(start, number of rows, Aligned) of pieces of a batch of about TOKENS tokens, whose ids are the columns first and first + 1."""
     lengths = batch.column(first).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) + batch.column(first + 1).value_lengths().to_numpy(zero_copy_only=False)
     so_far, start = np.cumsum(lengths), 0
     while start < batch.num_rows:
         before = so_far[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(so_far, before + LINKS, side="right")))
+        stop = max(start + 1, int(np.searchsorted(so_far, before + TOKENS, side="right")))
         (a, at_a), (b, at_b) = (_flat(batch.column(first + k).slice(start, stop - start)) for k in (0, 1))
         yield start, stop - start, aligned(a, b, at_a, at_b, *sizes)
         start = stop
@@ -144,14 +152,14 @@ def _grouped(x: Aligned, signs: list[bytes], top: int) -> list[str]:
     return [b"".join(made[i:j])[:-1].decode() for i, j in zip(at, at[1:])]
 
 
-def tokens(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text", threads: int = 1) -> DataFrame:
+def tokens(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, a, b): ids of every row's text by both files; both empty if the text is null or empty, or a side doesn't spell it."""
     shared = docs.sparkSession.sparkContext.broadcast((load(docs, a_path), load(docs, b_path)))
 
     def run(batches):
-        both = _both(shared.value, threads)
+        both = _both(shared.value)
         for batch in batches:
-            for start, part in textkit.slices(batch.column(1), 1 << 20):
+            for start, part in textkit.slices(batch.column(1), 1 << 18):
                 lists = []
                 for ids in both.encode(part.fill_null("").to_pylist()):
                     n = np.array([len(x) for x in ids])
@@ -166,10 +174,10 @@ def tokens(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", te
 _made: dict[str, Both] = {}
 
 
-def _both(files: tuple[bytes, bytes], threads: int) -> Both:
+def _both(files: tuple[bytes, bytes]) -> Both:
     key = hashlib.sha256(files[0] + files[1]).hexdigest()
     if key not in _made:
-        _made[key] = Both(*files, threads)
+        _made[key] = Both(*files)
     return _made[key]
 
 
@@ -185,7 +193,7 @@ def pair_counts(stored: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> Data
         kept, many = [], 0
 
         def summed():
-            keys, which = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
+            which, keys = pd.factorize(np.concatenate([k for k, _ in kept]))
             n = np.zeros(len(keys), np.int64)
             np.add.at(n, which, np.concatenate([n for _, n in kept]))
             return keys, n
@@ -196,12 +204,13 @@ def pair_counts(stored: DataFrame, sizes: tuple[np.ndarray, np.ndarray]) -> Data
 
         for batch in batches:
             for _, _, x in _pieces(batch, sizes, 0):
-                kept.append(np.unique(x.a[x.link_a] * width + x.b[x.link_b], return_counts=True))
-                many += len(kept[-1][0])
-                if many > LINKS:
+                which, keys = pd.factorize(x.a[x.link_a] * width + x.b[x.link_b])
+                kept.append((keys, np.bincount(which, minlength=len(keys))))
+                many += len(keys)
+                if many > SUMMED:
                     kept = [summed()]
                     many = len(kept[0][0])
-                    if many > LINKS // 2:
+                    if many > SUMMED // 2:
                         yield out()
                         kept, many = [], 0
         if kept:
@@ -227,7 +236,7 @@ def _passed(stored: DataFrame, pairs: DataFrame, best: np.ndarray, sizes: tuple[
         keys, counts, best = shared.value
         for batch in batches:
             for start, size, x in _pieces(batch, sizes, 2):
-                key, which = np.unique(x.a[x.link_a] * width + x.b[x.link_b], return_inverse=True)
+                which, key = pd.factorize(x.a[x.link_a] * width + x.b[x.link_b])
                 place = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
                 known = keys[place] == key if len(keys) else np.zeros(len(key), bool)
                 n = np.where(known, counts[place] if len(keys) else 0, 0)
@@ -248,7 +257,7 @@ def _passed(stored: DataFrame, pairs: DataFrame, best: np.ndarray, sizes: tuple[
 NAMES = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "known", "groups"]
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text", pairs: int = PAIRS, threads: int = 1) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text", pairs: int = PAIRS) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) for every row of docs.
 
     a_path: a byte-level tokenizer file, which encodes a space and the text; b_path: a
@@ -264,7 +273,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
     sizes = _sizes(spelled[0]), _sizes(spelled[1])
     top = max(map(len, sizes))
     signs = [b"%d%s" % (i, sign) for sign in (b",", b"|", b";") for i in range(top)]
-    stored = keep(tokens(docs, a_path, b_path, doc_id, text, threads).select(F.monotonically_increasing_id().alias("row"), "doc_id", "a", "b"), "tokens")
+    stored = keep(tokens(docs, a_path, b_path, doc_id, text).select(F.monotonically_increasing_id().alias("row"), "doc_id", "a", "b"), "tokens")
     counts = keep(pair_counts(stored, sizes), "pairs")
     best = np.zeros(len(sizes[1]), np.int64)  # the highest count of each B id
     highest = counts.groupBy("b").agg(F.max("n").alias("n")).toArrow()
