@@ -164,6 +164,20 @@ def labelled(spark, bad, kind):
     return documents(spark, [*texts, (1000, None), (1001, ""), (None, "alpha")]), labels
 
 
+def rude(spark):
+    """600 texts, every fourth toxic with some of two words that no other has, and odd ones."""
+    rng = np.random.default_rng(5)
+    words = [a + b for a in WORDS for b in [*WORDS, "a", "b", "c"]]
+    texts = []
+    for i in range(600):
+        own = rng.choice(words, 60)
+        if i % 4 == 0:
+            own[::9][: 2 + i % 5] = ["grim", "foul", "grim", "foul", "grim", "foul"][: 2 + i % 5]
+        texts.append((i, " ".join(own)))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in texts], "doc_id long, label int")
+    return documents(spark, [*texts, (1000, None), (1001, ""), (None, "alpha")]), labels
+
+
 def test_quality_held_out(spark):
     docs, labels = labelled(spark, lambda t: t.upper().replace(" ", "!! "), False)
     got = [r for r in quality.classify(docs, labels, "label").collect()]
@@ -173,7 +187,7 @@ def test_quality_held_out(spark):
 
 
 def test_toxicity_held_out(spark):
-    docs, labels = labelled(spark, lambda t: t.replace(" ", " grim ", 2).replace(" ", " foul ", 1), True)
+    docs, labels = rude(spark)
     got = [r for r in toxicity.classify(docs, labels, "label").collect()]
     held = [r for r in got if r.held_out and r.doc_id < 600]
     assert len(got) == 603 and len(held) > 100 and sum(r.predicted != int(r.doc_id % 4 == 0) for r in held) <= 2
@@ -243,51 +257,75 @@ def test_equal_texts_score_equally(spark):
         assert made.groupBy("text").agg(queries.F.count_distinct("score").alias("n")).where("n > 1").count() == 0
 
 
-def plain_ratios(rows):
-    """(word ratio, pair ratio) of class-conditional Kneser-Ney models, counted in plain Python."""
-    texts, before = [{}, {}], [{}, {}]
-    for i, (words, label) in enumerate(rows):
+def plain_likelihoods(rows):
+    """log P(w | class) by class-conditional Kneser-Ney models with shared backoff, counted in plain Python; None: a word that no text has."""
+    before = [{}, {}]
+    for words, label in rows:
         for v, w in zip(["", *words], words, strict=False):
-            texts[label].setdefault((v, w), set()).add(i)
             before[label].setdefault(w, set()).add(v)
-    many = [{k: len(s) for k, s in t.items()} for t in texts]
-    after = [{k: len(s) for k, s in b.items()} for b in before]
-    both = {w: len(before[0].get(w, set()) | before[1].get(w, set())) for w in {*before[0], *before[1]}}
-    vocabulary = [w for w in both if after[1].get(w, 0) >= 2]
-    known = [k for k in many[1] if many[1][k] >= 2]
-    uniform = sum(both.values()) + toxicity.PRIOR * (len(both) + 1)
-
-    def word(c, w):
-        n = sum(after[c].values())
-        given = {x: max(after[c].get(x, 0) - 1, 0) / n for x in vocabulary}
-        return given.get(w, 0) + (1 - sum(given.values())) * (both.get(w, 0) + toxicity.PRIOR) / uniform
+    after = [{w: len(b) for w, b in x.items()} for x in before]
+    total = [max(1, sum(x.values())) for x in after]
+    vocabulary = {*after[0], *after[1]}
+    both = {w: after[0].get(w, 0) + after[1].get(w, 0) for w in vocabulary}
+    shared = lambda w: (both.get(w, 0) + toxicity.PRIOR) / (sum(total) + toxicity.PRIOR * (len(vocabulary) + 1))
 
-    def pair(c, v, w):
-        n = sum(k for (x, _), k in many[c].items() if x == v)
-        given = {y: max(many[c].get((x, y), 0) - 1, 0) / max(n, 1) for x, y in known if x == v}
-        return given.get(w, 0) + (1 - sum(given.values())) * word(c, w)
+    def first(c, w):
+        share = total[c] / sum(total)
+        expected = share * both.get(w, 0)
+        rate = toxicity.RATE / (1 + (toxicity.RATE - 1) * share)
+        return max(0.0, after[c].get(w, 0) - rate * expected - toxicity.NOISE * (expected * (1 - share)) ** 0.5) / total[c]
 
-    return lambda v, w: (np.log(word(1, w) / word(0, w)), np.log(pair(1, v, w) / pair(0, v, w)))
+    left = [1 - sum(first(c, w) for w in vocabulary) for c in (0, 1)]
+    return lambda c, w: np.log(first(c, w) + left[c] * shared(w))
 
 
-def test_toxicity_ratios_are_kneser_ney(spark):
+def test_toxicity_ratios_are_kneser_ney(spark, monkeypatch):
+    """Means of log-likelihood differences, of all labelled texts' models and of one that leaves a fold out, with words that either class has alone."""
+    monkeypatch.setattr(toxicity, "NOISE", 0.5)
     rng = np.random.default_rng(11)
-    texts = [(" ".join(rng.choice(WORDS[: 6 + 6 * (i % 3)], 12)), int(i % 5 == 0)) for i in range(60)]
+    own = (["calm", "mild", "fair"], ["grim", "foul", "vile"])
+    texts = [(" ".join(rng.permutation([*rng.choice(WORDS[: 6 + 6 * (i % 3)], 12), *rng.choice(own[i % 2], 4)])), int(i % 2)) for i in range(60)]
     rows = spark.createDataFrame([(t, y, i % 3) for i, (t, y) in enumerate(texts)], "text string, label int, fold int")
     counts = toxicity.count(rows)
-    given = [" ".join(rng.choice([*WORDS, "unseen", "other"], 9)) for _ in range(20)] + ["", None, "alpha", "unseen unseen"]
+    given = [" ".join(rng.choice([*WORDS, *own[0], *own[1], "unseen", "other"], 9)) for _ in range(20)] + ["", None, "alpha", "unseen unseen", "grim", "calm"]
     asked = spark.createDataFrame([(i, 0, t) for i, t in enumerate(given)], "id long, label int, text string")
     for model, left_out in ((0, None), (2, 1)):
-        ratio = plain_ratios([(t.split(), y) for i, (t, y) in enumerate(texts) if i % 3 != left_out])
+        log_p = plain_likelihoods([(t.split(), y) for i, (t, y) in enumerate(texts) if i % 3 != left_out])
+        ratio = lambda w: log_p(1, w) - log_p(0, w)  # noqa: B023, E731
         made = toxicity.model_of(counts, model)
-        for limit in (10**6, 0):
-            got = {r.id: [r.f0, r.f1, r.f2] for r in toxicity.featured(asked, made, broadcast_entries=limit).collect()}
-            for i, text in enumerate(given):
-                words = (text or "").split()
-                found = [ratio(v, w) for v, w in zip(["", *words], words, strict=False)]
-                best = sorted((a for a, _ in found), reverse=True)
-                want = [sum(b for _, b in found) / max(1, len(found)), sum(best[:1]), sum(best[:3]) / 3]
-                assert np.allclose(got[i], want, atol=1e-9), (i, text)
+        assert np.isclose(made.rare, ratio("unseen"), atol=1e-6)
+        both = [{r.id: r.ratio for r in toxicity.featured(asked, made, broadcast_entries=limit).collect()} for limit in (10**6, 0)]
+        assert both[0] == both[1]  # to the last bit
+        signs = set()
+        for i, text in enumerate(given):
+            found = [ratio(w) for w in (text or "").split()]
+            want = sum(found) / len(found) - ratio("unseen") if found else 0.0
+            signs.add(np.sign(round(want, 6)))
+            assert np.isclose(both[0][i], want, atol=1e-6), (i, text)
+        assert signs == {-1.0, 0.0, 1.0}
+
+
+def test_toxicity_scores_are_equal_whatever_is_broadcast(spark):
+    docs, labels = rude(spark)
+    scored = [sorted((r.doc_id, r.score) for r in toxicity.classify(docs.where("doc_id is not null"), labels, "label", broadcast_entries=limit).collect()) for limit in (10**6, 0)]
+    assert scored[0] == scored[1] and len({s for _, s in scored[0]}) > 2
+
+
+def test_toxicity_from_end_to_end(spark):
+    """Scores of the whole operator are the curve's values of plain likelihood differences, and rise with them."""
+    docs, labels = rude(spark)
+    known = {r.doc_id: r.label for r in labels.collect() if r.doc_id is not None}
+    texts = {r.doc_id: r.text for r in docs.where("doc_id < 600").collect()}
+    learnt = [(re.findall(r"[a-z0-9]+", (texts[i] or "").lower()), y) for i, y in known.items() if i in texts and zlib.crc32(str(i).encode()) % 3 != 1]
+    log_p = plain_likelihoods(learnt)
+    got = {r.doc_id: r.score for r in toxicity.classify(docs, labels, "label").collect()}
+    pairs = []
+    for i, text in texts.items():
+        words = re.findall(r"[a-z0-9]+", (text or "").lower())
+        pairs.append((sum(log_p(1, w) - log_p(0, w) for w in words) / len(words), np.log(got[i] / (1 - got[i]))))
+    x, y = np.array(pairs).T
+    slope, constant = np.polyfit(x, y, 1)
+    assert slope > 0 and np.allclose(slope * x + constant, y, atol=1e-3 * max(1, np.abs(y).max()))
 
 
 def test_mixing_meets_weights_far_apart(spark):
