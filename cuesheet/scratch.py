@@ -1,17 +1,24 @@
 """Tables that cut lineage: Parquet in the shared folder named by ``spark.checkpoint.dir``.
 
 A written table survives lost executors, unlike cached blocks. The folder is read from
-the session; only a local session that names none gets a local folder.
+the session; only a local session that names none gets a local folder. An application's
+folder is deleted when its JVM ends; settled() deletes a step's tables as soon as its result is written.
 """
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_DEFAULT = "/tmp/checkpoints"
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_mine = threading.local()  # .steps: for each settled() that this thread is in, the folders written during it
+_writing = threading.Lock()
+_writers: dict[object, list] = {}  # session -> [writes going on, its setting of CLEAN_UP before them]
+_marked: set[str] = set()
 
 
 def root(spark: SparkSession) -> str:
@@ -22,35 +29,76 @@ def root(spark: SparkSession) -> str:
     return (named or LOCAL_DEFAULT).rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/cuesheet/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder's path in the application's folder, which goes when the JVM ends."""
+    own = f"{root(spark)}/cuesheet/{spark.sparkContext.applicationId}"
+    if own not in _marked:
+        files, place = _place(spark, own)
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _marked.add(own)
+    path = f"{own}/{name}-{uuid.uuid4().hex[:12]}"
+    for step in getattr(_mine, "steps", []):
+        step.append(path)
+    return path
+
+
+def _write(df: DataFrame, path: str) -> None:
+    """Write df; its shuffle files are deleted at the end. Writes of several threads share the session's setting."""
+    conf = df.sparkSession.conf
+    with _writing:
+        own = _writers.setdefault(df.sparkSession, [0, conf.get(CLEAN_UP, None)])
+        own[0] += 1
+        conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        with _writing:
+            own[0] -= 1
+            if not own[0]:
+                del _writers[df.sparkSession]
+                if own[1] is None:
+                    conf.unset(CLEAN_UP)
+                else:
+                    conf.set(CLEAN_UP, own[1])
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and read it back: later plans start from the files, so the write's shuffle files are deleted at its end."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    before = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
+    """Write df once and read it back: later plans start from the files."""
+    path = new_path(df.sparkSession, name)
+    _write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns, written, after which the tables that it kept are deleted."""
+    steps = _mine.__dict__.setdefault("steps", [])
+    steps.append([])
     try:
-        df.write.parquet(path)
+        made = make()
     finally:
-        if before is None:
-            spark.conf.unset(CLEAN_UP)
-        else:
-            spark.conf.set(CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        inner = steps.pop()
+    out = keep(made, name)
+    for path in inner:
+        delete(out.sparkSession, path)
+    return out
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    files, place = _place(spark, path)
+    return files.exists(place)
 
 
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder made by new_path()."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, place = _place(spark, path)
     if "/cuesheet/" in place.toString():
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        files.delete(place, True)
 
 
 def drop(df: DataFrame) -> None:

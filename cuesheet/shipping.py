@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -25,6 +26,8 @@ def ship(spark: SparkSession) -> None:
         package = Path(__file__).resolve().parent
         with tempfile.TemporaryDirectory() as staging:
             shutil.copytree(package, f"{staging}/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
-            archive = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", staging)
+            served = tempfile.mkdtemp()  # executors fetch it from here as long as the driver lives
+            atexit.register(shutil.rmtree, served, ignore_errors=True)
+            archive = shutil.make_archive(f"{served}/{package.name}", "zip", staging)
         spark.sparkContext.addPyFile(archive)
         _shipped.add(app)
