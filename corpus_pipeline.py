@@ -2,7 +2,7 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame. run() writes what a stage
 returns as Parquet in the shared folder and reads it again as the next stage's docs, so
-that a lost executor costs at most one stage. All stages but the last return the columns
+that a lost executor costs at most one stage; tables that a stage kept meanwhile go then. All stages but the last return the columns
 of documents.
 
 Odd rows: null texts are empty; empty, blank and very long texts are judged, kept and
@@ -14,6 +14,8 @@ names. Empty tables stay empty.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from cuesheet import scratch
@@ -73,7 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     before = None
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        docs = scratch.settled(functools.partial(stage, spark, docs, sf_dir), name)
         if before is not None:
             scratch.drop(before)
         before = docs
