@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions import identity, text
 from cuesheet.operators import clean, group, links, search, store, timeline
-from cuesheet.plans import oracles
+from cuesheet.plans import api, oracles
 from cuesheet.sources import landing, sample
 
 # Titles that the order tables don't have: their forms are what the text functions are about.
@@ -337,6 +337,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "js1_json_extract": js1_json_extract,
     "src3_uploads": src_uploads,
     "src4_channel_page": src4_channel_page,
-}
+} | api.QUERIES
 
-ORACLES = oracles.build(TITLES, CLOCKS, CHANNELS, COMMENTS, QUERY_KEYS)
+ORACLES = oracles.build(TITLES, CLOCKS, CHANNELS, COMMENTS, QUERY_KEYS) | api.ORACLES
