@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cuesheet.scratch import exists
+from cuesheet.scratch import drop, exists, keep
 
 ENTRY_KEY = ["video_id", "seconds", "normalized_song_title"]
 SONG_KEY = ["channel_id", "normalized_song_title"]
@@ -66,6 +66,31 @@ def replace_videos(entries: DataFrame, new: DataFrame, songs: DataFrame, videos:
     return after, with_song_ids(kept.select(*columns).unionByName(fresh.select(*columns)), videos, after)
 
 
+def in_buckets(rows: DataFrame, buckets: int) -> DataFrame:
+    """rows with bucket, by the hash of video_id."""
+    return rows.withColumn("bucket", (F.crc32(F.col("video_id").cast("binary")) % buckets).cast("int"))
+
+
+def replace_in_place(new: DataFrame, path: str, buckets: int) -> list[int]:
+    """Replace the entries of new's videos in the table at path, and return the buckets that were rewritten.
+
+    The table is partitioned by the hash of video_id. Only the partitions of new's videos are read
+    and written (dynamic overwrite); the files of all others stay as they are. Repeating a replacement changes nothing.
+    """
+    spark = new.sparkSession
+    rows = keep(in_buckets(new, buckets), "replacing")
+    touched = sorted(r.bucket for r in rows.select("bucket").distinct().collect())  # at most as many as there are buckets
+    if touched:
+        after = rows
+        if exists(spark, path):
+            old = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched))
+            after = old.join(rows.select("video_id").distinct(), "video_id", "left_anti").unionByName(rows)
+        after = after.repartition(len(touched), "bucket").sortWithinPartitions("bucket", "video_id")
+        after.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    drop(rows)
+    return touched
+
+
 def without_orphans(songs: DataFrame, entries: DataFrame) -> DataFrame:
     """Songs that some entry names."""
     return songs.join(entries.where("song_id is not null").select("song_id").distinct(), "song_id", "left_semi")

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuesheet.functions import words
+from cuesheet import scratch
+from cuesheet.functions import text, words
+from cuesheet.operators import store
 from cuesheet.plans.oracles import matches, over, q, strip
-from cuesheet.sources import landing, paged
+from cuesheet.sources import landing, paged, sample
+from cuesheet.streaming import ingest
 
 MOST_UPLOADS = 70
 
@@ -39,8 +42,33 @@ def src4_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.resolved(inputs, pages, landing.sample_channel_answers(spark, sf_dir))
 
 
+def q9_stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q9_index by the incremental index: the sample's comments landed in several files, each a batch, a video's comments in different ones."""
+    comments = sample.comments(spark, sf_dir)
+    landed, out, state = (scratch.new_path(spark, name) for name in ("comments", "entries", "state"))
+    dealt = comments.withColumn("at", (F.crc32(F.concat("video_id", F.col("comment_pos").cast("string")).cast("binary")) % 3).cast("int"))
+    dealt.repartition(3, "at").write.partitionBy("at").parquet(landed)
+    ingest.run(spark, f"{landed}/*", out, state, comments.schema, sample.videos(spark, sf_dir), files_a_batch=1)
+    return spark.read.parquet(out).select("video_id", "timestamp_text", "seconds", "raw_song_title", "normalized_song_title", "jump_url")
+
+
+def snk5_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """snk5_replace_video as a replacement in place: only the touched buckets of the stored entries are rewritten."""
+    c = sample.catalogue(spark, sf_dir)
+    path, columns = scratch.new_path(spark, "entries"), ["video_id", "seconds", "raw_song_title", "normalized_song_title", "jump_url"]
+    store.replace_in_place(c.entries.select(*columns), path, ingest.BUCKETS)
+    store.replace_in_place(again(c).select(*columns), path, ingest.BUCKETS)
+    return spark.read.parquet(path).select(*columns)
+
+
+def again(c: sample.Catalogue) -> DataFrame:
+    """New entries for every video whose id ends with 7: its odd ones, half a minute later."""
+    rows = c.entries.where(F.col("video_id").endswith("7") & (F.col("entry_id") % 2 == 1))
+    return rows.withColumn("seconds", F.col("seconds") + 30).withColumn("jump_url", text.jump_url(F.col("video_id"), F.col("seconds")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (src2_paged_comments, src2_paged_first_comments, src2_paged_outcomes, src3_paged_uploads, src4_resolved)
+    f.__name__: f for f in (src2_paged_comments, src2_paged_first_comments, src2_paged_outcomes, src3_paged_uploads, src4_resolved, q9_stream_index, snk5_in_place)
 }
 
 _NUMBER = "cast(substr(video_id, 2) as bigint)"

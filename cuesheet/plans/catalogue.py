@@ -91,15 +91,9 @@ def snk2_upsert_video(spark, sf_dir):
     return store.upsert(old, new, ["video_id"], "at")
 
 
-def _with_new_entries(c: sample.Catalogue) -> DataFrame:
-    """New entries for every video whose id ends with 7: its odd ones, half a minute later."""
-    rows = c.entries.where(F.col("video_id").endswith("7") & (F.col("entry_id") % 2 == 1))
-    return rows.withColumn("seconds", F.col("seconds") + 30).withColumn("jump_url", text.jump_url(F.col("video_id"), F.col("seconds")))
-
-
 def snk5_replace_video(spark, sf_dir):
     c = sample.catalogue(spark, sf_dir)
-    _, entries = store.replace_videos(c.entries, _with_new_entries(c), c.songs, c.videos)
+    _, entries = store.replace_videos(c.entries, api.again(c), c.songs, c.videos)
     return entries.select("video_id", "seconds", "raw_song_title", "normalized_song_title", "song_id", "jump_url")
 
 
@@ -340,3 +334,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 } | api.QUERIES
 
 ORACLES = oracles.build(TITLES, CLOCKS, CHANNELS, COMMENTS, QUERY_KEYS) | api.ORACLES
+ORACLES |= {"q9_stream_index": ORACLES["q9_index"], "snk5_in_place": f"select * exclude (song_id) from ({ORACLES['snk5_replace_video']})"}

@@ -1,35 +1,147 @@
-"""Comments as a stream of landed files: each batch's videos get their entries replaced. An extension; batch functions do the work."""
+"""Incremental indexing: comments as a stream of landed files, with the candidates of each video as keyed state.
+
+A batch's comments are parsed line by line in the JVM, without state. For each video the state
+(transformWithStateInPandas, RocksDB) holds one small record a comment that was looked at: its
+place, and its best block of entries if it has one. Only the first max_comments places of a
+video count, so a state has at most that many records, whichever batches and order they came in;
+a comment that comes again replaces itself. When the video's best comment changes, its entries
+are given out and replace the video's entries in the stored table, in the buckets of the touched
+videos only. The work of a batch follows its own comments, not those of earlier ones.
+
+Written entries may lag behind the state by one batch if a run breaks off; the next run
+repeats that batch with the same result.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from cuesheet.operators import timeline
+from cuesheet.functions import text
+from cuesheet.operators import store, timeline
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ENTRY = "video_id string, comment_pos long, entry_id long, timestamp_text string, seconds long, raw_song_title string, normalized_song_title string"
+BUCKETS = 64
+
+
+def parsed_line(line: Column) -> Column:
+    """One line as a struct: what timeline.lines() says of it."""
+
+    def kinds(x: Column) -> Column:
+        entry = F.coalesce(text.is_probable_title(x["raw"], x["normal"]), F.lit(False))
+        marker = text.is_marker(line)
+        return text.let(entry, lambda e: F.struct(
+            e.alias("entry"), marker.alias("marker"), (~e & ~marker & ~text.is_blank_or_decoration(line)).alias("plain"),
+            F.when(e, x["clock"]).alias("clock"), F.when(e, text.seconds(x["clock"])).alias("seconds"), F.when(e, x["raw"]).alias("raw"), F.when(e, x["normal"]).alias("normal"),
+            (e & text.has_separator(F.coalesce(x["raw"], F.lit("")))).alias("separated"),
+        ))
+
+    def titled(clock: Column) -> Column:
+        raw = F.when(clock != "", text.clean_title(F.regexp_extract(line, timeline.LINE, 2)))
+        return text.let(raw, lambda r: text.let(F.struct(F.when(clock != "", clock).alias("clock"), r.alias("raw"), text.normalize_title(r).alias("normal")), kinds))
+
+    return text.let(F.regexp_extract(line, timeline.LINE, 1), titled)
+
+
+def parsed(comments: DataFrame) -> DataFrame:
+    """(video_id, comment_pos, lines) of comments; comments with fewer than two clock times have no lines that matter."""
+    lines = F.transform(F.split("text", timeline.LINE_END), parsed_line)
+    return comments.select("video_id", F.col("comment_pos").cast("long").alias("comment_pos"), F.when(text.clock_count(F.col("text")) >= 2, lines).alias("lines"))
+
+
+def best_block(lines: list[dict]) -> dict | None:
+    """The best block of a comment's lines, as timeline.candidates() chooses it: its rank among a video's comments, and its entries."""
+    marked, best = any(x["marker"] for x in lines), None
+    last_entry, last_marker, plain, plain_at_marker = -1, -1, 0, 0
+    for at, x in enumerate(lines):
+        plain += x["plain"]
+        if x["marker"]:
+            last_marker, plain_at_marker = at, plain
+        if not x["entry"]:
+            continue
+        starts = last_marker > last_entry and plain - plain_at_marker <= timeline.SKIPPED if marked else last_entry < 0 or last_entry != at - 1
+        last_entry = at
+        if not starts:
+            continue
+        end = next((k for k in range(at, len(lines)) if not lines[k]["entry"]), len(lines))
+        times = [y["seconds"] for y in lines[at:end]]
+        found = (end - at, max(times) - min(times), -at)
+        if end - at >= 2 and (best is None or found > best):
+            best = found
+    if best is None:
+        return None
+    n, span, at = best[0], best[1], -best[2]
+    entries = [{"entry_id": k, **{c: lines[k][c] for c in ("clock", "seconds", "raw", "normal")}} for k in range(at, at + n)]
+    score = 1000 * marked + 20 * n + 3 * sum(bool(y["separated"]) for y in lines[at : at + n]) + min(int(span // 600), 20)
+    return {"rank": [marked, score, n], "entries": entries}
+
+
+class BestComment(StatefulProcessor):
+    """Per video: records of its first max_comments comments, and which one was given out last."""
+
+    def __init__(self, max_comments: int | None):
+        self.most = max_comments
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.records = handle.getMapState("records", "comment_pos long", "record string")
+        self.given = handle.getValueState("given", "given string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = {place[0]: record[0] for place, record in self.records.iterator()}
+        for frame in rows:
+            for place, lines in zip(frame["comment_pos"], frame["lines"], strict=True):
+                made = best_block([x.asDict() if hasattr(x, "asDict") else dict(x) for x in lines]) if lines is not None else None
+                known[int(place)] = json.dumps(made, default=_plain)
+                self.records.updateValue((int(place),), (known[int(place)],))
+        for place in sorted(known)[len(known) if self.most is None else self.most :]:
+            self.records.removeKey((place,))
+            del known[place]
+        found = [(json.loads(record), place) for place, record in known.items() if record != "null"]
+        best = max(found, key=lambda f: (f[0]["rank"], -f[1]), default=None)
+        if best is None:
+            return
+        now = json.dumps([best[1], best[0]["entries"]])
+        before = self.given.get()
+        if before is not None and before[0] == now:
+            return
+        self.given.update((now,))
+        entries = pd.DataFrame(best[0]["entries"]).rename(columns={"clock": "timestamp_text", "raw": "raw_song_title", "normal": "normalized_song_title"})
+        entries.insert(0, "video_id", key[0])
+        entries.insert(1, "comment_pos", best[1])
+        yield entries
 
+    def close(self) -> None:
+        pass
 
-def run(spark: SparkSession, landed: str, out: str, state: str, schema: StructType, videos: DataFrame, max_comments: int | None = 100, all_videos: bool = False) -> None:
-    """Read all comment files under landed that weren't read before, and index each batch's videos by all their comments so far.
 
-    A batch's comments and entries go to folders of out named by its number, so that a
-    repeated batch overwrites its own. A video's best comment is chosen among all of its
-    comments, whichever batch they came in.
-    """
+def _plain(value):
+    return value.item()
 
-    def batch(comments: DataFrame, number: int) -> None:
-        comments.write.mode("overwrite").parquet(f"{out}/comments/batch={number}")
-        landed_now = spark.read.schema(schema).parquet(f"{out}/comments/batch={number}")
-        so_far = spark.read.schema(schema).parquet(*[f"{out}/comments/batch={n}" for n in range(number + 1)])
-        again = so_far.join(landed_now.select("video_id").distinct(), "video_id", "left_semi")
-        found = timeline.index(again, videos, max_comments, all_videos)
-        found.withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{out}/entries/batch={number}/rows")
 
-    stream = spark.readStream.schema(schema).parquet(landed)
-    stream.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+def run(spark: SparkSession, landed: str, out: str, state: str, schema: StructType, videos: DataFrame, max_comments: int | None = 100, all_videos: bool = False, files_a_batch: int = 1000, buckets: int = BUCKETS) -> None:
+    """Index all comment files under landed that weren't read before, into the table of entries at out."""
+    wanted = (videos if all_videos else videos.where(text.is_stream_title(F.col("title")))).select("video_id").distinct()
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
 
+    def write(entries: DataFrame, number: int) -> None:
+        kept = store.insert_ignore(entries).withColumn("jump_url", text.jump_url(F.col("video_id"), F.col("seconds")))
+        store.replace_in_place(kept, out, buckets)
 
-def latest(spark: SparkSession, out: str) -> DataFrame:
-    """The entries of each video's latest batch."""
-    rows = spark.read.parquet(f"{out}/entries/*/rows")
-    return rows.withColumn("_last", F.max("batch").over(Window.partitionBy("video_id"))).where("batch = _last").drop("_last", "batch")
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(landed)
+        found = parsed(stream.join(wanted, "video_id", "left_semi")).groupBy("video_id").transformWithStateInPandas(BestComment(max_comments), ENTRY, "Update", "None")
+        found.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)

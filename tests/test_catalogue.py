@@ -13,7 +13,6 @@ from cuesheet.functions import identity, text
 from cuesheet.operators import clean, group, links, search, store, timeline
 from cuesheet.plans import catalogue
 from cuesheet.sources import sample
-from cuesheet.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -253,19 +252,6 @@ def test_store_is_idempotent(spark):
     assert clean.prune(c)[0].count() == 0
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    landed, out = tmp_path / "landed", tmp_path / "out"
-    videos = sample.videos(spark, SF)
-    comments = sample.comments(spark, SF)
-    for number, rows in enumerate((comments.where("comment_pos = 1"), comments.where("comment_pos = 0"))):
-        rows.write.parquet(str(landed / str(number)))
-        ingest.run(spark, str(landed / "*"), str(out), str(tmp_path / "state"), comments.schema, videos)
-    got, want = ingest.latest(spark, str(out)), timeline.index(comments, videos)
-    columns = sorted(want.columns)
-    assert canonical(got.select(columns).toPandas()) == canonical(want.select(columns).toPandas())
-    assert got.count() > 100
-
-
 def canonical(frame):
     frame = frame[sorted(frame.columns)].astype(object)
     return sorted(tuple("null" if pd.isna(x) else str(int(x)) if isinstance(x, float) and x == int(x) else str(x) for x in row) for row in frame.itertuples(index=False))
