@@ -2,9 +2,15 @@
 
 The greedy steps depend on the order of rows, but rows only influence each other if they
 have one song key, or one artist and similar song keys. So song keys are joined to
-components over such pairs first. A component's rows go through the greedy step in order,
-as a stream: a task holds the state of one component's groups, not its rows, and rows that
-can't change a group any more aren't sent.
+components over such pairs first.
+
+Of a component the greedy step needs at most two rows of each (song key, artist key), however
+many there are. Which group such a pair joins changes only when a group is born, or when a group
+without artist gets one. A group is born at the first row of a pair: later on the pair has an
+answer, and answers don't get lost. Only a group that was born with an empty artist key can get an artist,
+from the first row with its song key and an artist after its birth, which is the first row of some pair
+after the first one of (song key, ''). The step goes through these rows in order and gives, for each pair, from which row on it
+joins which group; all rows then find their group by their pair and place.
 """
 
 from __future__ import annotations
@@ -65,9 +71,11 @@ class Groups:
     def __init__(self):
         self.song, self.artist, self.born = [], [], {}  # by group; (song key, artist key at birth) -> group
         self.of_song, self.of_artist = {}, {}
+        self.changed = False  # whether the last place() made a group, or gave one an artist
 
     def place(self, key: str, artist: str) -> int:
         found = self._find(key, artist)
+        self.changed = found is None or bool(artist and not self.artist[found])
         if found is None:
             found = self.born[key, artist] = len(self.song)
             self.song.append(key)
@@ -93,7 +101,7 @@ class Groups:
 
 
 def _streamed(state: type, place: Callable, columns: list[str]):
-    """A function for mapInPandas: place(state, row) for rows that come component by component, each with a state of its own."""
+    """A function for mapInPandas: what place(state, row) lists, for rows that come component by component, each with a state of its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, own = None, state()
@@ -102,7 +110,7 @@ def _streamed(state: type, place: Callable, columns: list[str]):
             for row in batch.itertuples(index=False):
                 if row.component != now:
                     now, own = row.component, state()
-                out.append(place(own, row))
+                out += place(own, row)
             yield pd.DataFrame(out, columns=columns)
 
     return run
@@ -113,34 +121,64 @@ def _in_components(rows: DataFrame, order: str) -> DataFrame:
 
 
 def _with_component(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows (merge_key, artist_key, ...) with component, a name of all song keys within by that may share a group with theirs, and linked, whether there are several."""
+    """rows (merge_key, artist_key, ...) with component, a name of all song keys within by that may share a group with theirs."""
     name = lambda key: F.concat_ws("\x1f", *by, key)
     pairs = links.near_pairs(rows.where("artist_key <> ''"), "merge_key", [*by, "artist_key"], 6)
     pairs = pairs.where(identity.is_similar_key(F.col("one"), F.col("other"))).select(name("one").alias("a"), name("other").alias("b"))
     found = links.connected(pairs).withColumnRenamed("id", "name")
     named = rows.withColumn("name", name("merge_key")).join(found, "name", "left")
-    return named.withColumn("linked", F.col("component").isNotNull()).withColumn("component", F.coalesce("component", "name")).drop("name")
+    return named.withColumn("component", F.coalesce("component", "name")).drop("name")
 
 
 class _Channel(Groups):
-    """Groups that are named by the seq of the row that they were born with."""
+    """Groups that are named by the seq of the row that they were born with, and what each pair's rows join from some row on."""
 
     def __init__(self):
         super().__init__()
         self.names: list[int] = []
+        self.answers: dict[tuple[str, str], int] = {}
+        self.with_song, self.with_artist = {}, {}  # pairs
 
-    def placed(self, row) -> tuple:
-        found = self.place(row.merge_key, row.artist_key)
+    def placed(self, row) -> list[tuple]:
+        pair = row.merge_key, row.artist_key
+        found = self.place(*pair)
         if found == len(self.names):
             self.names.append(row.seq)
-        return row.channel_id, row.seq, row.merge_key, row.artist_key, self.names[found]
+        if pair not in self.answers:
+            self.with_song.setdefault(pair[0], []).append(pair)
+            self.with_artist.setdefault(pair[1], []).append(pair)
+        now = {pair: found}
+        if self.changed:
+            others = [*self.with_song.get(self.song[found], []), *(self.with_artist.get(self.artist[found], []) if self.artist[found] else [])]
+            now |= {other: self._find(*other) for other in others if other != pair}
+        out = [(row.channel_id, *p, row.seq, self.names[g]) for p, g in now.items() if self.answers.get(p) != g]
+        self.answers |= now
+        return out
+
+
+PAIR = ["channel_id", "merge_key", "artist_key"]
+
+
+def sent_rows(rows: DataFrame) -> DataFrame:
+    """(*PAIR, seq): the rows that the greedy step needs, the first of each pair and its first one after that of the song key without artist."""
+    firsts = rows.groupBy(*PAIR).agg(F.min("seq").alias("seq"))
+    blank = firsts.where("artist_key = ''").select("channel_id", "merge_key", F.col("seq").alias("_blank"))
+    after = rows.where("artist_key <> ''").select(*PAIR, "seq").join(blank, PAIR[:2]).where("seq > _blank")
+    return firsts.union(after.groupBy(*PAIR).agg(F.min("seq").alias("seq"))).distinct()
+
+
+def placed_pairs(sent: DataFrame) -> DataFrame:
+    """(*PAIR, from_seq, to_seq, group_seq): the group that a pair's rows join from from_seq up to before to_seq (null: to the end)."""
+    firsts = keep(_with_component(sent.select(*PAIR).distinct(), ["channel_id"]), "components")
+    schema = "channel_id string, merge_key string, artist_key string, from_seq long, group_seq long"
+    walked = sent.join(firsts, PAIR)
+    found = _in_components(walked, "seq").mapInPandas(_streamed(_Channel, _Channel.placed, [*PAIR, "from_seq", "group_seq"]), schema)
+    return found.withColumn("to_seq", F.lead("from_seq").over(Window.partitionBy(*PAIR).orderBy("from_seq")))
 
 
 def grouped_rows(c: Catalogue, channel: str | None = None, artist: str | None = None) -> DataFrame:
     """Entries with their identity and group (channel_id, group_seq); seq is a row's place in ROW_ORDER, group_seq that of its group's first row.
 
-    Only in components of several song keys can a later row of a (song key, artist key) join
-    another group than the first one did; of the others just the first goes through the greedy step.
     The rows are written once, because seq comes from a sort.
     """
     rows = search.joined(c)
@@ -151,17 +189,9 @@ def grouped_rows(c: Catalogue, channel: str | None = None, artist: str | None =
     if artist and artist.strip():
         rows = rows.where(~F.col("ambiguous") & identity.artist_matches(F.col("artist_keys"), text.compact_key(F.lit(artist.strip()))))
     rows = keep(rows.orderBy(*[F.expr(o) if " desc" not in o else F.desc_nulls_last(o.split()[0]) for o in ROW_ORDER.split(", ")]).withColumn("seq", F.monotonically_increasing_id()), "grouped")
-    pair = ["channel_id", "merge_key", "artist_key"]
-    firsts = rows.groupBy(*pair).agg(F.min("seq").alias("seq"))
-    firsts = keep(_with_component(firsts, ["channel_id"]), "components")
-    wide = rows.select("channel_id", "seq", "merge_key", "artist_key").join(firsts.where("linked").select(*pair, "component"), pair)
-    walked = firsts.where("not linked").select("channel_id", "seq", "merge_key", "artist_key", "component").unionByName(wide)
-    schema = "channel_id string, seq long, merge_key string, artist_key string, group_seq long"
-    placed = keep(_in_components(walked, "seq").mapInPandas(_streamed(_Channel, _Channel.placed, ["channel_id", "seq", *pair[1:], "group_seq"]), schema), "placed")
-    alone = placed.join(firsts.where("not linked").select(*pair), pair, "left_semi").select(*pair, F.col("group_seq").alias("_alone"))
-    linked = placed.join(firsts.where("linked").select(*pair), pair, "left_semi").select("channel_id", "seq", F.col("group_seq").alias("_linked"))
-    both = rows.join(alone, pair, "left").join(linked, ["channel_id", "seq"], "left")
-    return both.withColumn("group_seq", F.coalesce("_alone", "_linked")).drop("_alone", "_linked")
+    placed = keep(placed_pairs(keep(sent_rows(rows), "sent")), "placed")
+    found = rows.join(placed, PAIR).where((F.col("seq") >= F.col("from_seq")) & (F.col("to_seq").isNull() | (F.col("seq") < F.col("to_seq"))))
+    return found.drop("from_seq", "to_seq")
 
 
 GROUP = ["channel_id", "group_seq"]
@@ -205,7 +235,7 @@ class _Combined:
     def __init__(self):
         self.by_song, self.by_artist, self.artist, self.song, self.shown, self.names = {}, {}, [], [], [], []
 
-    def placed(self, row) -> tuple:
+    def placed(self, row) -> list[tuple]:
         key, artist = row.merge_key, row.artist_key
         target = next((t for t in self.by_song.get(key, []) if compatible(self.artist[t], artist)), None)
         if artist:
@@ -223,7 +253,7 @@ class _Combined:
             self.by_artist.get(self.artist[target], []).remove(target)
             self.shown[target], self.artist[target] = row.display_artist, artist
             self.by_artist.setdefault(artist, []).append(target)
-        return row.channel_id, row.group_seq, self.names[target]
+        return [(row.channel_id, row.group_seq, self.names[target])]
 
 
 def combine(made: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import glob
 import os
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -109,6 +110,11 @@ def one_artist(a, b):
     return True
 
 
+def most(counted, then):
+    """The most frequent text, of equally frequent ones the one that is last by then; empty without any."""
+    return max(counted, key=lambda t: (counted[t], then(t)), default="")
+
+
 def walked(rows, across):
     """Groups (lists of rows) of the greedy walk, by looking at all groups for every row."""
     groups = []
@@ -129,6 +135,8 @@ def walked(rows, across):
         found["rows"].append(r)
     newest = lambda rs: sorted(rs, key=lambda r: (r.published_at or "", r.seconds or 0), reverse=True)
     for g in groups:
+        g["title"] = most(Counter(r.merged for r in g["rows"]), lambda t: (-len(t), t.casefold()))
+        g["shown"] = most(Counter(r.artists[0] for r in g["rows"] if r.artists), lambda t: (-len(t), [-ord(c) for c in t.casefold()]))
         g["rows"] = newest(g["rows"])
     if not across:
         return groups
@@ -139,7 +147,9 @@ def walked(rows, across):
             joined.append(dict(g))
             continue
         target["rows"] = newest(target["rows"] + g["rows"])
-        target["artist"] = target["artist"] or g["artist"]
+        target["title"] = min(target["title"], g["title"], key=len)
+        if not target["shown"] and g["shown"]:
+            target["shown"], target["artist"] = g["shown"], g["artist"]
     return joined
 
 
@@ -165,7 +175,7 @@ def tangled(spark):
 def test_grouped_search_equals_a_plain_walk(spark, tangled, asked):
     rows = search.joined(tangled)
     rows = rows.where(search.channel_filter(asked["channel"])) if "channel" in asked else rows
-    rows = identity.identify(rows)
+    rows = identity.identify(rows).withColumn("merged", identity.merge_title(F.col("song_title")))
     if "artist" in asked:
         rows = rows.where(~F.col("ambiguous") & identity.artist_matches(F.col("artist_keys"), text.compact_key(F.lit(asked["artist"]))))
     rows = rows.orderBy(*[F.expr(o) if " desc" not in o else F.desc_nulls_last(o.split()[0]) for o in group.ROW_ORDER.split(", ")]).collect()
@@ -181,9 +191,9 @@ def test_grouped_search_equals_a_plain_walk(spark, tangled, asked):
         want = [g for g in want if [r.entry_id for r in g["rows"]] in entries.values()]
         assert len(want) == len(entries) and asked["song"].replace(" ", "") in {p.song_key for p in page}
     assert sorted(entries.values()) == sorted([r.entry_id for r in g["rows"]] for g in want)
-    keys = {tuple(r.entry_id for r in g["rows"]): g["song"] for g in want}
+    keys = {tuple(r.entry_id for r in g["rows"]): (g["song"], g["title"], g["shown"]) for g in want}
     for p in page:
-        assert keys[tuple(entries[p.rank])] == p.song_key
+        assert keys[tuple(entries[p.rank])] == (p.song_key, p.song_title, p.artist)
         by_channel = {}
         for r in got[p.rank]:
             by_channel.setdefault(r.channel_id, []).append(r)
@@ -193,10 +203,53 @@ def test_grouped_search_equals_a_plain_walk(spark, tangled, asked):
         assert all([r.in_channel for r in rs] == list(range(1, len(rs) + 1)) for rs in by_channel.values())
         assert p.channel_count == (1 if "channel" in asked else len(by_channel))
     fold = lambda p: (p.channel_title.casefold(), p.song_title.casefold(), p.artist.casefold())
-    if not asked or "channel" in asked and "song" not in asked:
+    if "song" in asked:
+        query, query_key = text.normalize_title(F.lit(asked["song"])), text.compact_key(F.lit(asked["song"]))
+        by_rank = spark.createDataFrame([(p.rank, p.title_keys.split(","), p.song_key) for p in page], "rank long, keys array<string>, song_key string")
+        relevance = {r.rank: r.relevance for r in by_rank.select("rank", identity.group_relevance(F.col("keys"), F.col("song_key"), query, query_key).alias("relevance")).collect()}
+        placed = [(relevance[p.rank], *fold(p)) for p in page]
+        assert placed == sorted(placed) and (asked["song"] != "orange road" or len(set(relevance.values())) > 1)
+    elif "artist" in asked:
+        placed = [(*fold(p)[1:], fold(p)[0], -p.n_entries) for p in page]
+        assert placed == sorted(placed) and len(placed) > 3
+    else:
         assert [(-p.n_entries, *fold(p)) for p in page] == sorted((-p.n_entries, *fold(p)) for p in page)
 
 
+def test_pairs_are_placed_as_all_rows_are(spark):
+    """At most two rows of a pair go through the greedy step, and every row gets the group that a walk over all rows gives it."""
+    rng = np.random.default_rng(21)
+    songs = ["longsonga", "longsongb", "longsongc", "longtonga", "longtongz", "shorty", "shorts", "x"]
+    artists = ["", "aimer", "aimers", "ado", "ado|aimer", "yoasobi", "lisa", "lisaa"]
+    rows, want, most = [], {}, 0
+    for channel in range(60):
+        state, n = group.Groups(), 0
+        weights = rng.dirichlet(np.full(len(songs) * len(artists), 0.15))
+        names = []
+        for seq in range(int(rng.integers(1, 120))):
+            key, artist = divmod(int(rng.choice(len(weights), p=weights)), len(artists))
+            found = state.place(songs[key], artists[artist])
+            if found == len(names):
+                names.append(seq)
+            rows.append((f"c{channel}", songs[key], artists[artist], seq * 10 + 3))
+            want[f"c{channel}", seq * 10 + 3] = names[found] * 10 + 3
+            n += 1
+    given = spark.createDataFrame(rows, "channel_id string, merge_key string, artist_key string, seq long")
+    sent = group.sent_rows(given)
+    assert sent.groupBy(*group.PAIR).count().where("count > 2").count() == 0 and sent.count() < given.count() / 2
+    placed = group.placed_pairs(sent)
+    found = given.join(placed, group.PAIR).where("seq >= from_seq and (to_seq is null or seq < to_seq)").collect()
+    assert len(found) == len(rows) and {(r.channel_id, r.seq): r.group_seq for r in found} == want
+    assert placed.groupBy(*group.PAIR).count().where("count > 1").count() > 5  # pairs that change groups
+
+
+def test_rows_sent_do_not_grow_with_rows(spark):
+    pairs = [("c", f"longsong{k % 4}", a) for k in range(8) for a in ("", "aimer", "ado")]
+    some = spark.createDataFrame([(*p, i) for i, p in enumerate(pairs * 3)], "channel_id string, merge_key string, artist_key string, seq long")
+    many = spark.createDataFrame([(*p, i) for i, p in enumerate(pairs * 60)], some.schema)
+    assert group.sent_rows(some).count() == group.sent_rows(many).count() <= 2 * len(set(pairs))
+
+
 def test_cross_channel_filters_come_first(spark, tangled):
     """A song query filters groups before they are joined across channels."""
     page = group.search_grouped(tangled, song="blue", limit=100).collect()
