@@ -6,14 +6,14 @@ comment or one video, so nothing wider than a comment meets in a task.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuesheet.functions import text
 from cuesheet.functions.text import CLOCK, SPACE, rx
 from cuesheet.operators.store import insert_ignore
+from cuesheet.scratch import drop, keep
 
 COMMENT = ["video_id", "comment_pos"]
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -94,7 +94,7 @@ def best_comments(found: DataFrame) -> DataFrame:
 
 
 def best_entries(comments: DataFrame) -> DataFrame:
-    """The entries of best_comments(candidates(comments)), one row each, in one pass over the lines; entry_id is the line's number in its comment."""
+    """The entries of best_comments(candidates(comments)), one row each, in one pass over the lines; entry_id is the line's number in its comment, and heads says that it is the first of its video's."""
     rows = located(comments)
     rank = F.struct("n_entries", "span", (-F.col("line_no")).alias("minus_line"), "artist_lines", "run", "has_marker")
     head = F.when(F.col("starts") & (F.col("n_entries") >= 2), rank)
@@ -103,7 +103,7 @@ def best_entries(comments: DataFrame) -> DataFrame:
     rows = rows.where((F.col("own_run") == F.col("run")) & (F.col("line_no") >= -F.col("minus_line"))).withColumn("score", scored())
     order = F.struct("has_marker", "score", "n_entries", (-F.col("comment_pos")).alias("minus_pos"))
     kept = rows.withColumn("order", order).withColumn("best", F.max("order").over(Window.partitionBy("video_id"))).where("order = best")
-    return kept.select("video_id", "comment_pos", F.col("line_no").cast("bigint").alias("entry_id"), "timestamp_text", "seconds", "raw_song_title", "normalized_song_title")
+    return kept.select("video_id", "comment_pos", F.col("line_no").cast("bigint").alias("entry_id"), "timestamp_text", "seconds", "raw_song_title", "normalized_song_title", (F.col("line_no") == -F.col("minus_line")).alias("heads"))
 
 
 def index(comments: DataFrame, videos: DataFrame, max_comments: int | None = 100, all_videos: bool = False) -> DataFrame:
@@ -112,30 +112,64 @@ def index(comments: DataFrame, videos: DataFrame, max_comments: int | None = 100
     Only the first max_comments comments of a video are looked at; without all_videos only
     videos whose title looks like a song stream.
     """
-    found = best_entries(_looked_at(comments, videos, max_comments, all_videos))
+    found = best_entries(_looked_at(comments, _wanted(videos, all_videos), max_comments))
+    return _stored(found).drop("heads")
+
+
+def _stored(found: DataFrame) -> DataFrame:
     return insert_ignore(found).withColumn("jump_url", text.jump_url(F.col("video_id"), F.col("seconds")))
 
 
-def _looked_at(comments: DataFrame, videos: DataFrame, max_comments: int | None, all_videos: bool) -> DataFrame:
-    wanted = videos if all_videos else videos.where(text.is_stream_title(F.col("title")))
+def _wanted(videos: DataFrame, all_videos: bool) -> DataFrame:
+    return videos if all_videos else videos.where(text.is_stream_title(F.col("title")))
+
+
+def _looked_at(comments: DataFrame, wanted: DataFrame, max_comments: int | None) -> DataFrame:
     rows = comments.join(wanted.select("video_id"), "video_id", "left_semi")
     return rows if max_comments is None else capped(rows, ["video_id"], "comment_pos", max_comments)
 
 
-def index_stats(comments: DataFrame, videos: DataFrame, max_comments: int | None = 100, all_videos: bool = False) -> DataFrame:
-    """One row of counters of an index() run: videos_seen, _indexed and _skipped, comments_seen, timeline_comments (videos with a timeline), entries_inserted."""
-    streamed = F.lit(True) if all_videos else text.is_stream_title(F.col("title"))
-    parts = [
-        videos.agg(F.count(F.lit(1)).alias("videos_seen"), F.count_if(streamed).alias("videos_indexed"), F.count_if(~streamed).alias("videos_skipped")),
-        _looked_at(comments, videos, max_comments, all_videos).agg(F.count(F.lit(1)).alias("comments_seen")),
-        index(comments, videos, max_comments, all_videos).agg(F.count_distinct("video_id").alias("timeline_comments"), F.count(F.lit(1)).alias("entries_inserted")),
-    ]
-    return merged_stats(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
+COUNTERS = ("videos_seen", "videos_indexed", "videos_skipped", "comments_seen", "timeline_comments", "entries_inserted")
+
 
+def index_run(comments: DataFrame, videos: DataFrame, max_comments: int | None = 100, all_videos: bool = False, disabled: DataFrame | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """(entries, counters) of a run: index(), written once, and what was counted while it was written.
 
-def merged_stats(rows: DataFrame) -> DataFrame:
-    """The sums of rows of counters, such as those of several channels' runs."""
-    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns])
+    The counters are observed in the indexing plan itself, so comments are read and parsed once. A video whose comments are
+    disabled (video_id) is indexed and skipped, both. timeline_comments: videos with a timeline.
+    """
+    spark = videos.sparkSession
+    seen, looked, written = Observation(), Observation(), Observation()
+    one = F.count(F.lit(1))
+    streamed = F.lit(True) if all_videos else F.coalesce(text.is_stream_title(F.col("title")), F.lit(False))
+    off = spark.createDataFrame([], "video_id string") if disabled is None else disabled.select("video_id").distinct()
+    marked = videos.join(off.withColumn("_off", F.lit(True)), "video_id", "left").withColumn("_streamed", streamed)
+    marked = marked.observe(seen, one.alias("videos_seen"), F.count_if("_streamed").alias("videos_indexed"), F.count_if(~F.col("_streamed") | F.col("_off")).alias("videos_skipped"))
+    wanted = keep(marked.where(F.col("_streamed") & F.col("_off").isNull()).select("video_id"), "wanted")
+    rows = _looked_at(comments, wanted, max_comments).observe(looked, one.alias("comments_seen"))
+    found = _stored(best_entries(rows)).observe(written, one.alias("entries_inserted"), F.count_if("heads").alias("timeline_comments"))
+    entries = keep(found.drop("heads"), "entries")
+    counted = _observed(seen) | _observed(looked) | _observed(written)
+    drop(wanted)
+    return entries, {k: counted.get(k) or 0 for k in COUNTERS}
+
+
+def _observed(counted: Observation) -> dict[str, int]:
+    """What was counted; nothing if the plan was found empty before it ran."""
+    try:
+        return counted.get
+    except Py4JJavaError:
+        return {}
+
+
+def stats_row(spark: SparkSession, counters: dict[str, int]) -> DataFrame:
+    """Counters as a row."""
+    return spark.createDataFrame([tuple(counters[k] for k in COUNTERS)], ", ".join(f"{k} long" for k in COUNTERS))
+
+
+def merged_stats(total: dict[str, int], child: dict[str, int]) -> dict[str, int]:
+    """total with a child's counters added, all but videos_seen: the caller has counted the videos that it saw."""
+    return {k: total[k] + (child[k] if k != "videos_seen" else 0) for k in COUNTERS}
 
 
 def capped(rows: DataFrame, parent: list[str], order: str, n: int) -> DataFrame:

@@ -193,11 +193,11 @@ def s1_key_union(spark, sf_dir):
 
 
 def s2_key_overlap(spark, sf_dir):
-    rows = identified(spark, sf_dir).where(F.size("artist_keys") > 0)
-    keys = rows.select("merge_key", "artist_keys").distinct()
-    other = keys.select("merge_key", F.col("artist_keys").alias("others"))
-    both = keys.join(other, "merge_key").where(F.arrays_overlap("artist_keys", "others"))
-    return both.select("merge_key", F.array_join("artist_keys", "|").alias("left_keys"), F.array_join("others", "|").alias("right_keys"))
+    """Pairs of a merge key's artist sets that share an artist: different sets only, met by their artists."""
+    sets = identified(spark, sf_dir).where(F.size("artist_keys") > 0).select("merge_key", "artist_keys").distinct()
+    by_artist = sets.select("merge_key", F.array_join("artist_keys", "|").alias("left_keys"), F.explode("artist_keys").alias("artist"))
+    both = by_artist.join(by_artist.withColumnRenamed("left_keys", "right_keys"), ["merge_key", "artist"])
+    return both.select("merge_key", "left_keys", "right_keys").distinct()
 
 
 def with_odd_entries(c: sample.Catalogue) -> sample.Catalogue:
@@ -248,6 +248,24 @@ def src4_channel_page(spark, sf_dir):
     return pages.select("page_id", text.channel_id_of_page(F.col("html")).alias("channel_id"), text.channel_input(F.col("url")).alias("channel_input"))
 
 
+def a14_merged_stats(spark, sf_dir):
+    """Runs over the videos of even and of odd numbers, merged into the counters of a caller that saw all videos; every 13th has its comments disabled."""
+    videos, n = sample.videos(spark, sf_dir), F.substring("video_id", 2, 20).cast("bigint")
+    total = dict.fromkeys(timeline.COUNTERS, 0) | {"videos_seen": videos.count()}
+    for k in (0, 1):
+        _, counters = timeline.index_run(sample.comments(spark, sf_dir), videos.where(n % 2 == k), disabled=videos.where(n % 13 == 0))
+        total = timeline.merged_stats(total, counters)
+    return timeline.stats_row(spark, total)
+
+
+def t1_seconds(spark, sf_dir):
+    """Clock texts of the sample's entries, of its videos (h:mm:ss made of their numbers), and odd ones."""
+    n = F.substring("video_id", 2, 20).cast("bigint")
+    long = F.concat_ws(":", (n % 30).cast("string"), F.lpad((n % 60).cast("string"), 2, "0"), F.lpad((n % 77).cast("string"), 2, "0"))
+    clocks = rows_of(spark, CLOCKS, "clock string").union(sample.raw_entries(spark, sf_dir).select("timestamp_text")).union(sample.videos(spark, sf_dir).select(long)).distinct()
+    return clocks.select("clock", text.seconds(F.col("clock")).alias("seconds"))
+
+
 def snk8_rebuild(spark, sf_dir):
     c = sample.catalogue(spark, sf_dir)
     songs, entries = store.rebuilt(c.entries.where(F.col("seconds") >= 600), c.videos)
@@ -291,7 +309,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "f8_cap": f8_cap,
     "f10_low_conf": lambda s, d: titles(s, d).select("title", text.is_doubtful(F.col("title"), text.normalize_title(F.col("title"))).alias("doubtful")),
     "o8_page": with_catalogue(lambda c: search.limited(c.songs.groupBy("normalized_song_title").agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), F.col("normalized_song_title")], 20, 20)),
-    "t1_seconds": lambda s, d: rows_of(s, CLOCKS, "clock string").select("clock", text.seconds(F.col("clock")).alias("seconds")),
+    "t1_seconds": t1_seconds,
     "t2_clean": over_titles("cleaned", text.clean_title),
     "t3_normalize": over_titles("normal", text.normalize_title),
     "t4_probable": t4_probable,
@@ -322,7 +340,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "q10_cross_channel": q10_cross_channel,
     "q2_channel_entries": with_catalogue(lambda c: group.search_grouped_entries(c, channel="NATION_1")),
     "q2_song_entries": with_catalogue(lambda c: group.search_grouped_entries(c, song="red")),
-    "a14_index_stats": lambda s, d: timeline.index_stats(sample.comments(s, d), sample.videos(s, d), max_comments=1),
+    "a14_index_stats": lambda s, d: timeline.stats_row(s, timeline.index_run(sample.comments(s, d), sample.videos(s, d), max_comments=1)[1]),
+    "a14_merged_stats": a14_merged_stats,
     "src1_videos": lambda s, d: landing.videos(landing.sample_video_payloads(s, d)),
     "src2_comments": lambda s, d: landing.comments(landing.sample_comment_payloads(s, d)),
     "src4_channels": lambda s, d: landing.channels(landing.sample_channel_payloads(s, d)),

@@ -353,7 +353,8 @@ from fx_channels left join (select channel_id, count(*) as n from fx_videos grou
         "f10_low_conf": over(f"select title, {doubtful('title', 'n')} as doubtful from {layered('titles', ('n', normal('title')))}", raw_titles, all_titles),
         "o8_page": over("""select *, cast(row_number() over (order by n desc, normalized_song_title) + 20 as bigint) as rank
 from (select normalized_song_title, count(*) as n from fx_songs group by 1 order by n desc, 1 limit 20 offset 20)"""),
-        "t1_seconds": f"select clock, {seconds('clock')} as seconds from {values(clocks, 'clock')}",
+        "t1_seconds": over(f"""select clock, {seconds('clock')} as seconds from (select clock from {values(clocks, 'clock')} union select timestamp_text from fx_raw
+  union select concat(n % 30, ':', lpad(cast(n % 60 as varchar), 2, '0'), ':', lpad(cast(n % 77 as varchar), 2, '0')) from (select cast(substr(video_id, 2) as bigint) as n from fx_videos))"""),
         "t2_clean": over(f"select title, cleaned from {layered('titles', cleaned('title', 'cleaned'))}", raw_titles, all_titles),
         "t3_normalize": over_titles(f"{normal('title')} as normal"),
         "t4_probable": over(f"select title, {probable('r', 'n')} as probable, {non_song('r', 'n')} as non_song from {layered('titles', cleaned('title', 'r'), ('n', normal('r')))}", raw_titles, all_titles),
@@ -389,6 +390,10 @@ from (select array_to_string(string_split(canonical_song_title, ' ')[1:2], ' ')
         "a14_index_stats": lined(f"""select (select count(*) from fx_videos) as videos_seen, (select count(*) from fx_videos where {any_of(fold('title'), words.STREAM_PARTS)}) as videos_indexed,
   (select count(*) from fx_videos where not {any_of(fold('title'), words.STREAM_PARTS)}) as videos_skipped, (select count(*) from tl_comments) as comments_seen, (select count(distinct video_id) from tl_kept) as timeline_comments,
   (select count(*) from tl_kept) as entries_inserted""", f"(select * exclude (n) from (select c.*, row_number() over (partition by video_id order by comment_pos) as n from fx_comments c join fx_videos v using (video_id) where {any_of(fold('v.title'), words.STREAM_PARTS)}) where n = 1)"),
+        "a14_merged_stats": lined(f"""select (select count(*) from fx_videos) as videos_seen, (select count(*) from a14_videos where streamed) as videos_indexed,
+  (select count(*) from a14_videos where not streamed) + (select count(*) from a14_videos where n % 13 = 0 and streamed) as videos_skipped, (select count(*) from tl_comments) as comments_seen,
+  (select count(distinct video_id) from tl_kept) as timeline_comments, (select count(*) from tl_kept) as entries_inserted
+  from (select 1)""", f"""(select * exclude (n, streamed) from (select c.*, n, streamed from fx_comments c join (select video_id, cast(substr(video_id, 2) as bigint) as n, {any_of(fold('title'), words.STREAM_PARTS)} as streamed from fx_videos) using (video_id)) where n % 13 <> 0 and streamed)""").replace("tl_comments as (", f"a14_videos as (select video_id, cast(substr(video_id, 2) as bigint) as n, {any_of(fold('title'), words.STREAM_PARTS)} as streamed from fx_videos),\ntl_comments as (", 1),
         "src1_videos": over("""select video_id, case when o % 5 > 0 then title else '' end as title, channel_id, case when o % 7 > 0 then channel_title else '' end as channel_title, published_at
   from (select v.*, cast(substr(video_id, 2) as bigint) as o, channel_title from fx_videos v join fx_channels using (channel_id))"""),
         "src2_comments": over("""select video_id, cast(2000 + row_number() over (partition by video_id order by comment_pos) - 1 as bigint) as comment_pos, video_id || '-' || cast(comment_pos as varchar) as comment_id,

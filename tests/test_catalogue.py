@@ -282,11 +282,22 @@ def test_tables_are_created_once(spark):
     spark.sql("drop database made cascade")
 
 
-def test_index_counters_add_up(spark):
+def test_index_counters(spark):
+    """All that a run counts, against the reference's rules: a disabled video is indexed and skipped, and merging leaves videos_seen alone."""
     comments, videos = sample.comments(spark, SF), sample.videos(spark, SF)
-    one = timeline.index_stats(comments, videos, all_videos=True)
-    both = timeline.merged_stats(one.union(one)).first().asDict()
-    assert both == {k: 2 * v for k, v in one.first().asDict().items()} and both["videos_skipped"] == 0
+    off = videos.where(F.col("video_id").endswith("6"))
+    entries, one = timeline.index_run(comments, videos, all_videos=True, disabled=off)
+    want = timeline.index(comments.join(off, "video_id", "left_anti"), videos, all_videos=True)
+    assert sorted(map(str, entries.select(sorted(want.columns)).collect())) == sorted(map(str, want.select(sorted(want.columns)).collect()))
+    n = videos.count()
+    assert one["videos_seen"] == one["videos_indexed"] == n and one["videos_skipped"] == off.count() > 0
+    assert one["comments_seen"] == comments.join(off, "video_id", "left_anti").count()
+    assert one["entries_inserted"] == want.count() and one["timeline_comments"] == want.select("video_id").distinct().count() > 0
+    assert timeline.merged_stats(one, one) == {k: v if k == "videos_seen" else 2 * v for k, v in one.items()}
+    none, zero = timeline.index_run(comments, videos.limit(0))
+    assert none.count() == 0 and set(zero.values()) == {0}
+    silent, counted = timeline.index_run(comments.limit(0), videos, all_videos=True)
+    assert silent.count() == 0 and counted == dict.fromkeys(timeline.COUNTERS, 0) | {"videos_seen": n, "videos_indexed": n}
 
 
 def test_pruning_settles_clashes(spark):
