@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cuesheet import scratch
 from cuesheet.functions import text, words
-from cuesheet.operators import store
+from cuesheet.operators import migrate, store
 from cuesheet.plans.oracles import matches, over, q, strip
 from cuesheet.sources import landing, paged, sample
 from cuesheet.streaming import ingest
@@ -61,6 +61,21 @@ def snk5_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select(*columns)
 
 
+def snk10_migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample's catalogue, stored before songs were: entries without song_id, some files with one, and a part of the songs; then migrated."""
+    c = sample.catalogue(spark, sf_dir)
+    path = scratch.new_path(spark, "old")
+    known = c.songs.join(c.entries.where("entry_id % 3 = 0").select("song_id"), "song_id", "left_semi")
+    c.entries.where("entry_id % 3 > 0").drop("song_id").write.parquet(f"{path}/song_entries")
+    c.entries.where("entry_id % 3 = 0").write.mode("append").parquet(f"{path}/song_entries")
+    for name, rows in (("channels", c.channels), ("videos", c.videos), ("songs", known)):
+        rows.write.parquet(f"{path}/{name}")
+    migrate.migrate(spark, path)
+    now = migrate.tables(spark, path)
+    counted = now.entries.groupBy("song_id").agg(F.count(F.lit(1)).alias("entry_count"))
+    return now.songs.join(counted, "song_id").select("song_id", "channel_id", "normalized_song_title", "canonical_song_title", "entry_count")
+
+
 def again(c: sample.Catalogue) -> DataFrame:
     """New entries for every video whose id ends with 7: its odd ones, half a minute later."""
     rows = c.entries.where(F.col("video_id").endswith("7") & (F.col("entry_id") % 2 == 1))
@@ -68,7 +83,7 @@ def again(c: sample.Catalogue) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (src2_paged_comments, src2_paged_first_comments, src2_paged_outcomes, src3_paged_uploads, src4_resolved, q9_stream_index, snk5_in_place)
+    f.__name__: f for f in (src2_paged_comments, src2_paged_first_comments, src2_paged_outcomes, src3_paged_uploads, src4_resolved, q9_stream_index, snk5_in_place, snk10_migrated)
 }
 
 _NUMBER = "cast(substr(video_id, 2) as bigint)"

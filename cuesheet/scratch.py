@@ -29,7 +29,8 @@ def root(spark: SparkSession) -> str:
     return (named or LOCAL_DEFAULT).rstrip("/")
 
 
-def _place(spark: SparkSession, path: str):
+def files_of(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
@@ -38,7 +39,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     """A new folder's path in the application's folder, which goes when the JVM ends."""
     own = f"{root(spark)}/cuesheet/{spark.sparkContext.applicationId}"
     if own not in _marked:
-        files, place = _place(spark, own)
+        files, place = files_of(spark, own)
         files.mkdirs(place)
         files.deleteOnExit(place)
         _marked.add(own)
@@ -90,13 +91,13 @@ def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    files, place = _place(spark, path)
+    files, place = files_of(spark, path)
     return files.exists(place)
 
 
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder made by new_path()."""
-    files, place = _place(spark, path)
+    files, place = files_of(spark, path)
     if "/cuesheet/" in place.toString():
         files.delete(place, True)
 
