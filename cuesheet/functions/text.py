@@ -1,8 +1,7 @@
 """Column expressions for titles: cleaning, normal forms, keys, and what counts as a song title.
 
 Patterns use Unicode classes. {s} stands for white space and {d} for a decimal digit in
-the patterns of `words`. Case folding is lower case with the sharp s spelled out and one
-sigma; about 300 further code points fold differently in full case folding.
+the patterns of `words`. Case folding is full case folding, of all code points that Python knows.
 """
 
 from __future__ import annotations
@@ -54,8 +53,22 @@ def squeeze(value: Column) -> Column:
     return F.regexp_replace(value, rx(f"{SPACE}+"), " ")
 
 
+#: Code points that case folding changes, by rule: to another one, or to several.
+FOLDS = {chr(c): chr(c).casefold() for c in range(0x110000) if chr(c).casefold() != chr(c)}
+TO_ONE = {a: b for a, b in FOLDS.items() if len(b) == 1}
+TO_MORE = {a: b for a, b in FOLDS.items() if len(b) > 1}
+
+
 def fold(value: Column) -> Column:
-    return F.replace(F.replace(F.lower(value), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """value with its case folded in full. ASCII texts, which are most, take the short way."""
+
+    def spelled_out(folded: Column) -> Column:
+        more = F.str_to_map(F.lit(",".join(f"{a}:{b}" for a, b in TO_MORE.items())), F.lit(","), F.lit(":"))
+        signs = F.transform(F.regexp_extract_all(folded, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.element_at(more, c), c))
+        return F.when(folded.rlike(f"[{''.join(TO_MORE)}]"), F.array_join(signs, "")).otherwise(folded)
+
+    full = let(F.translate(value, "".join(TO_ONE), "".join(TO_ONE.values())), spelled_out)
+    return F.when(value.rlike(r"[^\x00-\x7f]"), full).otherwise(F.lower(value))
 
 
 def without_number(value: Column) -> Column:

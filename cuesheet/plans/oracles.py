@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from cuesheet.functions import words
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 W = r"[\s\x{0B}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 D = r"\p{Nd}"
 CLOCK = rf"(?:{D}{{1,2}}:)?{D}{{1,2}}:{D}{{2}}"
@@ -37,8 +40,16 @@ def squeeze(x: str) -> str:
     return sub(x, f"{W}+", " ", True)
 
 
+@functools.cache
 def fold(x: str) -> str:
-    return f"replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ')"
+    """Full case folding: every code point that becomes several is replaced on its own, all others are translated."""
+    changed = [(chr(c), chr(c).casefold()) for c in range(0x80, 0x110000) if chr(c).casefold() != chr(c)]
+    for sign, several in changed:
+        if len(several) > 1:
+            x = f"replace({x}, '{sign}', '{several}')"
+    single = [(a, b) for a, b in changed if len(b) == 1]
+    before, after = (UPPER + "".join(a for a, _ in single), LOWER + "".join(b for _, b in single))
+    return f"translate({x}, '{before}', '{after}')"
 
 
 def unnumbered(x: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions import identity, text
 from cuesheet.operators import clean, group, links, search, store, timeline
-from cuesheet.plans import catalogue
+from cuesheet.plans import catalogue, oracles
 from cuesheet.sources import sample
 
 SF = "/root/testdata/sf0.001"
@@ -62,6 +62,19 @@ def test_merge_titles(spark):
     assert row.artists[0] == "Orangestar" and row.artist_key == "orangestar|もかん"
 
 
+def test_folding_is_full_for_every_code_point(spark, duck):
+    """Spark's and SQL's folding equal Python's casefold, code point by code point and in words."""
+    signs = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(signs[k : k + 64]) for k in range(0, len(signs), 64)] + ["ﬁn ﬀ ﬃ STRAẞE", "ᏣᎳᎩ ꭰꮿ", "İstanbul ΣΊΣΥΦΟΣ", "plain ASCII Text", "", "ŉ ǰ ΐ և", "\U00010400\U00016e40"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, x string")
+    got = {r.i: r.folded for r in df.select("i", text.fold(F.col("x")).alias("folded")).collect()}
+    assert [i for i, t in enumerate(texts) if got[i] != t.casefold()] == []
+    frame = pd.DataFrame({"i": range(len(texts)), "x": texts})
+    found = dict(duck.sql(f"select i, {oracles.fold('x')} as folded from frame").fetchall())
+    assert [i for i, t in enumerate(texts) if found[i] != t.casefold()] == [] and len(frame) == len(texts)
+    assert df.select(text.fold(F.lit(None).cast("string")).alias("n")).first().n is None
+
+
 def test_song_filter(spark):
     hit = lambda q: lambda x: search.song_filter(x, F.lit(q))
     assert values(spark, hit("king"), "king", "king / x", "the kingdom", "kingdom", "viking") == [True, True, True, False, False]
