@@ -11,8 +11,11 @@ All links between items under a common key count, but only these pairs are forme
    it misses of it, which is little where items are much alike, and which tells whether
    the two are linked.
 3. Under each pivot that still has several components, the items outside the largest one
-   are compared with those of other components by these differences. They give the exact
-   similarity, so only true links come out of the join.
+   are compared with those of other components by these differences. Two items that are
+   linked, but not both to the pivot, differ from it in some common elements, in so many
+   at least as the sum of what each needs says. So of each item's differences, rarest first, only
+   a prefix is indexed, and two items meet if their prefixes have an element in common. The
+   differences give the exact similarity, so only true links come out.
 
 A pair that is never formed has both its items in one component already, so the
 components are those of all links.
@@ -22,17 +25,13 @@ from __future__ import annotations
 
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuesheet.operators.links import connected
 from cuesheet.scratch import drop, keep
 
 
-#: Rows of a group that meet one of its few rows in a task.
-ROWS_PER_SALT = 1000
-
-
 class Pairing(Protocol):
     """What link() asks of a similarity. Pairs (a, b) are distinct, with a < b."""
 
@@ -51,6 +50,11 @@ class Pairing(Protocol):
     def linked_to_pivot(self) -> Column:
         """Whether the id of a row of deltas() is linked to its pivot."""
 
+    def need(self) -> Column:
+        """A number for each row of deltas(): ids of two rows of one pivot are linked if and only if UNIT times the number of their common differences is the sum of their numbers or more."""
+
+    unit: int
+
     def linked(self, one: str, two: str) -> Column:
         """Whether the ids of two rows of deltas() with one pivot, in columns with these prefixes, are linked."""
 
@@ -91,14 +95,36 @@ def link(keyed: DataFrame, pairing: Pairing, known: DataFrame) -> DataFrame:
     more = keep(_ordered(deltas.where((F.col("id") != F.col("pivot")) & pairing.linked_to_pivot()), "id", "pivot"), "links")
     again = keep(connected(links.union(more)), "parts")
     placed = deltas.join(again, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component").withColumnRenamed("pivot", "key")
-    spread = _open(placed)
-    sizes = spread.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_SALT).alias("salts"))
-    spread = keep(spread.join(sizes, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts"))), "spread")
-    few = spread.where("part <> main").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)))
-    few = few.select([F.col(c).alias(f"x_{c}") for c in few.columns])
-    same = (F.col("x_key") == F.col("key")) & (F.col("x_salt") == F.col("salt")) & (F.col("x_part") != F.col("part"))
-    last = keep(_ordered(few.join(spread, same & pairing.linked("x_", "")), "x_id", "id"), "links")
+    spread = keep(_open(placed), "spread")
+    last = keep(_met(spread, pairing), "links")
     result = keep(connected(links.union(more).union(last).union(known)), "parts")
     for table in (ends, held, stars, links, parts, wide, able, rows, deltas, more, again, spread, last):
         drop(table)
     return result
+
+
+def _met(spread: DataFrame, pairing: Pairing) -> DataFrame:
+    """The links (a, b) among rows of deltas() (key, id, part, main, ...) of an item outside the key's main part with one of another part.
+
+    A pair that isn't linked through its pivot needs at least one common difference. With
+    the differences in one order, the first |D| - n + 1 of two items that have n in common
+    share one; n is bounded from below by the least number that a partner can have. Orders
+    by rarity make few items meet.
+    """
+    rows = spread.select("key", "id", "part", "main", pairing.need().alias("need"), F.concat("added", "missing").alias("changed")).where(F.size("changed") > 0)
+    least = rows.groupBy("key").agg(F.min("need").alias("least"), F.min(F.when(F.col("part") != F.col("main"), F.col("need"))).alias("least_outside")).where("least_outside is not null")
+    each = rows.join(least, "key").select("*", F.explode("changed").alias("element")).drop("changed")
+    counted = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "element")))
+    ordered = counted.groupBy("key", "id").agg(*[F.first(c).alias(c) for c in ("part", "main", "need", "least", "least_outside")], F.sort_array(F.collect_list(F.struct("n", "element"))).alias("changed"))
+
+    def prefix(partner: str, name: str) -> DataFrame:
+        common = F.greatest(F.ceil((F.col("need") + F.col(partner)) / pairing.unit), F.lit(1))
+        first = F.expr("slice(changed, 1, greatest(0, least(size(changed), cast(size(changed) - common + 1 as int))))")
+        return ordered.withColumn("common", common).select("key", F.col("id").alias(f"{name}_id"), F.col("part").alias(f"{name}_part"), "main", F.explode(F.transform(first, lambda x: x["element"])).alias("element"))
+
+    outside = prefix("least", "x").where("x_part <> main").drop("main")
+    others = prefix("least_outside", "y").drop("main")
+    pairs = outside.join(others, ["key", "element"]).where("x_part <> y_part").select("key", "x_id", "y_id").distinct()
+    side = lambda name: spread.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "size", "pivot_size", "added", "missing")])
+    both = pairs.join(side("x"), ["key", "x_id"]).join(side("y"), ["key", "y_id"])
+    return _ordered(both.where(pairing.linked("x_", "y_")), "x_id", "y_id")

@@ -145,6 +145,14 @@ class ShinglePairing:
     def linked_to_pivot(self) -> Column:
         return self._enough(F.col("size") - F.size("added"), F.col("size"), F.col("pivot_size"))
 
+    @property
+    def unit(self) -> int:
+        return 2 * (100 + self.percent)
+
+    def need(self) -> Column:
+        """Two sets share |pivot| - missing - missing + common differences; a link asks for percent of the sizes over 100 + percent."""
+        return 2 * self.percent * F.col("size") + self.unit * F.size("missing") - (100 + self.percent) * F.col("pivot_size")
+
     def linked(self, one: str, two: str) -> Column:
         """What two sets share is what both add to the pivot, and the pivot without what either misses. Bounds from sizes come first."""
         col = lambda prefix, name: F.col(prefix + name)

@@ -61,6 +61,20 @@ def test_minhash_equals_brute_force(spark, k, percent):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i, _ in rows}
 
 
+@pytest.mark.parametrize("own", [3, 4, 5])
+def test_families_just_below_the_threshold(spark, own):
+    """Texts that differ from a common one in a few words each: some pairs are links, most are just none."""
+    rng, rows = np.random.default_rng(own), []
+    for k in range(260):
+        words = [f"w{i}" for i in range(200)]
+        for j, at in enumerate(rng.choice(200, own, replace=False)):
+            words[at] = f"o{k}x{j}"
+        rows.append((k, " ".join(words)))
+    want = components({i: shingle_set(t, 3) for i, t in rows}, 85)
+    got = {r.doc_id: r.component_id for r in minhash.near_components(documents(spark, rows), shingle=3, percent=85).collect()}
+    assert got == want
+
+
 def test_minhash_odd_rows(spark):
     rows = documents(spark, [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, None)])
     got = sorted(minhash.near_components(rows, shingle=3, percent=85).collect(), key=str)
