@@ -208,6 +208,8 @@ def song_counts(where: str) -> str:
 
 
 def build(titles: tuple, clocks: tuple, channels: tuple, comments: tuple, query_keys: tuple) -> dict[str, str]:
+    from cuesheet.plans import walks  # which is made of this module's pieces
+
     raw_titles = f"raw_titles as (select raw_song_title as title from fx_raw union select title from {values(titles, 'title')})"
     all_titles = "titles as (select title from raw_titles union select unnest(string_split(text, chr(10))) from documents)"
     over_titles = lambda columns: over(f"select title, {columns} from titles", raw_titles, all_titles)
@@ -414,5 +416,6 @@ from (select array_to_string(string_split(canonical_song_title, ' ')[1:2], ' ')
         "js1_json_extract": "select event_id, json_extract_string(props, '$.k') as k from events",
         "src3_uploads": """select 'c' || cast(c_custkey as varchar) as video_id, c_name as title, case when c_custkey % 3 = 1 then 'UC' || cast(c_nationkey as varchar) else c_mktsegment end as channel_id,
   'shared' as channel_title, case when c_custkey % 5 > 0 then '2024-02-02' else '2024-01-01' end as published_at from customer where c_custkey % 7 > 0""",
+        **walks.build(identified, artist_match, "red", "NATION_1", "promo"),
         "src4_channel_page": f"select page_id, coalesce({found}) as channel_id, {named.replace('channel', 'url').replace(q('url'), q('channel'))} as channel_input from pages",
     }
