@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuesheet import scratch
 from cuesheet.functions import text, words
-from cuesheet.operators import migrate, store
-from cuesheet.plans.oracles import matches, over, q, strip
+from cuesheet.operators import migrate, search, store, titles
+from cuesheet.plans.oracles import matches, over, q, strip, values
 from cuesheet.sources import landing, paged, sample
 from cuesheet.streaming import ingest
 
@@ -82,9 +82,57 @@ def again(c: sample.Catalogue) -> DataFrame:
     return rows.withColumn("seconds", F.col("seconds") + 30).withColumn("jump_url", text.jump_url(F.col("video_id"), F.col("seconds")))
 
 
+_made: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, bool]:
+    """(path, whether it has to be made) of something that an application makes once for a table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    there = key in _made and scratch.exists(spark, _made[key])
+    if not there:
+        _made[key] = scratch.new_path(spark, name)
+    return _made[key], not there
+
+
+def title_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, new = _once(spark, sf_dir, "postings")
+    if new:
+        titles.postings(sample.catalogue(spark, sf_dir).songs).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def bucketed(spark: SparkSession, sf_dir: str) -> sample.Catalogue:
+    path, new = _once(spark, sf_dir, "buckets")
+    c, name = sample.catalogue(spark, sf_dir), f"cuesheet_{path.rpartition('-')[2]}"
+    if new:
+        return titles.in_buckets(c, name, path, TITLE_BUCKETS)
+    return sample.Catalogue(c.channels, c.videos, spark.table(f"{name}_songs"), spark.table(f"{name}_entries"))
+
+
+TITLE_BUCKETS = 16
+TITLE_QUERIES = ("red", "widget / l", "old g", "no such title", "o")
+
+
+def _indexed(song: str, channel: str | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: titles.search_indexed(sample.catalogue(spark, sf_dir), title_index(spark, sf_dir), song, channel)
+
+
+def f2_titles_looked_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return titles.counted(title_index(spark, sf_dir), sample.catalogue(spark, sf_dir).songs, TITLE_QUERIES)
+
+
+def q4_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.list_songs(bucketed(spark, sf_dir), limit=None)
+
+
+def w1_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = bucketed(spark, sf_dir).entries
+    return entries.select("entry_id", "song_id", F.count("entry_id").over(Window.partitionBy("song_id")).alias("entry_count"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (src2_paged_comments, src2_paged_first_comments, src2_paged_outcomes, src3_paged_uploads, src4_resolved, q9_stream_index, snk5_in_place, snk10_migrated)
-}
+    f.__name__: f for f in (src2_paged_comments, src2_paged_first_comments, src2_paged_outcomes, src3_paged_uploads, src4_resolved, q9_stream_index, snk5_in_place, snk10_migrated, f2_titles_looked_at, q4_bucketed, w1_bucketed)
+} | {"q1_indexed_ascii": _indexed("red"), "q1_indexed_substring": _indexed("widget / l"), "q1_indexed_channel": _indexed("blue", "nation_2")}
 
 _NUMBER = "cast(substr(video_id, 2) as bigint)"
 _COMMENTS = f"""answered as (
@@ -104,6 +152,16 @@ ORACLES = {
   from (select distinct on (video_id, case when outcome = 'page' then page_no end) * from answered) group by all""", _COMMENTS),
     "src3_paged_uploads": over(f"""select playlist_id, video_id, title, channel_id, 'shared' as channel_title, published_at
   from (select *, 'UU' || substr(channel_id, 3) as playlist_id, row_number() over (partition by channel_id order by {_NUMBER}) as place from fx_videos where {_NUMBER} % 7 > 0) where place <= {MOST_UPLOADS}"""),
+    "f2_titles_looked_at": over(
+        "select query, (select count(*) from ti_titles) as titles, count(t) filter (looked) as looked_at, count(t) filter (looked and hit) as found from ti_each group by query",
+        "ti_titles as (select distinct normalized_song_title as t from fx_songs)",
+        f"ti_queries as (select query from {values(TITLE_QUERIES, 'query')})",
+        """ti_each as (
+  select query, t, len(list_filter(range(1, greatest(length(query) - 1, 1)), lambda k: not contains(t, substr(query, k, 3)))) = 0 as looked,
+    case when regexp_matches(query, '^[A-Za-z0-9 _-]+$') then t = query or len(list_filter([' ', '/', '-', ':'], lambda d: starts_with(t, query || d))) > 0 or len(list_filter([' ', '/', '-', '|'], lambda d: contains(t, d || query))) > 0
+      else contains(t, query) end as hit
+  from ti_queries cross join ti_titles)""",
+    ),
     "src4_resolved": over(
         """select channel, arg_min(c.channel_id, place) as channel_id, arg_min(c.channel_title, place) as channel_title, arg_min(c.uploads, place) as uploads_playlist_id, arg_min(c.kind || ' ' || c.key, place) as asked
   from (select t.channel, case when a.channel_id is not null then turn end as place, a.* from tried t left join answers a on a.kind = t.kind and a.key = t.key) c group by channel""",

@@ -353,4 +353,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 } | api.QUERIES
 
 ORACLES = oracles.build(TITLES, CLOCKS, CHANNELS, COMMENTS, QUERY_KEYS) | api.ORACLES
-ORACLES |= {"q9_stream_index": ORACLES["q9_index"], "snk10_migrated": ORACLES["snk7_backfill"], "snk5_in_place": f"select * exclude (song_id) from ({ORACLES['snk5_replace_video']})"}
+ORACLES |= {"q9_stream_index": ORACLES["q9_index"], "snk10_migrated": ORACLES["snk7_backfill"], "q4_bucketed": ORACLES["q4_list_songs"], "w1_bucketed": ORACLES["w1_song_count"], "snk5_in_place": f"select * exclude (song_id) from ({ORACLES['snk5_replace_video']})"}
+ORACLES |= {f"q1_indexed_{form}": ORACLES[f"q1_search_{form}"] for form in ("ascii", "substring", "channel")}
