@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 
 from cuesheet.functions import words
 
@@ -29,7 +30,7 @@ def matches(x: str, pattern: str) -> str:
 
 
 def any_of(x: str, parts: tuple[str, ...]) -> str:
-    return "(" + " or ".join(f"contains({x}, {q(p)})" for p in parts) + ")"
+    return matches(x, "|".join(map(re.escape, parts)))
 
 
 def strip(x: str) -> str:
