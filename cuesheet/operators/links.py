@@ -9,6 +9,7 @@ from cuesheet.scratch import drop, keep
 
 EDITS = 2
 SEGMENTS = EDITS + 1
+FEW_EDGES, FEW_FILES = 500_000, 6  # edges that are written as few files
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -16,10 +17,11 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps, each a few shuffles of the edges; the
     steps grow with the logarithm of the largest component, and each writes its edges,
-    so that lost executors cost one step. Self links, repeated rows and nulls are dropped.
+    so that lost executors cost one step; few edges are written as few files. Self links, repeated rows and nulls are dropped.
     """
+    compact = lambda df, rows: df.coalesce(FEW_FILES) if rows <= FEW_EDGES else df  # noqa: E731  edges don't grow in number
     now = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
+    mark, rows = None, now.count()
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -28,13 +30,13 @@ def connected(edges: DataFrame) -> DataFrame:
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a")
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small_least.select("a", F.col("m").alias("b")))
-        after = keep(small.distinct(), "edges")
+        after = keep(compact(small.distinct(), rows), "edges")
         seen = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop(now)
         now = after
         if seen == mark:
             break
-        mark = seen
+        mark, rows = seen, seen[0]
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", F.col("b").alias("component")).distinct())
 
 
