@@ -1,5 +1,6 @@
 """Work that grows with the tables only: what the reports of round 3 found to grow faster."""
 
+import json
 import random
 
 import pandas as pd
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions import text
 from cuesheet.operators import clean, store
 from cuesheet.sources import sample
+from cuesheet.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +76,23 @@ def test_lines_of_a_video_move_once(spark):
 
 def test_folding_looks_at_few_ranges():
     assert all(len(text.MAY_BE_MORE) < 60 and any(a <= c <= b for a, b in zip(text.MAY_BE_MORE[1::3], text.MAY_BE_MORE[3::3], strict=True)) for c in text.TO_MORE)
+
+
+def test_a_video_is_one_value_of_state():
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    place, state = ingest.best_comment(2), State()
+
+    def given(*rows):
+        frame = pd.DataFrame([(at, json.dumps(rank) if rank else None, f"e{at}" if rank else None) for at, rank in rows], columns=["comment_pos", "rank", "entries"])
+        return [tuple(r) for made in place(("v",), iter([frame]), state) for r in made.itertuples(index=False)]
+
+    assert given((5, [False, 40, 2]), (7, None)) == [("v", 5, "e5")]
+    assert given((5, [False, 40, 2])) == []  # comes again
+    assert given((6, [True, 1040, 2])) == [("v", 6, "e6")] and [r[0] for r in json.loads(state.get[0])] == [5, 6]
+    assert given((1, None)) == [("v", 5, "e5")]  # pushes 6 out
+    assert given((2, None)) == [] and [r[0] for r in json.loads(state.get[0])] == [1, 2]
