@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from cuesheet.operators.links import connected
 from cuesheet.scratch import drop, keep
 
+BANDS = 8  # of items under one pivot
 MAPS = 8  # bit maps of 64 bits of an item's differences
 
 
@@ -107,37 +108,46 @@ def link(keyed: DataFrame, pairing: Pairing, known: DataFrame) -> DataFrame:
     return result
 
 
-def _met(spread: DataFrame, pairing: Pairing) -> DataFrame:
-    """The links (a, b) among rows of deltas() (key, id, part, main, ...) of an item outside the key's main part with one of another part.
+def _meetings(spread: DataFrame, pairing: Pairing) -> DataFrame:
+    """(key, x_id, y_id), repeated, of items under a key that may be linked: rows of deltas() (key, id, part, main, ...) of an item outside the key's main part with one of another part.
 
     A pair that isn't linked through its pivot needs at least one common difference. With
     the differences in one order, the first |D| - n + 1 of two items that have n in common
-    share one; n is bounded from below by the least number that a partner can have. Orders
-    by rarity make few items meet, and of these only those pass that can have as many differences
+    share one; n is bounded from below by the least number that a partner can have. Items are
+    dealt to BANDS of that number, and have a prefix for each band of partners: one item of few
+    differences doesn't lengthen the prefixes of all. Orders by rarity make few items meet, and of these only those pass that can have as many differences
     in common by their bit maps: a bit that one item has and the other one hasn't is a difference of its own.
     """
     rows = spread.select("key", "id", "part", "main", pairing.need().alias("need"), F.concat("added", "missing").alias("changed")).where(F.size("changed") > 0)
     bits = [F.expr(f"aggregate(changed, 0L, (acc, e) -> acc | if((shiftright(cast(e as bigint), 6) & {MAPS - 1}) = {k}, shiftleft(1L, cast(e & 63 as int)), 0L))").alias(f"m{k}") for k in range(MAPS)]
     rows = rows.select("*", F.size("changed").alias("n_changed"), F.struct(*bits).alias("bits"))
-    least = rows.groupBy("key").agg(F.min("need").alias("least"), F.min(F.when(F.col("part") != F.col("main"), F.col("need"))).alias("least_outside")).where("least_outside is not null")
-    each = rows.join(least, "key").select("*", F.explode("changed").alias("element")).drop("changed")
+    sides = rows.groupBy("key").agg(F.min("need").alias("least"), F.min(F.when(F.col("part") != F.col("main"), F.col("need"))).alias("least_outside"), F.percentile_approx("need", [k / BANDS for k in range(1, BANDS)]).alias("cuts"))
+    sides = sides.where("least_outside is not null").select("key", "least_outside", F.array_sort(F.array_distinct(F.concat(F.array("least"), "cuts"))).alias("cuts"))
+    each = rows.join(sides, "key").withColumn("band", F.size(F.filter("cuts", lambda c: c <= F.col("need")))).select("*", F.explode("changed").alias("element")).drop("changed")
     counted = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "element")))
-    ordered = counted.groupBy("key", "id").agg(*[F.first(c).alias(c) for c in ("part", "main", "need", "least", "least_outside", "n_changed", "bits")], F.sort_array(F.collect_list(F.struct("n", "element"))).alias("changed"))
+    ordered = counted.groupBy("key", "id").agg(*[F.first(c).alias(c) for c in ("part", "main", "need", "least_outside", "cuts", "band", "n_changed", "bits")], F.sort_array(F.collect_list(F.struct("n", "element"))).alias("changed"))
 
-    def prefix(partner: str, name: str) -> DataFrame:
-        common = F.greatest(F.ceil((F.col("need") + F.col(partner)) / pairing.unit), F.lit(1))
-        first = F.expr("slice(changed, 1, greatest(0, least(size(changed), cast(size(changed) - common + 1 as int))))")
-        kept = [F.col(c).alias(f"{name}_{c}") for c in ("id", "part", "need", "n_changed", "bits")]
-        return ordered.withColumn("common", common).select("key", *kept, "main", F.explode(F.transform(first, lambda x: x["element"])).alias("element"))
+    def prefix(name: str, other: str, at_least: Column) -> DataFrame:
+        """A row for each band of partners and element of the prefix that is asked for them; what no other item has can't be common."""
+        towards = ordered.select("*", F.posexplode("cuts").alias("at", "cut"))
+        common = F.greatest(F.ceil((F.col("need") + F.greatest("cut", at_least)) / pairing.unit), F.lit(1))
+        first = F.expr("filter(slice(changed, 1, greatest(0, least(size(changed), cast(size(changed) - common + 1 as int)))), x -> x.n > 1)")
+        kept = [F.col(c).alias(f"{name}_{c}") for c in ("id", "part", "need", "n_changed", "bits", "band")]
+        return towards.withColumn("common", common).select("key", *kept, (F.col("at") + 1).alias(f"{other}_band"), "main", F.explode(F.transform(first, lambda x: x["element"])).alias("element"))
 
     def possible(one: str, other: str) -> Column:
         alone = reduce(add, [F.bit_count(F.col(f"{one}_bits.m{k}").bitwiseAND(F.bitwise_not(F.col(f"{other}_bits.m{k}")))) for k in range(MAPS)])
         return (F.col(f"{one}_n_changed") - alone) * pairing.unit >= F.col("x_need") + F.col("y_need")
 
-    outside = prefix("least", "x").where("x_part <> main").drop("main")
-    others = prefix("least_outside", "y").drop("main")
-    met = outside.join(others, ["key", "element"]).where((F.col("x_part") != F.col("y_part")) & possible("x", "y") & possible("y", "x"))
-    pairs = met.select("key", "x_id", "y_id").distinct()
+    outside = prefix("x", "y", F.col("cut")).where("x_part <> main").drop("main")
+    others = prefix("y", "x", F.col("least_outside")).drop("main")
+    met = outside.join(others, ["key", "x_band", "y_band", "element"]).where((F.col("x_part") != F.col("y_part")) & possible("x", "y") & possible("y", "x"))
+    return met.select("key", "x_id", "y_id")
+
+
+def _met(spread: DataFrame, pairing: Pairing) -> DataFrame:
+    """The links (a, b) among _meetings()."""
+    pairs = _meetings(spread, pairing).distinct()
     side = lambda name: spread.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "size", "pivot_size", "added", "missing")])
     both = pairs.join(side("x"), ["key", "x_id"]).join(side("y"), ["key", "y_id"])
     return _ordered(both.where(pairing.linked("x_", "y_")), "x_id", "y_id")

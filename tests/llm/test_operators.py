@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cuesheet.llm import ann, chat, licenses, minhash, mixing, oracles, pieces, quality, queries, spotsigs, textkit, toxicity, warc
+from cuesheet.llm.components import _meetings, _met
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -619,3 +620,14 @@ def test_unigram_models_of_real_size_have_parity(spark, tmp_path, rule):
     if rule == "identity":
         lost = {r.doc_id for r in found.where("not round_trip").collect()}
         assert lost <= {r.doc_id for r in docs.collect() if r.text and re.search(r"^ | $|  ", r.text)}
+
+
+def test_one_item_like_the_pivot_makes_no_others_meet(spark):
+    """Sixty items miss the same half of the pivot and aren't linked; one differs from it in a word only."""
+    pivot = list(range(100))
+    far = [(1, i, 45, 100, [1000 + 10 * i + k for k in range(5)], pivot[:60], i, 500) for i in range(60)]
+    like = [(1, 500, 100, 100, [9000], [99], 500, 500), (1, 501, 100, 100, [9001, 9000], [98, 99], 501, 500)]
+    rows = spark.createDataFrame(far + like, "key long, id long, size int, pivot_size int, added array<long>, missing array<long>, part long, main long")
+    pairing = minhash.ShinglePairing(None, None, 3, 85, 0)
+    assert _meetings(rows, pairing).count() < 100
+    assert [tuple(r) for r in _met(rows, pairing).collect()] == [(500, 501)]
