@@ -20,13 +20,24 @@ deviations more. All else, rare expressions above all, gets its likelihood from
 the shared counts in both models, so that neither the languages that a class happens to
 have nor the noise of small counts adds up over long texts. Both classes are treated alike.
 
+Above the words stand pairs, a word w after a word v (none at the start of a text), which
+back off to them:
+
+    P(w | v) = first(v, w) + left(v) * P(w)
+    first(v, w) = max(0, n(v, w) - max(1, rate * e(v, w) + PAIR_NOISE * sqrt((1 - share) * e(v, w)))) / n(v)
+
+n(v, w) is the pair's continuation count, after how many different words it stands in the class's
+texts (told apart by 16 bits), n(v) their sum; e, share and rate are as above,
+of the pairs that begin with v in both classes. left(v) is what the first terms of v leave of 1,
+and 1 for a v without any.
+
 A text's score is a rising curve of one number, the mean over all of its words of
-log P(w | toxic) - log P(w | ordinary): the difference of the length-normalised
+log P(w | v, toxic) - log P(w | v, ordinary): the difference of the length-normalised
 log-likelihoods. It is counted from the constant that words without first terms have,
 which differs between models. The logistic curve is fitted to labelled texts scored by
 models that leave them out (cross-fitting by FOLDS).
 
-Counts are Spark tables that grow with the corpus. The words with first terms are
+Counts are Spark tables that grow with the corpus. The words and pairs with first terms are
 broadcast while they are at most BROADCAST_ENTRIES, beyond that joined with the texts'
 words. Both ways sum the same integers, so scores are equal to the last bit.
 """
@@ -36,6 +47,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +65,7 @@ FOLDS = 3
 WORD_BITS = 40
 RATE = 2.25
 NOISE = 4
+PAIR_NOISE = 4
 PRIOR = 0.5
 UNIT = 1 << 24  # of log ratios as integers
 CALIBRATION_ROWS = 20_000
@@ -70,21 +84,24 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w, v, offsets
 
 
-def _pairs(batches):
-    """The different (word, word before) of each piece, packed into 80 bits, with a bit for each fold and class that has them."""
+def _triples(batches):
+    """The different (word, word before, hash of the word before that) of each piece, as 40, 40 and 16 bits, with a bit for each fold and class that has them."""
     for batch in batches:
         cells = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=np.int64)
         for start, part in textkit.slices(batch.column(0), 1 << 20):
             w, v, offsets = grams(part)
+            u = np.zeros(len(v), U)
+            u[1:] = v[:-1]
+            u[offsets[:-1][np.diff(offsets) > 0]] = 0
             cell = np.repeat(cells[start : start + len(part)], np.diff(offsets))
-            a, b, bits = (w << U(24)) | (v >> U(16)), v.astype(np.uint16), (1 << cell).astype(np.int8)
+            a, b, bits = (w << U(24)) | (v >> U(16)), ((v & U(0xFFFF)) << U(16) | (u & U(0xFFFF))).astype(np.uint32), (1 << cell).astype(np.int8)
             order = np.lexsort((b, a))
             a, b, bits = a[order], b[order], bits[order]
             first = np.ones(len(a), dtype=bool)
             first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             at = np.flatnonzero(first)
             bits = np.bitwise_or.reduceat(bits, at) if len(at) else bits
-            yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(b[at].view(np.int16)), pa.array(bits)], ["a", "b", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array((b[at] >> np.uint32(16)).astype(np.uint16).view(np.int16)), pa.array(b[at].astype(np.uint16).view(np.int16)), pa.array(bits)], ["a", "b", "u", "cells"])
 
 
 def _mask(model: int, label: int) -> int:
@@ -92,79 +109,144 @@ def _mask(model: int, label: int) -> int:
     return sum(1 << (2 * fold + label) for fold in range(FOLDS) if fold != model - 1)
 
 
+def _discounted(n: Column, both: Column, share: Column, noise: float, least: float = 0.0) -> Column:
+    """What a count keeps above what the shared counts lead one to expect."""
+    expected = both * share
+    discount = F.lit(RATE) / (1 + (RATE - 1) * share) * expected + noise * F.sqrt((1 - share) * expected)
+    return F.greatest(n - F.greatest(discount, F.lit(least)), F.lit(0.0))
+
+
 @dataclass
 class Counts:
-    """words: a kept table (w, n<model>_<class>) of continuation counts; totals: their sums, and the numbers of words, types<model>."""
+    """words: a kept table (w, n<model>_<class>) of continuation counts; totals: their sums, and the numbers of words, types<model>.
+
+    pairs: a kept table (v, w, first<model>_<class>, n<model>_<class>) of the pairs with a first term in some model: the term before
+    it is divided, and the number of all pairs of v.
+    """
 
     words: DataFrame
     totals: dict[str, int]
+    pairs: DataFrame
 
     def drop(self) -> None:
         drop(self.words)
+        drop(self.pairs)
 
 
 def count(rows: DataFrame) -> Counts:
     """Counts of all rows (text, label, fold) for all models."""
     has = lambda condition: F.sum(condition.cast("int"))
-    each = rows.select("text", (2 * F.col("fold") + F.col("label")).cast("int").alias("cell")).mapInArrow(textkit.tidy(_pairs), "a long, b smallint, cells tinyint")
-    pairs = each.groupBy("a", "b").agg(F.bit_or("cells").alias("cells"))
-    words = [has(F.col("cells").bitwiseAND(F.lit(_mask(m, c))) != 0).alias(f"n{m}_{c}") for m in MODELS for c in (0, 1)]
-    words = keep(pairs.groupBy(F.shiftrightunsigned("a", 24).alias("w")).agg(*words), "words")
+    of_models = lambda name, value: [value(m, c).alias(f"{name}{m}_{c}") for m in MODELS for c in (0, 1)]
+    each = rows.select("text", (2 * F.col("fold") + F.col("label")).cast("int").alias("cell")).mapInArrow(textkit.tidy(_triples), "a long, b smallint, u smallint, cells tinyint")
+    triples = each.repartition("a", "b").groupBy("a", "b", "u").agg(F.bit_or("cells").alias("cells"))  # moved once, for both counts
+    packed = triples.groupBy("a", "b").agg(*of_models("p", lambda m, c: has(F.col("cells").bitwiseAND(F.lit(_mask(m, c))) != 0)))
+    packed = keep(packed, "pairs")
+    w = F.shiftrightunsigned("a", 24).alias("w")
+    words = keep(packed.groupBy(w).agg(*of_models("n", lambda m, c: has(F.col(f"p{m}_{c}") > 0))), "words")
     sums = [F.sum(f"n{m}_{c}").alias(f"n{m}_{c}") for m in MODELS for c in (0, 1)]
     totals = words.agg(*sums, *[has(F.col(f"n{m}_0") + F.col(f"n{m}_1") > 0).alias(f"types{m}") for m in MODELS]).first()
-    return Counts(words, {k: v or 0 for k, v in totals.asDict().items()})
+
+    v = F.shiftleft(F.col("a").bitwiseAND((1 << 24) - 1), 16).bitwiseOR(F.col("b").cast("long").bitwiseAND(0xFFFF)).alias("v")
+    after = packed.groupBy(v).agg(*of_models("n", lambda m, c: F.sum(f"p{m}_{c}")))
+    said = packed.where(F.greatest("p0_0", "p0_1") > 1).select(v, w, *[f"p{m}_{c}" for m in MODELS for c in (0, 1)]).join(after, "v")  # of what is said once, the discount leaves nothing
+    first = []
+    for m in MODELS:
+        all_of_v, both = F.col(f"n{m}_0") + F.col(f"n{m}_1"), F.col(f"p{m}_0") + F.col(f"p{m}_1")
+        for c in (0, 1):
+            share = F.col(f"n{m}_{c}") / F.greatest(all_of_v, F.lit(1))
+            first.append(_discounted(F.col(f"p{m}_{c}"), both, share, PAIR_NOISE, 1.0).alias(f"first{m}_{c}"))
+    said = said.select("v", "w", *first, *[f"n{m}_{c}" for m in MODELS for c in (0, 1)])
+    said = said.where(F.greatest(*[f"first{m}_{c}" for m in MODELS for c in (0, 1)]) > 0)
+    pairs = keep(said.hint("rebalance"), "pair_terms")
+    drop(packed)
+    return Counts(words, {k: v or 0 for k, v in totals.asDict().items()}, pairs)
 
 
 @dataclass
 class Model:
-    """words: a kept table (w, gain) of words with first terms; gain: their log ratio above that of other words, in whole UNITs. rare: the log ratio of other words."""
+    """words: a kept table (w, gain) of words with first terms; gain: their log ratio above that of other words, in whole UNITs. rare: the log ratio of other words.
+
+    pairs: a kept table (v, w, gain) of pairs with first terms; contexts: one (v, back) of the words v that begin such pairs, and what any other word after v has above its own gain.
+    """
 
     words: DataFrame
     rare: float
+    pairs: DataFrame
+    contexts: DataFrame
 
     def entries(self) -> int:
-        return self.words.count()
+        return sum(t.count() for t in (self.words, self.pairs, self.contexts))
 
     def drop(self) -> None:
-        drop(self.words)
+        for table in (self.words, self.pairs, self.contexts):
+            drop(table)
 
 
 def model_of(counts: Counts, m: int) -> Model:
     """The model number m of counts."""
     n = [max(1, counts.totals[f"n{m}_{c}"]) for c in (0, 1)]
     both = F.col(f"n{m}_0") + F.col(f"n{m}_1")
-    first = []
-    for c in (0, 1):
-        share = n[c] / sum(n)
-        expected = both * F.lit(share)
-        first.append(F.greatest(F.col(f"n{m}_{c}") - F.lit(RATE / (1 + (RATE - 1) * share)) * expected - NOISE * F.sqrt((1 - share) * expected), F.lit(0.0)))
+    first = [_discounted(F.col(f"n{m}_{c}"), both, F.lit(n[c] / sum(n)), NOISE) for c in (0, 1)]
     shared = (both + F.lit(float(PRIOR))) / F.lit(float(sum(n) + PRIOR * (counts.totals[f"types{m}"] + 1)))
-    found = counts.words.select("w", *[first[c].alias(f"first{c}") for c in (0, 1)], shared.alias("shared")).where("first0 > 0 or first1 > 0")
+    every = counts.words.select("w", *[first[c].alias(f"first{c}") for c in (0, 1)], shared.alias("shared"))
+    found = every.where("first0 > 0 or first1 > 0")
     given = found.agg(*[F.sum(F.round(F.col(f"first{c}") * UNIT).cast("long")).alias(f"g{c}") for c in (0, 1)]).first()
     left = [1 - (given[f"g{c}"] or 0) / UNIT / n[c] for c in (0, 1)]  # summed in whole numbers: the same in any order
     rare = math.log(left[1]) - math.log(left[0])
     p = [F.col(f"first{c}") / F.lit(float(n[c])) + F.lit(left[c]) * F.col("shared") for c in (0, 1)]
     words = found.select("w", F.round((F.log(p[1]) - F.log(p[0]) - F.lit(rare)) * UNIT).cast("long").alias("gain"))
     words = keep(words.hint("rebalance"), "model")  # few words: few files
-    return Model(words, rare)
+
+    terms = counts.pairs.select("v", "w", *[F.col(f"first{m}_{c}").alias(f"pair{c}") for c in (0, 1)], *[F.col(f"n{m}_{c}").alias(f"of_v{c}") for c in (0, 1)]).where("pair0 > 0 or pair1 > 0")
+    rest = [1 - F.sum(F.round(F.col(f"pair{c}") * UNIT).cast("long")) / UNIT / F.greatest(F.max(f"of_v{c}"), F.lit(1)) for c in (0, 1)]
+    rest = terms.groupBy("v").agg(*[rest[c].alias(f"left{c}") for c in (0, 1)])
+    contexts = keep(rest.select("v", F.round((F.log("left1") - F.log("left0")) * UNIT).cast("long").alias("back")).hint("rebalance"), "model")
+    after = [F.col(f"pair{c}") / F.greatest(f"of_v{c}", F.lit(1)) + F.col(f"left{c}") * p[c] for c in (0, 1)]
+    pairs = terms.join(rest, "v").join(every, "w").select("v", "w", F.round((F.log(after[1]) - F.log(after[0]) - F.lit(rare)) * UNIT).cast("long").alias("gain"))
+    return Model(words, rare, keep(pairs.hint("rebalance"), "model"), contexts)
+
+
+def _found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the sorted keys, whether they are there) of what is asked."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return at, keys[at] == asked
 
 
 class Scorer:
     """A model in memory; features() of Arrow texts."""
 
     def __init__(self, model: Model):
-        found = model.words.toArrow()
-        words = found.column(0).to_numpy().view(U)
-        order = np.argsort(words)
-        self.words, self.gains = words[order], found.column(1).to_numpy()[order]
+        self.words, self.gains = self._sorted(model.words)
+        self.contexts, self.backs = self._sorted(model.contexts)
+        v, w, gain = (model.pairs.toArrow().column(k).to_numpy() for k in range(3))
+        self.seconds = np.unique(w.view(U))
+        pairs = _found(self.contexts, v.view(U))[0] * len(self.seconds) + _found(self.seconds, w.view(U))[0]
+        order = np.argsort(pairs)
+        self.pairs, self.pair_gains = pairs[order], gain[order]
+
+    def _sorted(self, table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        found = table.toArrow()
+        keys = found.column(0).to_numpy().view(U)
+        order = np.argsort(keys)
+        return keys[order], found.column(1).to_numpy()[order]
 
     def features(self, column: pa.Array) -> np.ndarray:
         """A row's sum of gains over its number of words."""
-        w, _, offsets = grams(column)
+        w, v, offsets = grams(column)
         gains = np.zeros(len(w), np.int64)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
-            gains = np.where(self.words[at] == w, self.gains[at], 0)
+        at, there = _found(self.words, w)
+        gains[there] = self.gains[at[there]]
+        context, there = _found(self.contexts, v)
+        held = np.flatnonzero(there)
+        if len(held):
+            context = context[held]
+            gains[held] += self.backs[context]
+            second, known = _found(self.seconds, w[held])
+            held, pair = held[known], context[known] * len(self.seconds) + second[known]
+            at, there = _found(self.pairs, pair)
+            gains[held[there]] = self.pair_gains[at[there]]
         sums = np.concatenate(([0], np.cumsum(gains)))[offsets]
         return np.diff(sums) / np.maximum(np.diff(offsets), 1).astype(np.float64) / UNIT
 
@@ -212,29 +294,32 @@ def _in_memory(rows: DataFrame, scorer: Scorer, carry: Sequence[str]) -> DataFra
     return rows.select("id", "label", "text", *others).mapInArrow(textkit.tidy(run), f"id long, label int, ratio double{carried(rows, carry)}")
 
 
-def _row_words(batches):
-    """(row, w, n): the different words of each row with their numbers; one (row, null, 0) for a row without words."""
+def _row_pairs(batches):
+    """(row, v, w, n): the different pairs of each row with their numbers; one (row, null, null, 0) for a row without words."""
     for batch in batches:
         for start, part in textkit.slices(batch.column(1), 2 << 20):
-            w, _, offsets = grams(part)
+            w, v, offsets = grams(part)
             row = np.repeat(np.arange(len(part)), np.diff(offsets))
-            order = np.lexsort((w, row))
-            w, row = w[order], row[order]
+            order = np.lexsort((w, v, row))
+            w, v, row = w[order], v[order], row[order]
             first = np.ones(len(w), dtype=bool)
-            first[1:] = (w[1:] != w[:-1]) | (row[1:] != row[:-1])
+            first[1:] = (w[1:] != w[:-1]) | (v[1:] != v[:-1]) | (row[1:] != row[:-1])
             at = np.flatnonzero(first)
             n = np.diff(np.concatenate((at, [len(w)])))
             ids = batch.column(0).slice(start, len(part)).to_numpy()
             blank = np.flatnonzero(np.diff(offsets) == 0)
-            words = pa.concat_arrays([pa.array(w[at].view(np.int64)), pa.nulls(len(blank), pa.int64())])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[row[at]], ids[blank]))), words, pa.array(np.concatenate((n, np.zeros(len(blank), np.int64))))], ["row", "w", "n"])
+            pair = [pa.concat_arrays([pa.array(x[at].view(np.int64)), pa.nulls(len(blank), pa.int64())]) for x in (v, w)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[row[at]], ids[blank]))), *pair, pa.array(np.concatenate((n, np.zeros(len(blank), np.int64))))], ["row", "v", "w", "n"])
 
 
 def _joined(rows: DataFrame, model: Model, carry: Sequence[str]) -> DataFrame:
-    """As _in_memory, by joins: a row's words go to the table and their gains come back. Skewed words are split by AQE."""
+    """As _in_memory, by joins: a row's pairs go to the tables and their gains come back. Skewed words are split by AQE."""
     rows = keep(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    words = rows.select("_row", "text").mapInArrow(_row_words, "row long, w long, n long")
-    found = words.join(model.words, "w", "left").groupBy("row").agg(F.sum("n").alias("n"), F.sum(F.coalesce("gain", F.lit(0)) * F.col("n")).alias("gain"))
+    said = rows.select("_row", "text").mapInArrow(_row_pairs, "row long, v long, w long, n long")
+    terms = model.pairs.select("v", "w", F.col("gain").alias("pair_gain"))
+    said = said.join(model.words, "w", "left").join(model.contexts, "v", "left").join(terms, ["v", "w"], "left")
+    gain = F.coalesce("pair_gain", F.coalesce("gain", F.lit(0)) + F.coalesce("back", F.lit(0)))
+    found = said.groupBy("row").agg(F.sum("n").alias("n"), F.sum(gain * F.col("n")).alias("gain"))
     made = found.select("row", (F.col("gain") / F.greatest("n", F.lit(1)) / UNIT).alias("ratio"))
     return rows.join(made, rows["_row"] == made["row"]).select("id", "label", "ratio", *carry)
 

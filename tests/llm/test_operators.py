@@ -631,3 +631,15 @@ def test_one_item_like_the_pivot_makes_no_others_meet(spark):
     pairing = minhash.ShinglePairing(None, None, 3, 85, 0)
     assert _meetings(rows, pairing).count() < 100
     assert [tuple(r) for r in _met(rows, pairing).collect()] == [(500, 501)]
+
+
+def test_toxicity_has_a_pair_level(spark):
+    """Both classes say the same words, only pairs tell; copies don't raise their continuation counts."""
+    said = lambda i, y: f"a{i} mild {'fog' if y else 'sun'} b{i} warm {'sun' if y else 'fog'}"
+    both = spark.createDataFrame([(said(i, y), y, i % 3) for i in range(150) for y in (0, 1)], "text string, label int, fold int")
+    copies = spark.createDataFrame([("same grave stone", 1, i % 3) for i in range(60)], "text string, label int, fold int")
+    model = toxicity.model_of(toxicity.count(both.union(copies)), 0)
+    assert model.pairs.count() > 0
+    asked = spark.createDataFrame([(0, 0, "x mild fog"), (1, 0, "x mild sun"), (2, 0, "x grave stone"), (3, 0, "x stone grave")], "id long, label int, text string")
+    by_limit = [{r.id: r.ratio for r in toxicity.featured(asked, model, broadcast_entries=limit).collect()} for limit in (10**6, 0)]
+    assert by_limit[0] == by_limit[1] and by_limit[0][0] > by_limit[0][1] and by_limit[0][2] == by_limit[0][3]
