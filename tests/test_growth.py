@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cuesheet.functions import text
-from cuesheet.operators import clean, store
+from cuesheet.operators import clean, group, store
 from cuesheet.sources import sample
 from cuesheet.streaming import ingest
 
@@ -96,3 +96,14 @@ def test_a_video_is_one_value_of_state():
     assert given((6, [True, 1040, 2])) == [("v", 6, "e6")] and [r[0] for r in json.loads(state.get[0])] == [5, 6]
     assert given((1, None)) == [("v", 5, "e5")]  # pushes 6 out
     assert given((2, None)) == [] and [r[0] for r in json.loads(state.get[0])] == [1, 2]
+
+
+def test_grouping_sorts_narrow_rows_and_names_titles_not_entries(spark):
+    rows = group.grouped_rows(sample.catalogue(spark, SF))
+    scans = [line for line in plan_of(rows).splitlines() if "FileScan" in line and "/grouped-" in line]
+    assert scans and all("title:bigint" in line and "video_title" not in line and "raw_song_title" not in line for line in scans)
+    twice = rows.union(rows.withColumn("seq", F.col("seq") + 10**12))
+    one, two = group.counted_titles(rows), group.counted_titles(twice)
+    assert one.count() == two.count() < rows.count() and two.agg(F.sum("n")).first()[0] == 2 * rows.count()
+    names = lambda df: sorted(map(str, group.display_titles(df).collect()))
+    assert names(one) == names(two) == names(rows.withColumn("n", F.lit(1)))
