@@ -107,3 +107,14 @@ def test_grouping_sorts_narrow_rows_and_names_titles_not_entries(spark):
     assert one.count() == two.count() < rows.count() and two.agg(F.sum("n")).first()[0] == 2 * rows.count()
     names = lambda df: sorted(map(str, group.display_titles(df).collect()))
     assert names(one) == names(two) == names(rows.withColumn("n", F.lit(1)))
+
+
+def test_backfilled_entries_meet_only_songs_of_other_ids(spark):
+    c = sample.catalogue(spark, SF)
+    songs = c.songs.where("song_id % 3 > 0").withColumn("song_id", F.when(F.col("song_id") % 3 == 1, -F.col("song_id")).otherwise(F.col("song_id")))
+    cleared = c.entries.withColumn("song_id", F.when(F.col("entry_id") % 5 == 0, F.col("song_id")))
+    after, entries = store.backfilled(cleared, c.videos, songs)
+    want = store.with_song_ids(cleared.withColumnRenamed("song_id", "_own"), c.videos, after).withColumn("song_id", F.coalesce("_own", "song_id"))
+    ids = lambda df: sorted((r.entry_id, r.song_id) for r in df.select("entry_id", "song_id").collect())
+    assert ids(entries) == ids(want) and entries.where("song_id < 0").count() > 0
+    assert after.count() == c.songs.count() and not [f for f in entries.inputFiles() if "/songs/" in f]
