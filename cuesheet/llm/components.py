@@ -114,7 +114,7 @@ def _meetings(spread: DataFrame, pairing: Pairing) -> DataFrame:
     A pair that isn't linked through its pivot needs at least one common difference. With
     the differences in one order, the first |D| - n + 1 of two items that have n in common
     share one; n is bounded from below by the least number that a partner can have. Items are
-    dealt to BANDS of that number, and have a prefix for each band of partners: one item of few
+    dealt to BANDS of that number, and those outside the main part have a prefix for each band of partners; an element of the others says for which bands it is in theirs: one item of few
     differences doesn't lengthen the prefixes of all. Orders by rarity make few items meet, and of these only those pass that can have as many differences
     in common by their bit maps: a bit that one item has and the other one hasn't is a difference of its own.
     """
@@ -127,21 +127,26 @@ def _meetings(spread: DataFrame, pairing: Pairing) -> DataFrame:
     counted = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key", "element")))
     ordered = counted.groupBy("key", "id").agg(*[F.first(c).alias(c) for c in ("part", "main", "need", "least_outside", "cuts", "band", "n_changed", "bits")], F.sort_array(F.collect_list(F.struct("n", "element"))).alias("changed"))
 
-    def prefix(name: str, other: str, at_least: Column) -> DataFrame:
-        """A row for each band of partners and element of the prefix that is asked for them; what no other item has can't be common."""
-        towards = ordered.select("*", F.posexplode("cuts").alias("at", "cut"))
-        common = F.greatest(F.ceil((F.col("need") + F.greatest("cut", at_least)) / pairing.unit), F.lit(1))
-        first = F.expr("filter(slice(changed, 1, greatest(0, least(size(changed), cast(size(changed) - common + 1 as int)))), x -> x.n > 1)")
-        kept = [F.col(c).alias(f"{name}_{c}") for c in ("id", "part", "need", "n_changed", "bits", "band")]
-        return towards.withColumn("common", common).select("key", *kept, (F.col("at") + 1).alias(f"{other}_band"), "main", F.explode(F.transform(first, lambda x: x["element"])).alias("element"))
+    kept = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("id", "part", "need", "n_changed", "bits", "band")]
+    common = lambda cut: F.greatest(F.ceil((F.col("need") + cut) / pairing.unit), F.lit(1))
+    first = "slice(changed, 1, greatest(0, least(size(changed), cast(size(changed) - common + 1 as int))))"
+
+    def prefixes() -> DataFrame:
+        """Of items outside the main part, a row for each band of partners and element of the prefix that is asked for them; what no other item has can't be common."""
+        towards = ordered.where("part <> main").select("*", F.posexplode("cuts").alias("at", "cut")).withColumn("common", common(F.col("cut")))
+        return towards.select("key", *kept("x"), (F.col("at") + 1).alias("y_band"), F.explode(F.expr(f"transform(filter({first}, x -> x.n > 1), x -> x.element)")).alias("element"))
+
+    def reaching() -> DataFrame:
+        """Of all items, a row for each element of the longest prefix, with the last band of partners whose prefix still has it."""
+        longest = ordered.withColumn("asked", F.transform("cuts", lambda c: common(F.greatest(c, F.col("least_outside"))))).withColumn("common", F.element_at("asked", 1))
+        each = longest.select("key", *kept("y"), "asked", F.explode(F.expr(f"filter(transform({first}, (x, p) -> struct(x.n as n, x.element as element, size(changed) - p as rest)), x -> x.n > 1)")).alias("e"))
+        return each.select(*[c for c in each.columns if c not in ("asked", "e")], F.col("e.element").alias("element"), F.size(F.filter("asked", lambda k: k <= F.col("e.rest"))).alias("y_reach"))
 
     def possible(one: str, other: str) -> Column:
         alone = reduce(add, [F.bit_count(F.col(f"{one}_bits.m{k}").bitwiseAND(F.bitwise_not(F.col(f"{other}_bits.m{k}")))) for k in range(MAPS)])
         return (F.col(f"{one}_n_changed") - alone) * pairing.unit >= F.col("x_need") + F.col("y_need")
 
-    outside = prefix("x", "y", F.col("cut")).where("x_part <> main").drop("main")
-    others = prefix("y", "x", F.col("least_outside")).drop("main")
-    met = outside.join(others, ["key", "x_band", "y_band", "element"]).where((F.col("x_part") != F.col("y_part")) & possible("x", "y") & possible("y", "x"))
+    met = prefixes().join(reaching(), ["key", "y_band", "element"]).where("x_band <= y_reach").where((F.col("x_part") != F.col("y_part")) & possible("x", "y") & possible("y", "x"))
     return met.select("key", "x_id", "y_id")
 
 

@@ -643,3 +643,10 @@ def test_toxicity_has_a_pair_level(spark):
     asked = spark.createDataFrame([(0, 0, "x mild fog"), (1, 0, "x mild sun"), (2, 0, "x grave stone"), (3, 0, "x stone grave")], "id long, label int, text string")
     by_limit = [{r.id: r.ratio for r in toxicity.featured(asked, model, broadcast_entries=limit).collect()} for limit in (10**6, 0)]
     assert by_limit[0] == by_limit[1] and by_limit[0][0] > by_limit[0][1] and by_limit[0][2] == by_limit[0][3]
+
+
+def test_only_items_outside_the_main_part_have_a_prefix_for_each_band(spark):
+    """The others' elements say how far they reach, instead of being repeated for each band."""
+    rows = spark.createDataFrame([(1, i, 9, 9, [i, 7], [3], i, 1) for i in range(9)], "key long, id long, size int, pivot_size int, added array<long>, missing array<long>, part long, main long")
+    plan = _meetings(rows, minhash.ShinglePairing(None, None, 3, 85, 0))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate posexplode(cuts") == 1
