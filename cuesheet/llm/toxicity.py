@@ -85,7 +85,7 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _triples(batches):
-    """The different (word, word before, hash of the word before that) of each piece, as 40, 40 and 16 bits, with a bit for each fold and class that has them."""
+    """The different (word, word before, hash of the word before that) of each piece, as 40, 40 and 16 bits, with a bit for each fold and class that has them: two numbers, since small columns cost disk in a shuffle."""
     for batch in batches:
         cells = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=np.int64)
         for start, part in textkit.slices(batch.column(0), 1 << 20):
@@ -101,7 +101,7 @@ def _triples(batches):
             first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             at = np.flatnonzero(first)
             bits = np.bitwise_or.reduceat(bits, at) if len(at) else bits
-            yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array((b[at] >> np.uint32(16)).astype(np.uint16).view(np.int16)), pa.array(b[at].astype(np.uint16).view(np.int16)), pa.array(bits)], ["a", "b", "u", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[at].view(np.int64)), pa.array(b[at].astype(np.int64) << 8 | bits)], ["a", "rest"])
 
 
 def _mask(model: int, label: int) -> int:
@@ -137,9 +137,10 @@ def count(rows: DataFrame) -> Counts:
     """Counts of all rows (text, label, fold) for all models."""
     has = lambda condition: F.sum(condition.cast("int"))
     of_models = lambda name, value: [value(m, c).alias(f"{name}{m}_{c}") for m in MODELS for c in (0, 1)]
-    each = rows.select("text", (2 * F.col("fold") + F.col("label")).cast("int").alias("cell")).mapInArrow(textkit.tidy(_triples), "a long, b smallint, u smallint, cells tinyint")
-    triples = each.repartition("a", "b").groupBy("a", "b", "u").agg(F.bit_or("cells").alias("cells"))  # moved once, for both counts
-    packed = triples.groupBy("a", "b").agg(*of_models("p", lambda m, c: has(F.col("cells").bitwiseAND(F.lit(_mask(m, c))) != 0)))
+    each = rows.select("text", (2 * F.col("fold") + F.col("label")).cast("int").alias("cell")).mapInArrow(textkit.tidy(_triples), "a long, rest long")
+    each = each.repartition("a")  # moved once, for both counts
+    triples = each.groupBy("a", F.shiftright("rest", 8).alias("bu")).agg(F.bit_or(F.col("rest").bitwiseAND(0xFF)).alias("cells"))
+    packed = triples.groupBy("a", F.shiftright("bu", 16).cast("int").alias("b")).agg(*of_models("p", lambda m, c: has(F.col("cells").bitwiseAND(F.lit(_mask(m, c))) != 0)))
     packed = keep(packed, "pairs")
     w = F.shiftrightunsigned("a", 24).alias("w")
     words = keep(packed.groupBy(w).agg(*of_models("n", lambda m, c: has(F.col(f"p{m}_{c}") > 0))), "words")

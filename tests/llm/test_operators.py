@@ -650,3 +650,9 @@ def test_only_items_outside_the_main_part_have_a_prefix_for_each_band(spark):
     rows = spark.createDataFrame([(1, i, 9, 9, [i, 7], [3], i, 1) for i in range(9)], "key long, id long, size int, pivot_size int, added array<long>, missing array<long>, part long, main long")
     plan = _meetings(rows, minhash.ShinglePairing(None, None, 3, 85, 0))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate posexplode(cuts") == 1
+
+
+def test_triples_move_as_two_numbers():
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c a b c", "a"]), pa.array([3, 0])], ["text", "cell"])
+    made = pa.Table.from_batches(list(toxicity._triples([batch]))).to_pydict()
+    assert set(made) == {"a", "rest"} and sorted(r & 255 for r in made["rest"]) == [8, 8, 8, 8, 9]  # a text of one word has the first one's first triple
