@@ -22,10 +22,14 @@ the methods of Landed.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import json
+import operator
 import time
 import zlib
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pyarrow.dataset as ds
 import pyarrow.fs
@@ -38,6 +42,7 @@ SCHEMA = "parent string, page_no int, token string, payload string, outcome stri
 SWITCHED_OFF = ("commentsDisabled", "disabledComments")
 QUOTA_SPENT = ("quotaExceeded", "dailyLimitExceeded")
 ATTEMPTS, LONGEST_WAIT = 5, 10
+BATCH = 500  # rows of landed responses that are decoded at once
 
 
 class Trouble(Exception):
@@ -121,35 +126,56 @@ def bucket_of(parent: str, buckets: int) -> int:
 
 
 class Landed:
-    """Responses in a folder made by land(), one bucket of parents at a time in memory."""
+    """Responses in a folder made by land(). A bucket's files are read once, in order of parents and pages; in memory are those of one parent that were passed by and not asked for yet."""
 
     def __init__(self, folder: str):
-        files, path = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), folder)
-        self.table = ds.dataset(path, filesystem=files, format="parquet", partitioning="hive", exclude_invalid_files=True)
-        self.asked: dict[tuple, int] = {}
-
-    def buckets(self) -> int:
-        return int(self.table.head(1, columns=["buckets"]).column(0)[0].as_py()) if self.table.files else 0
-
-    def parents(self, endpoint: str, bucket: int, wanted: set[str] | None) -> list[str]:
-        """The parents of a bucket, whose responses are loaded."""
-        chosen = (ds.field("bucket") == bucket) & (ds.field("endpoint") == endpoint)
-        if wanted is not None:
-            chosen &= ds.field("parent").isin(sorted(wanted))
-        rows = self.table.to_table(columns=["parent", "token", "status", "body", "troubles"], filter=chosen).to_pylist()
-        self.responses = {(r["parent"], r["token"]): r for r in rows}
-        return sorted({r["parent"] for r in rows})
+        self.files, self.path = pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pyarrow.fs.LocalFileSystem(), folder)
+        self.rest: Iterator[dict] = iter(())
+        self.passed: dict[str | None, dict] = {}
+        self.last, self.asked = None, 0
+
+    def _inside(self, path: str, prefix: str) -> dict[str, str]:
+        """The folders in path that are named by prefix and a value, by value. Only path itself is listed."""
+        found = self.files.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True))
+        return {unquote(f.base_name.removeprefix(prefix)): f.path for f in found if f.type == pyarrow.fs.FileType.Directory and f.base_name.startswith(prefix)}
+
+    def _parts(self, folder: str) -> list[ds.Fragment]:
+        return list(ds.dataset(folder, filesystem=self.files, format="parquet").get_fragments())
+
+    def buckets(self, endpoint: str) -> tuple[int, list[int]]:
+        """(number of buckets, those that hold parents of the endpoint)."""
+        there = self._inside(self._inside(self.path, "endpoint=").get(endpoint, f"{self.path}/none"), "bucket=")
+        if not there:
+            return 0, []
+        one = next(iter(there.values()))
+        return int(self._parts(one)[0].head(1, columns=["buckets"]).column(0)[0].as_py()), sorted(map(int, there))
+
+    def parents(self, endpoint: str, bucket: int, wanted: set[str] | None) -> Iterator[str]:
+        """The parents of a bucket in order; get() answers for the one that came last."""
+        chosen = None if wanted is None else ds.field("parent").isin(sorted(wanted))
+        place = f"{self._inside(self.path, 'endpoint=')[endpoint]}/bucket={bucket}"
+
+        def each(file: ds.Fragment) -> Iterator[dict]:
+            for batch in file.to_batches(columns=["parent", "token", "status", "body", "troubles"], filter=chosen, batch_size=BATCH, batch_readahead=1, fragment_readahead=1):
+                yield from batch.to_pylist()
+
+        by_parent = operator.itemgetter("parent")
+        for parent, rows in itertools.groupby(heapq.merge(*map(each, self._parts(place)), key=by_parent), by_parent):
+            self.rest, self.passed, self.last = rows, {}, None
+            yield parent
 
     def get(self, endpoint: str, parent: str, token: str | None) -> tuple[int, str]:
         """(status, body). The first `troubles` requests for a page get no answer."""
-        found = self.responses.get((parent, token))
-        if found is None:
+        if self.last is None or self.last["token"] != token:
+            while token not in self.passed and (row := next(self.rest, None)):
+                self.passed[row["token"]] = row
+            self.last, self.asked = self.passed.pop(token, None), 0
+        if self.last is None:
             return 404, json.dumps({"error": {"message": f"no page {token} of {parent}"}})
-        key = (endpoint, parent, token)
-        self.asked[key] = self.asked.get(key, 0) + 1
-        if self.asked[key] <= (found["troubles"] or 0):
+        self.asked += 1
+        if self.asked <= (self.last["troubles"] or 0):
             raise Trouble("timed out")
-        return found["status"], found["body"]
+        return self.last["status"], self.last["body"]
 
 
 class PagedReader(DataSourceReader):
@@ -165,9 +191,9 @@ class PagedReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        buckets = self.source.transport().buckets()
-        needed = range(buckets) if self.wanted is None else sorted({bucket_of(p, buckets) for p in self.wanted if p is not None}) if buckets else []
-        return [InputPartition(k) for k in needed]
+        buckets, there = self.source.transport().buckets(self.options["endpoint"])
+        needed = None if self.wanted is None or not buckets else {bucket_of(p, buckets) for p in self.wanted if p is not None}
+        return [InputPartition(k) for k in there if needed is None or k in needed]
 
     def read(self, partition):
         if partition is None:  # there are no parents
@@ -206,10 +232,10 @@ class PagedSource(DataSource):
 
 
 def land(responses: DataFrame, folder: str, buckets: int) -> None:
-    """Write responses (endpoint, parent, token, status, body, troubles), dealt by parent, for Landed to read."""
+    """Write responses (endpoint, parent, token, status, body, troubles), dealt by endpoint and parent, for Landed to read: a folder for each endpoint, in it one for each bucket of its parents."""
     bucket = (F.crc32(F.col("parent").cast("binary")) % buckets).cast("int")
     rows = responses.withColumn("bucket", bucket).withColumn("buckets", F.lit(buckets))
-    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "endpoint", "parent", "token").write.partitionBy("bucket").parquet(folder)
+    rows.repartition(buckets, "bucket").sortWithinPartitions("endpoint", "bucket", "parent", F.char_length("token"), "token").write.partitionBy("endpoint", "bucket").parquet(folder)
 
 
 def read(spark: SparkSession, folder: str, endpoint: str, **options) -> DataFrame:

@@ -121,6 +121,22 @@ def test_missing_parents_and_lasting_trouble(spark, tmp_path):
         paged.read(spark, folder, "z", pace=0, attempts=3).count()
 
 
+def test_a_bucket_is_read_without_looking_at_others(spark, tmp_path, monkeypatch):
+    pages = [("y", "d", f"p{k}" if k else None, 200, page(1, f"p{k + 1}" if k < 12 else None, k), 0) for k in range(13)]
+    folder = landed(spark, tmp_path, [*[r for r in ROWS if r[0] == "x"], *pages], buckets=7)
+    seen, original = [], paged.ds.dataset
+    monkeypatch.setattr(paged.ds, "dataset", lambda place, **kw: seen.append(place) or original(place, **kw))
+    reader = paged.PagedSource({"folder": folder, "endpoint": "y"}).reader(None)
+    (only,) = reader.partitions()
+    assert [(r[0], r[1]) for r in reader.read(only)] == [("d", k) for k in range(13)]
+    assert seen and all("/endpoint=y/bucket=" in place for place in seen)
+    transport = reader.source.transport()
+    for parent in transport.parents("y", only.value, None):
+        for token in (None, "p1", "p2"):
+            assert transport.get("y", parent, token)[0] == 200 and not transport.passed  # pages come in their order: none is held
+        assert transport.get("y", parent, "p12")[0] == 200 and len(transport.passed) == 9
+
+
 def test_no_responses_at_all(spark, tmp_path):
     folder = landed(spark, tmp_path, [])
     assert paged.read(spark, folder, "x").count() == 0
