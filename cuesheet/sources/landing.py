@@ -134,17 +134,21 @@ def sample_channel_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 UPLOADS_A_PAGE, COMMENTS_A_PAGE = 50, 1
-PARENTS_A_BUCKET = 2_000
+PARENTS_A_BUCKET = 20_000
 
 
 def _paged(rows: DataFrame, item: Column, size: int) -> DataFrame:
-    """(parent, page_no, token, body) of rows (parent, order): answers with size items a page, each but the last naming the next one's token."""
+    """(parent, page_no, token, body) of rows (parent, order): answers with size items a page, each but the last naming the next one's token. Items are put in order once, and no parent's items meet in one row."""
     at = Window.partitionBy("parent").orderBy("order")
-    placed = rows.select("parent", "order", item.alias("item")).withColumn("n", F.row_number().over(at) - 1)
+    placed = rows.select("parent", "order", item.alias("item")).withColumns({"n": F.row_number().over(at) - 1, "goes_on": F.lead("order").over(at).isNotNull()})
     placed = placed.withColumn("page_no", F.floor(F.col("n") / size).cast("int"))
-    made = placed.groupBy("parent", "page_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("order", "item"))), lambda x: x["item"]).alias("items"))
+    if size == 1:
+        made = placed.select("parent", "page_no", F.array("item").alias("items"), "goes_on")
+    else:
+        items_ = F.transform(F.sort_array(F.collect_list(F.struct("order", "item"))), lambda x: x["item"])
+        made = placed.groupBy("parent", "page_no").agg(items_.alias("items"), F.min("goes_on").alias("goes_on"))
     token = lambda n: F.when(n > 0, F.concat(F.lit("page"), n.cast("string")))
-    following = F.when(F.lead("page_no").over(Window.partitionBy("parent").orderBy("page_no")).isNotNull(), token(F.col("page_no") + 1))
+    following = F.when(F.col("goes_on"), token(F.col("page_no") + 1))
     return made.select("parent", "page_no", token(F.col("page_no")).alias("token"), F.to_json(F.struct("items", following.alias("nextPageToken"))).alias("body"))
 
 
