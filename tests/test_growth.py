@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from cuesheet.functions import text
-from cuesheet.operators import clean, group, store
+from cuesheet.operators import clean, group, store, timeline
 from cuesheet.sources import sample
 from cuesheet.streaming import ingest
 
@@ -118,3 +118,18 @@ def test_backfilled_entries_meet_only_songs_of_other_ids(spark):
     ids = lambda df: sorted((r.entry_id, r.song_id) for r in df.select("entry_id", "song_id").collect())
     assert ids(entries) == ids(want) and entries.where("song_id < 0").count() > 0
     assert after.count() == c.songs.count() and not [f for f in entries.inputFiles() if "/songs/" in f]
+
+
+def test_what_lines_say_is_judged_once(spark):
+    odd = ["0:30 KING / A", "1:30 KING / A", "1) 0:30 Set  List", "[3] 0:10 set list / x", " 0:45 タイム スタンプ ", "songs list", "---", "・・ ", "", "0:30 ---", "0:30", "- 1:02:03 [7] Time stamps", "٣) 0:30 ſetlist", "0:30 KING / A\u2003", "MC", "0:50 MC", "KING / A"]
+    rows = [(f"v{v}", 0, "\n".join(odd[v % 3 :])) for v in range(40)]
+    comments = spark.createDataFrame(rows, "video_id string, comment_pos bigint, text string")
+    made = timeline.lines(comments)
+    assert "rlike" not in plan_of(made).lower()
+    (said,) = {f.rpartition("/")[0] for f in made.inputFiles() if "/said-" in f}
+    assert spark.read.parquet(said).count() < len(odd) < made.count()
+    each = comments.select("video_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("video_id", "line_no", ingest.parsed_line(F.col("line")).alias("x"))
+    want = each.select("video_id", "line_no", "x.entry", "x.marker", "x.plain", "x.clock", "x.seconds", "x.raw", "x.normal", "x.separated")
+    when = lambda c: F.when(F.col("is_entry"), F.col(c))
+    got = made.select("video_id", "line_no", "is_entry", "is_marker", "is_plain", when("timestamp_text"), "seconds", when("raw_song_title"), when("normalized_song_title"), "has_artist")
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, (tuple(r) for r in want.collect())))
