@@ -98,16 +98,26 @@ def link(keyed: DataFrame, pairing: Pairing, known: DataFrame) -> DataFrame:
     under = under.union(under.select("pivot", F.col("pivot").alias("id"))).distinct()
     deltas = keep(pairing.deltas(under), "deltas")
     more = keep(_ordered(deltas.where((F.col("id") != F.col("pivot")) & pairing.linked_to_pivot()), "id", "pivot"), "links")
-    again = keep(connected(links.union(more)), "parts")
+    again = _joined(parts, more)
     placed = deltas.join(again, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component").withColumnRenamed("pivot", "key")
     spread = keep(_open(placed), "spread")
     last = keep(_met(spread, pairing), "links")
-    result = keep(connected(links.union(more).union(last).union(known)), "parts")
-    for table in (ends, held, stars, links, parts, wide, able, rows, deltas, more, again, spread, last):
-        drop(table)
+    given = keep(known.select("a", "b"), "links")
+    result = _joined(again, last.union(given))
+    for table in (ends, held, stars, links, parts, wide, able, rows, deltas, more, again, spread, last, given):
+        if table is not result:
+            drop(table)
     return result
 
 
+def _joined(parts: DataFrame, more: DataFrame) -> DataFrame:
+    """parts (id, component) of some links after more links (a, b): parts itself without any, else made from its stars, which say what its links do."""
+    if more.isEmpty():
+        return parts
+    stars = parts.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+    return keep(connected(stars.union(more)), "parts")
+
+
 def _meetings(spread: DataFrame, pairing: Pairing) -> DataFrame:
     """(key, x_id, y_id), repeated, of items under a key that may be linked: rows of deltas() (key, id, part, main, ...) of an item outside the key's main part with one of another part.
 

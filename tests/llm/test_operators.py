@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cuesheet.llm import ann, chat, licenses, minhash, mixing, oracles, pieces, quality, queries, spotsigs, textkit, toxicity, warc
+from cuesheet.llm import ann, chat, components as linking, licenses, minhash, mixing, oracles, pieces, quality, queries, spotsigs, textkit, toxicity, warc
 from cuesheet.llm.components import _meetings, _met
 
 SF = "/root/testdata/sf0.001"
@@ -656,3 +656,15 @@ def test_triples_move_as_two_numbers():
     batch = pa.RecordBatch.from_arrays([pa.array(["a b c a b c", "a"]), pa.array([3, 0])], ["text", "cell"])
     made = pa.Table.from_batches(list(toxicity._triples([batch]))).to_pydict()
     assert set(made) == {"a", "rest"} and sorted(r & 255 for r in made["rest"]) == [8, 8, 8, 8, 9]  # a text of one word has the first one's first triple
+
+
+def test_components_are_made_anew_only_for_further_links(spark, monkeypatch):
+    calls, original = [], linking.connected
+    monkeypatch.setattr(linking, "connected", lambda edges: calls.append(1) or original(edges))
+    same = " ".join(f"w{k}" for k in range(200))
+    rows = [(1, same), (2, same + " x"), (3, same + " y"), (9, "something else altogether here")]
+    got = {r.doc_id: r.component_id for r in minhash.near_components(documents(spark, rows), shingle=3, percent=85).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 9: 9} and len(calls) == 1
+    parts = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)], "id long, component long")
+    more = spark.createDataFrame([(3, 8), (20, 21)], "a long, b long")
+    assert {tuple(r) for r in linking._joined(parts, more).collect()} == {(1, 1), (2, 1), (3, 1), (7, 1), (8, 1), (20, 20), (21, 20)}
