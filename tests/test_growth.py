@@ -133,3 +133,42 @@ def test_what_lines_say_is_judged_once(spark):
     when = lambda c: F.when(F.col("is_entry"), F.col(c))
     got = made.select("video_id", "line_no", "is_entry", "is_marker", "is_plain", when("timestamp_text"), "seconds", when("raw_song_title"), when("normalized_song_title"), "has_artist")
     assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, (tuple(r) for r in want.collect())))
+
+
+def test_videos_share_a_state():
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    place, state = ingest.best_comment(2), State()
+
+    def given(*rows):
+        frame = pd.DataFrame([(v, at, json.dumps(rank) if rank else None, f"{v}{at}" if rank else None) for v, at, rank in rows], columns=["video_id", "comment_pos", "rank", "entries"])
+        return [tuple(r) for made in place((0,), iter([frame[k : k + 2].reset_index(drop=True) for k in range(0, len(frame), 2)]), state) for r in made.itertuples(index=False)]
+
+    assert given(("v", 5, [False, 40, 2]), ("w", 5, [True, 1040, 2]), ("v", 6, [False, 60, 3]), ("x", 1, None)) == [("v", 6, "v6"), ("w", 5, "w5")]
+    assert given(("w", 7, [True, 1060, 3])) == [("w", 7, "w7")]
+    assert given(("v", 1, None), ("w", 5, None)) == [("v", 5, "v5")]  # pushes 6 out; w keeps 7
+    assert sorted((r[3], r[0]) for r in json.loads(state.get[0])) == [("v", 1), ("v", 5), ("w", 5), ("w", 7), ("x", 1)]
+
+
+def test_a_batch_judges_texts_once_and_states_stay_dealt(spark, tmp_path):
+    landed, out, state = (str(tmp_path / name) for name in ("landed", "out", "state"))
+    comments = sample.comments(spark, SF).where("crc32(video_id) % 4 = 0")
+    rows = ingest.records(comments)
+    assert "rlike" not in plan_of(rows).lower() and rows.count() == comments.count()
+    videos = sample.videos(spark, SF)
+    some = videos.where("crc32(video_id) % 4 = 0 and crc32(video_id) % 8 = 0")
+    comments.union(comments).coalesce(1).write.parquet(f"{landed}/0")  # each comment comes twice in a batch
+    ingest.run(spark, f"{landed}/*", out, state, comments.schema, some, all_videos=True)
+    states = lambda: spark.read.parquet(f"{state}/states").first().states
+    first = states()
+    assert 1 <= first == max(1, some.count() // ingest.STATE_VIDEOS) and not (tmp_path / "state" / "records").exists()
+    comments.coalesce(1).write.parquet(f"{landed}/1")
+    ingest.run(spark, f"{landed}/*", out, state, comments.schema, videos.union(videos.select(F.concat(F.lit("more"), "video_id"), *videos.columns[1:])), all_videos=True)
+    assert states() == first
+    columns = ["video_id", "entry_id", "seconds", "normalized_song_title"]
+    rows_of = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
+    assert rows_of(spark.read.parquet(out)) == rows_of(timeline.index(comments, videos, all_videos=True))
