@@ -172,3 +172,31 @@ def test_a_batch_judges_texts_once_and_states_stay_dealt(spark, tmp_path):
     columns = ["video_id", "entry_id", "seconds", "normalized_song_title"]
     rows_of = lambda df: sorted(tuple(r) for r in df.select(*columns).collect())
     assert rows_of(spark.read.parquet(out)) == rows_of(timeline.index(comments, videos, all_videos=True))
+
+
+def test_entries_that_stay_meet_the_touched_videos_only(spark):
+    columns = "entry_id long, video_id string, seconds long, normalized_song_title string, raw_song_title string, song_id long"
+    entries = spark.createDataFrame([(1, "v", 1, "x", "X", 7), (2, "w", 1, "x", "X", 7), (3, "w", 2, "x", "x", None), (4, "none", 1, "y", "Y", 8), (5, "v", 2, "z", "Z", 9)], columns)
+    videos = spark.createDataFrame([("v", "c"), ("w", "c")], "video_id string, channel_id string")
+    songs = spark.createDataFrame([(7, "c", "X", "x"), (8, "c", "Y", "y"), (9, "c", "Z", "z")], "song_id long, channel_id string, canonical_song_title string, normalized_song_title string")
+    new = spark.createDataFrame([(6, "v", 3, "x", "X", None), (7, "v", 4, "z", "Zed", None)], columns)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        after, replaced = store.replace_videos(entries, new, songs, videos)
+        kept = plan_of(replaced).split("SortMergeJoin")[1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "LeftAnti" in kept.splitlines()[0]  # nothing stands between it and the result
+    named = {r.normalized_song_title: r for r in after.collect()}
+    assert set(named) == {"x", "y", "z"} and named["x"].song_id == 7 and named["z"].song_id != 9 and named["z"].canonical_song_title == "Zed"
+    assert {r.entry_id: r.song_id for r in replaced.collect()} == {2: 7, 3: None, 4: 8, 6: 7, 7: named["z"].song_id}
+
+
+def test_many_touched_videos_are_hashed(spark, monkeypatch):
+    c = sample.catalogue(spark, SF)
+    new = c.entries.where("entry_id % 3 = 0").withColumn("seconds", F.col("seconds") + 1)
+    got = lambda: sorted(map(str, store.replace_videos(c.entries, new, c.songs, c.videos)[1].select(*c.entries.columns).collect()))
+    sorted_ = got()
+    monkeypatch.setattr(store, "MOST_SORTED", 0)
+    assert "ShuffledHashJoin [video_id" in plan_of(store.replace_videos(c.entries, new, c.songs, c.videos)[1]) and got() == sorted_
